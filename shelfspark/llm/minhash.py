@@ -8,7 +8,8 @@ Pairs found are counted on whole signatures and confirmed on whole shingle sets.
 Large groups do not become all pairs.  Equal sets are collapsed first.  Then each set is compared with two
 pivots of every list it is posted in (the set whose pairs are most common, and the smallest id), confirmed
 links are merged to components, and lists within one component are done.  Only sets of different
-components that still share a list are paired.
+components that still share a list are paired.  Before all that, sets more of whose shingles are their own
+than any link allows are put aside; they are the many of a group that are near it but not in it.
 
 Nulls and empties: a null or empty text, or one without words, has no shingles and links with nothing.  A
 row with a null ``doc_id`` is returned with a null component and kept.  Rows that repeat a ``doc_id`` are
@@ -88,7 +89,7 @@ def _sets(how: NearDup):
         for batch in batches:
             for part in kernels.slices(batch, "text"):
                 found, bound = kernels.distinct(*kernels.shingles(kernels.Words(part.column("text")), words))
-                yield pa.record_batch({"rep": part.column("rep"), "shingles": kernels.binary(found, bound)})
+                yield pa.record_batch({"rep": part.column("rep"), "shingles": pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(found.view(np.int64)))})
 
     return run
 
@@ -100,13 +101,8 @@ def _confirm(how: NearDup):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(left) > len(right):
-                    left, right = right, left
-                at = np.searchsorted(right, left)
-                at[at == len(right)] = 0
-                both = int(np.count_nonzero(right[at] == left)) if len(right) else 0
-                keep.append(100 * both >= percent * (len(left) + len(right) - both) and both > 0)
+                both = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -142,15 +138,16 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("count", "pair"))).alias("found"), F.sum(F.log2("count")).alias("common"))
         .filter(F.size("found") >= need)
     )
-    prefix = store.stored(
-        ordered.select("rep", "n", "common", F.col("found.pair").alias("pairs"), F.explode(F.slice("found.pair", 1, F.size("found") - (need - 1))).alias("pair")),
-        "prefix",
-    )
+    ordered = store.stored(ordered.select("rep", "n", "common", F.col("found.pair").alias("pairs")), "ordered")
+    sets = store.stored(docs.withColumnRenamed("doc_id", "rep").join(ordered.select("rep"), "rep").mapInArrow(_sets(how), f"rep {kind}, shingles array<long>"), "sets")
+    # a set that alone has too many of its shingles is similar enough to none
+    single = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("rep").alias("many"), F.min("rep").alias("rep")).filter("many = 1")
+    single = single.groupBy("rep").agg(F.count("shingle").alias("single"))
+    live = ordered.join(single, "rep", "left").filter(F.coalesce("single", F.lit(0)) * 100 <= F.col("n") * (100 - how.percent)).drop("single")
+    prefix = store.stored(live.withColumn("pair", F.explode(F.slice("pairs", 1, F.size("pairs") - (need - 1)))), "prefix")
     pivots = prefix.groupBy("pair").agg(F.count("rep").alias("many"), F.min("rep").alias("low"), F.max_by("rep", F.struct("common", "rep")).alias("hub")).filter("many > 1").drop("many")
     starred = prefix.join(pivots, "pair").select("rep", F.explode(F.array("low", "hub")).alias("pivot")).filter("rep <> pivot")
     stars = store.stored(starred.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = store.stored(docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").mapInArrow(_sets(how), f"rep {kind}, shingles binary"), "sets")
     links = store.stored(confirmed(stars, sets, how), "links")
 
     first = graph.components(links)
