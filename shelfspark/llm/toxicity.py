@@ -1,6 +1,6 @@
 """Toxicity classifier with counterfactual regularisation.
 
-FTRL logistic regression on the presence of hashed words and word pairs, lower-cased.  Where a labelled text
+FTRL logistic regression on the presence of hashed words and word beginnings, lower-cased.  Where a labelled text
 names a group of people, the same text with each such term swapped for another of its kind is made too, and the
 squared change of the score is penalised, so that naming a group does not by itself raise or lower a score.
 Empty and null texts have the bias alone.  Rows that repeat a ``doc_id`` are scored each; a null ``doc_id`` is
@@ -38,6 +38,7 @@ IDENTITIES = (
     ("mujeres", "hombres"),
     ("musulmanes", "cristianos", "judíos"),
 )
+PREFIXES = (4, 5, 6)
 
 
 @dataclass(frozen=True)
@@ -47,29 +48,33 @@ class Toxicity:
     rows: int = 8000
     threshold: float = 0.5
     identities: tuple[tuple[str, ...], ...] = IDENTITIES
-    ftrl: linear.Ftrl = field(default_factory=lambda: linear.Ftrl(bits=20, alpha=0.5, beta=1.0, l1=3.0, epochs=4, positive=4.0, swap_penalty=0.5))
+    ftrl: linear.Ftrl = field(default_factory=lambda: linear.Ftrl(bits=20, alpha=1.0, beta=1.0, l1=10.0, epochs=3, positive=2.0, swap_penalty=0.5))
 
 
-def swaps(identities: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the terms in ascending order, hash of each one's substitute)."""
+def swaps(identities: tuple[tuple[str, ...], ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(hashes of the terms in ascending order, hashes of each one's substitute and of that one's prefixes)."""
     pairs = [(a, kind[(i + 1) % len(kind)]) for kind in identities for i, a in enumerate(kind)]
-    words = linear.Runs(pa.array([w for p in pairs for w in p] or [""]), lower=True, signs=False).hash
-    one, at = np.unique(words[0::2], return_index=True)
-    return one, words[1::2][at]
+    runs = linear.Runs(pa.array([w for p in pairs for w in p] or [""]), lower=True, signs=False)
+    one, at = np.unique(runs.hash[0::2], return_index=True)
+    low = kernels.tables()["low"]
+    views = [runs.hash] + [kernels.hash_spans(runs.data, runs.start, np.minimum(runs.start + n, runs.end), low) for n in PREFIXES]
+    return one, [v[1::2][at] for v in views]
 
 
 def extractor(bits: int, identities: tuple[tuple[str, ...], ...] = ()):
     """Features; with ``identities`` those of the swapped text too, for rows that name one."""
 
-    def features(h, row, rows):
-        views = [linear.ngrams(h, row, n, 20 + n) for n in (1, 2)]
+    def features(hashes, row, rows):
+        views = [linear.ngrams(h, row, 1, 20 + i) for i, h in enumerate(hashes)]
         bound, index, _ = linear.counted(np.concatenate([v[0] for v in views]), np.concatenate([v[1] for v in views]), rows, bits)
         return bound, index, np.ones(len(index), np.float32)
 
     def extract(column: pa.Array):
         runs = linear.Runs(column, lower=True, signs=False)
-        row = runs.row()
-        found = features(runs.hash, row, len(column))
+        row, low = runs.row(), kernels.tables()["low"]
+        # words, and their first 4, 5 and 6 bytes, so that unseen endings of a known stem count too
+        hashes = [runs.hash] + [kernels.hash_spans(runs.data, runs.start, np.minimum(runs.start + n, runs.end), low) for n in PREFIXES]
+        found = features(hashes, row, len(column))
         none = np.zeros(len(column) + 1, np.int64), found[1][:0], found[2][:0]
         if not identities:
             return *found, *none
@@ -79,7 +84,8 @@ def extractor(bits: int, identities: tuple[tuple[str, ...], ...] = ()):
         if not hit.any():
             return *found, *none
         named = np.isin(row, row[hit])
-        return *found, *features(np.where(hit, others[at], runs.hash)[named], row[named], len(column))
+        swapped = [np.where(hit, others[0][at], runs.hash)] + [np.where(hit, o[at], h) for o, h in zip(others[1:], hashes[1:], strict=True)]
+        return *found, *features([h[named] for h in swapped], row[named], len(column))
 
     return extract
 
