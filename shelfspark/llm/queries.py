@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash, mixing, quality, tokens, toxicity
+from . import hmm, langid, minhash, mixing, quality, tokens, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir), mixing.Mix(weights=(5, 2, 1), most=3))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.write(documents(spark, sf_dir), tokens.TokenFiles(public_tokenizers.path("byte_bpe_50k.json"))))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_source_mix": op5_source_mix,
+    "op9_language_model": op9_language_model,
     "op10_token_files": op10_token_files,
 }
 
