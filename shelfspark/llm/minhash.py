@@ -7,9 +7,10 @@ Pairs found are counted on whole signatures and confirmed on whole shingle sets.
 
 Large groups do not become all pairs.  Equal sets are collapsed first.  Then each set is compared with two
 pivots of every list it is posted in (the set whose pairs are most common, and the smallest id), confirmed
-links are merged to components, and lists within one component are done.  Only sets of different
-components that still share a list are paired.  Before all that, sets more of whose shingles are their own
-than any link allows are put aside; they are the many of a group that are near it but not in it.
+links are merged to components, and lists within one component are done.  Sets of different components that
+still share a list are paired only if they share one of their rarest shingles too, as any two similar sets
+do.  Before all that, sets more of whose shingles are their own than any link allows are put aside.  These
+two exact filters keep the many sets that are near a large group, but not in it, from being paired up.
 
 Nulls and empties: a null or empty text, or one without words, has no shingles and links with nothing.  A
 row with a null ``doc_id`` is returned with a null component and kept.  Rows that repeat a ``doc_id`` are
@@ -140,10 +141,13 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     )
     ordered = store.stored(ordered.select("rep", "n", "common", F.col("found.pair").alias("pairs")), "ordered")
     sets = store.stored(docs.withColumnRenamed("doc_id", "rep").join(ordered.select("rep"), "rep").mapInArrow(_sets(how), f"rep {kind}, shingles array<long>"), "sets")
-    # a set that alone has too many of its shingles is similar enough to none
-    single = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("rep").alias("many"), F.min("rep").alias("rep")).filter("many = 1")
-    single = single.groupBy("rep").agg(F.count("shingle").alias("single"))
-    live = ordered.join(single, "rep", "left").filter(F.coalesce("single", F.lit(0)) * 100 <= F.col("n") * (100 - how.percent)).drop("single")
+    # each set's shingles from the rarest on: one that alone has too many of them is similar enough to none,
+    # and two similar sets share one of the first n - ceil(n * percent / 100) + 1
+    each = sets.select("rep", F.explode("shingles").alias("shingle"))
+    each = each.join(each.groupBy("shingle").agg(F.count("rep").alias("many")), "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("each"))
+    each = each.select("rep", F.size(F.filter("each", lambda x: x["many"] == 1)).alias("single"), F.slice("each.shingle", 1, F.size("each") - F.ceil(F.size("each") * how.percent / 100).cast("int") + 1).alias("rarest"))
+    each = store.stored(each, "rarest")
+    live = ordered.join(each.select("rep", "single"), "rep").filter(F.col("single") * 100 <= F.col("n") * (100 - how.percent)).drop("single")
     prefix = store.stored(live.withColumn("pair", F.explode(F.slice("pairs", 1, F.size("pairs") - (need - 1)))), "prefix")
     pivots = prefix.groupBy("pair").agg(F.count("rep").alias("many"), F.min("rep").alias("low"), F.max_by("rep", F.struct("common", "rep")).alias("hub")).filter("many > 1").drop("many")
     starred = prefix.join(pivots, "pair").select("rep", F.explode(F.array("low", "hub")).alias("pivot")).filter("rep <> pivot")
@@ -153,11 +157,13 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     first = graph.components(links)
     placed = prefix.join(first, prefix.rep == first.node, "left").select("rep", "n", "pairs", "pair", F.coalesce("component", "rep").alias("part"))
     several = placed.groupBy("pair").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("pair")
-    left = store.stored(placed.join(several, "pair"), "left")
-    a, b = left.alias("a"), left.alias("b")
+    left = placed.join(several, "pair", "left_semi").select("rep", "n", "pairs", "part").distinct()
+    left = store.stored(left.join(each, "rep").select("rep", "n", "pairs", "part", F.explode("rarest").alias("shingle")), "left")
+    several = left.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("shingle")
+    a, b = left.join(several, "shingle").alias("a"), left.join(several, "shingle").alias("b")
     open_pairs = a.join(
         b,
-        (F.col("a.pair") == F.col("b.pair"))
+        (F.col("a.shingle") == F.col("b.shingle"))
         & (F.col("a.rep") < F.col("b.rep"))
         & (F.col("a.part") != F.col("b.part"))
         & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * how.percent)
