@@ -1,7 +1,7 @@
 """Token ids of documents in binary files: byte-level BPE ids in patched frame-of-reference containers.
 
 ``write`` deals documents by ``doc_id`` range, sorts each part, encodes it and stores containers of about
-``segment`` ids, whole documents each, as rows (shard, segment, doc_ids, sizes, n_tokens, payload) of a Parquet
+``segment`` ids, whole documents each, as rows (shard, segment, inside, n_tokens, doc_ids, sizes, payload) of a Parquet
 table in the shared folder.  ``read`` decodes them again; ``export`` writes them as raw files.
 
 Encoding is exact and fast because a byte-level pre-tokenizer never joins text across a blank that follows a
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import kernels, pfor, store
 
 
+MOST_SHARDS = 1_000_000
 LETTER = np.zeros(256, bool)
 ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 LETTER[65:91] = LETTER[97:123] = True
@@ -148,7 +149,7 @@ def _encode_sorted(how: TokenFiles):
         from pyspark import TaskContext
 
         shard, encoder, segment = TaskContext.get().partitionId(), Encoder.of(how.tokenizer, how.remember), 0
-        doc_ids, sizes, ids, held = [], [], [], 0
+        doc_ids, sizes, ids, held, inside = [], [], [], 0, 0
 
         def flush():
             values = np.concatenate(ids)
@@ -158,6 +159,7 @@ def _encode_sorted(how: TokenFiles):
                 {
                     "shard": pa.array([shard], pa.int32()),
                     "segment": pa.array([segment], pa.int32()),
+                    "inside": pa.array([inside], pa.int64()),
                     "n_tokens": pa.array([len(values)], pa.int64()),
                     "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
                     "sizes": pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.array(size, pa.int64())),
@@ -176,7 +178,7 @@ def _encode_sorted(how: TokenFiles):
                 held += len(out)
                 if held >= how.segment:
                     yield flush()
-                    segment += 1
+                    segment, inside = segment + 1, inside + held
                     doc_ids, sizes, ids, held = [], [], [], 0
         if doc_ids:
             yield flush()
@@ -191,8 +193,8 @@ def write(docs: DataFrame, how: TokenFiles) -> DataFrame:
     spark = docs.sparkSession
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // how.shard_bytes))
-    dealt = docs.repartitionByRange(int(min(shards, 1_000_000)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return store.stored(dealt.mapInArrow(_encode_sorted(how), f"shard int, segment int, n_tokens long, doc_ids array<{kind}>, sizes array<long>, payload binary"), "token-ids")
+    dealt = docs.repartitionByRange(int(min(shards, MOST_SHARDS)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    return store.stored(dealt.mapInArrow(_encode_sorted(how), f"shard int, segment int, inside long, n_tokens long, doc_ids array<{kind}>, sizes array<long>, payload binary"), "token-ids")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +215,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_starts(files: DataFrame) -> DataFrame:
-    """``files`` with ``before``: ids of all containers before each.  Shards are summed first; one row for each is ordered as a whole."""
+    """``files`` with ``before``: ids of all containers before each.
+
+    A container knows the ids before it in its shard; sums of whole shards, of which ``write`` makes at most
+    ``MOST_SHARDS``, are ordered as a whole and sent to every task."""
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
-    shards = shards.select(F.col("shard"), (F.sum("all").over(Window.orderBy("shard")) - F.col("all")).alias("shard_before"))
-    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_tokens")
-    index = files.select("shard", "segment", inside.alias("inside")).join(shards, "shard").select("shard", "segment", (F.col("inside") + F.col("shard_before")).alias("before"))
-    return files.join(index, ["shard", "segment"])
+    shards = shards.select("shard", (F.sum("all").over(Window.orderBy("shard")) - F.col("all")).alias("shard_before"))
+    return files.join(F.broadcast(shards), "shard").withColumn("before", F.col("shard_before") + F.col("inside")).drop("shard_before")
 
 
 def digests(files: DataFrame) -> DataFrame:
