@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm, langid, minhash, mixing, ordermin, quality, tokens, toxicity
+from . import decontaminate, hmm, langid, minhash, mixing, ordermin, quality, secrets, tokens, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir), mixing.Mix(weights=(5, 2, 1), most=3))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.compared(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_source_mix": op5_source_mix,
+    "op7_secrets": op7_secrets,
     "op8_order_minhash": op8_order_minhash,
     "op9_language_model": op9_language_model,
     "op10_token_files": op10_token_files,
