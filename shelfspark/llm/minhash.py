@@ -8,9 +8,10 @@ Pairs found are counted on whole signatures and confirmed on whole shingle sets.
 Large groups do not become all pairs.  Equal sets are collapsed first.  Then each set is compared with two
 pivots of every list it is posted in (the set whose pairs are most common, and the smallest id), confirmed
 links are merged to components, and lists within one component are done.  Sets of different components that
-still share a list are paired only if they share one of their rarest shingles too, as any two similar sets
-do.  Before all that, sets more of whose shingles are their own than any link allows are put aside.  These
-two exact filters keep the many sets that are near a large group, but not in it, from being paired up.
+still share a list are paired, at the rarest coordinate they share.  Three filters keep the many sets that are
+near a large group, but not in it, from being paired up.  Two are exact: a set's shingles that no other set has
+cannot be shared, which bounds the similarity of a set, and of a pair.  The third is a longer signature of one
+bit a coordinate, whose differing bits stay below the bound that a similar pair passes with the same chance.
 
 Nulls and empties: a null or empty text, or one without words, has no shingles and links with nothing.  A
 row with a null ``doc_id`` is returned with a null component and kept.  Rows that repeat a ``doc_id`` are
@@ -42,8 +43,19 @@ class NearDup:
     percent: int = 80
     coordinates: int = 32
     missed: float = 2e-5
+    bits: int = 1024
     seed: int = 11
 
+    @property
+    def most_differing(self) -> int:
+        """Bits in which a pair exactly at the threshold differs at most, but for the chance ``missed``: each does with (1 - similarity) / 2."""
+        p, above, n = (1 - self.percent / 100) / 2, 1.0, self.bits
+        for t in range(n + 1):
+            above -= comb(n, t) * p**t * (1 - p) ** (n - t)
+            if above < self.missed:
+                return t
+        return n
+
     @property
     def matches(self) -> int:
         p, n, below = self.percent / 100, self.coordinates, 0.0
@@ -95,6 +107,25 @@ def _sets(how: NearDup):
     return run
 
 
+def _bits(how: NearDup):
+    n, seed = how.bits, how.seed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = kernels.seeded(n, seed + 2)
+        for batch in batches:
+            out = np.empty((batch.num_rows, n // 64), np.int64)
+            for i, x in enumerate(batch.column("shingles")):
+                found, bits = x.values.to_numpy().view(np.uint64), np.empty(n, np.uint8)
+                for j in range(0, n, 64):
+                    low = np.min((found[:, None] ^ (found[:, None] >> np.uint64(29))) * factor[j : j + 64], axis=0)
+                    bits[j : j + 64] = kernels.mix(low) & np.uint64(1)
+                out[i] = np.packbits(bits, bitorder="little").view(np.int64)
+            bound = np.arange(batch.num_rows + 1, dtype=np.int32) * (n // 64)
+            yield pa.record_batch({"rep": batch.column("rep"), "bits": pa.ListArray.from_arrays(pa.array(bound), pa.array(out.ravel()))})
+
+    return run
+
+
 def _confirm(how: NearDup):
     percent = how.percent
 
@@ -141,13 +172,10 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     )
     ordered = store.stored(ordered.select("rep", "n", "common", F.col("found.pair").alias("pairs")), "ordered")
     sets = store.stored(docs.withColumnRenamed("doc_id", "rep").join(ordered.select("rep"), "rep").mapInArrow(_sets(how), f"rep {kind}, shingles array<long>"), "sets")
-    # each set's shingles from the rarest on: one that alone has too many of them is similar enough to none,
-    # and two similar sets share one of the first n - ceil(n * percent / 100) + 1
-    each = sets.select("rep", F.explode("shingles").alias("shingle"))
-    each = each.join(each.groupBy("shingle").agg(F.count("rep").alias("many")), "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("many", "shingle"))).alias("each"))
-    each = each.select("rep", F.size(F.filter("each", lambda x: x["many"] == 1)).alias("single"), F.slice("each.shingle", 1, F.size("each") - F.ceil(F.size("each") * how.percent / 100).cast("int") + 1).alias("rarest"))
-    each = store.stored(each, "rarest")
-    live = ordered.join(each.select("rep", "single"), "rep").filter(F.col("single") * 100 <= F.col("n") * (100 - how.percent)).drop("single")
+    # a set that alone has too many of its shingles is similar enough to none
+    each = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("rep").alias("many"), F.min("rep").alias("rep"))
+    single = each.filter("many = 1").groupBy("rep").agg(F.count("shingle").alias("single"))
+    live = ordered.join(single, "rep", "left").withColumn("common_n", F.col("n") - F.coalesce("single", F.lit(0))).drop("single").filter(F.col("common_n") * 100 >= F.col("n") * how.percent)
     prefix = store.stored(live.withColumn("pair", F.explode(F.slice("pairs", 1, F.size("pairs") - (need - 1)))), "prefix")
     pivots = prefix.groupBy("pair").agg(F.count("rep").alias("many"), F.min("rep").alias("low"), F.max_by("rep", F.struct("common", "rep")).alias("hub")).filter("many > 1").drop("many")
     starred = prefix.join(pivots, "pair").select("rep", F.explode(F.array("low", "hub")).alias("pivot")).filter("rep <> pivot")
@@ -155,21 +183,26 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     links = store.stored(confirmed(stars, sets, how), "links")
 
     first = graph.components(links)
-    placed = prefix.join(first, prefix.rep == first.node, "left").select("rep", "n", "pairs", "pair", F.coalesce("component", "rep").alias("part"))
+    placed = prefix.join(first, prefix.rep == first.node, "left").select("rep", "n", "common_n", "pairs", "pair", F.coalesce("component", "rep").alias("part"))
     several = placed.groupBy("pair").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("pair")
-    left = placed.join(several, "pair", "left_semi").select("rep", "n", "pairs", "part").distinct()
-    left = store.stored(left.join(each, "rep").select("rep", "n", "pairs", "part", F.explode("rarest").alias("shingle")), "left")
-    several = left.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("shingle")
-    a, b = left.join(several, "shingle").alias("a"), left.join(several, "shingle").alias("b")
+    open_ = store.stored(placed.join(several, "pair", "left_semi"), "open")
+    bits = store.stored(sets.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_bits(how), f"rep {kind}, bits array<long>"), "bits")
+    left = store.stored(open_.join(bits, "rep"), "left")
+    a, b = left.alias("a"), left.alias("b")
+    most_common = F.least("a.common_n", "b.common_n")
+    differ = sum((F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(how.bits // 64)), F.lit(0))
+    common = F.array_intersect("a.pairs", "b.pairs")
     open_pairs = a.join(
         b,
-        (F.col("a.shingle") == F.col("b.shingle"))
+        (F.col("a.pair") == F.col("b.pair"))
         & (F.col("a.rep") < F.col("b.rep"))
         & (F.col("a.part") != F.col("b.part"))
-        & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * how.percent)
-        & (F.size(F.array_intersect("a.pairs", "b.pairs")) >= need),
+        & (most_common * (100 + how.percent) >= (F.col("a.n") + F.col("b.n")) * how.percent)
+        & (differ <= how.most_differing)
+        & (F.size(common) >= need)
+        & (F.get(common, F.lit(0)) == F.col("a.pair")),  # each pair once, at the rarest coordinate that it shares
     ).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    more = confirmed(store.stored(open_pairs.distinct().join(stars, ["a", "b"], "left_anti"), "open"), sets, how)
+    more = confirmed(store.stored(open_pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs"), sets, how)
     final = graph.components(links.unionAll(store.stored(more, "more")))
 
     classes = same.join(final, same.rep == final.node, "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))

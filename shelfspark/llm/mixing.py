@@ -207,7 +207,7 @@ def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
         .agg(F.collect_list(F.struct("block", "words", F.coalesce("times", F.lit(0)).alias("times"))).alias("__pieces"), F.max("times").alias("top"))
         .filter("top > 0")
     )
-    own = rows.join(lists, ["sid", "start"]).groupBy("doc_id", "source", "text_hash").agg(F.first("__pieces").alias("__pieces"))
+    own = rows.filter("size > 0").join(lists, ["sid", "start"]).groupBy("doc_id", "source", "text_hash").agg(F.first("__pieces").alias("__pieces"))
     own = own.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("text_hash").alias("__h"), "__pieces")
     joined = docs.withColumn("__t", F.xxhash64("text")).join(own, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__t") == F.col("__h")))
     joined = joined.select(*[docs[c] for c in docs.columns], "__pieces")
