@@ -222,6 +222,11 @@ def _exists(reader: Reader, f: Field) -> Column:
     return raw.isNotNull() & (F.size(raw) > 0) if reader.many(f) else raw.isNotNull()
 
 
+def _equals(f: Field, term: str) -> Callable[[Column], Column]:
+    text = F.lit(analysis.normalised_text(f.type, term))
+    return lambda c: c == text
+
+
 def leaf(m: Match, reader: Reader) -> Column:
     f = m.fields[0] if m.fields else None
     if m.op == "true":
@@ -239,25 +244,25 @@ def leaf(m: Match, reader: Reader) -> Column:
     if m.op in RANGES:
         return _value(reader, f, reader.norm(f), lambda x: RANGES[m.op](x, F.lit(m.value)))
     if m.op == "plain":
-        return _any([nz(_value(reader, x, reader.norm(x), lambda c, x=x: c == F.lit(analysis.normalised_text(x.type, m.value)))) for x in m.fields])
+        return _any([nz(_value(reader, x, reader.norm(x), _equals(x, m.value))) for x in m.fields])
     words = list(dict.fromkeys(analysis.text_tokens(m.value)))
     if m.op == "phrase":
         wanted = f" {' '.join(analysis.text_tokens(m.value))} "
         parts = [
             nz(F.exists(reader.phrases(x), lambda t: F.contains(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), F.lit(wanted))))
             if x.text
-            else nz(_value(reader, x, reader.norm(x), lambda c, x=x: c == F.lit(analysis.normalised_text(x.type, m.value))))
+            else nz(_value(reader, x, reader.norm(x), _equals(x, m.value)))
             for x in m.fields
         ]
         return _any(parts)
     if m.op == "any":
         parts = [nz(F.arrays_overlap(reader.tokens(x), F.array(*[F.lit(w) for w in words]))) for x in m.fields if x.text and words]
-        parts += [nz(_value(reader, x, reader.norm(x), lambda c, x=x: c == F.lit(analysis.normalised_text(x.type, m.value)))) for x in m.fields if not x.text]
+        parts += [nz(_value(reader, x, reader.norm(x), _equals(x, m.value))) for x in m.fields if not x.text]
         return _any(parts)
     # all: every token in at least one of the fields that share an analyser; a keyword field has the whole term or not
     texts = [x for x in m.fields if x.text]
     parts = [_all([_any([nz(F.array_contains(reader.tokens(x), w)) for x in texts]) for w in words])] if texts and words else []
-    parts += [nz(_value(reader, x, reader.norm(x), lambda c, x=x: c == F.lit(analysis.normalised_text(x.type, m.value)))) for x in m.fields if not x.text]
+    parts += [nz(_value(reader, x, reader.norm(x), _equals(x, m.value))) for x in m.fields if not x.text]
     return _any(parts)
 
 

@@ -64,7 +64,7 @@ def isbns(identifiers: Column) -> Column:
 
 
 def issns(identifiers: Column) -> Column:
-    return F.array_distinct(F.transform(of_types(identifiers, ISSN_TYPES), F.trim))
+    return F.array_distinct(F.transform(of_types(identifiers, ISSN_TYPES), lambda x: F.trim(x)))
 
 
 def oclcs(identifiers: Column) -> Column:

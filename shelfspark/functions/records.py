@@ -68,7 +68,7 @@ def public_notes(notes: Column) -> Column:
 
 
 def tags(tag_list: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(tag_list, lambda x: F.trim(x) != ""), F.trim))
+    return F.array_distinct(F.transform(F.filter(tag_list, lambda x: F.trim(x) != ""), lambda x: F.trim(x)))
 
 
 def union_codes(*arrays: Column) -> Column:

@@ -6,6 +6,8 @@ Parquet scan, where ``lower(x) = ...`` would not; searches take them without bei
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def prepared(df: DataFrame, resource: Resource) -> DataFrame:
             out[f"tok__{f.path}"] = F.transform(values, analysis.tokens)
             out[f"base__{f.path}"] = F.transform(values, analysis.base_tokens)
         if f.text and f.plain or f.type.startswith("keyword_"):
-            out[f"norm__{f.path}"] = F.transform(c, lambda x, f=f: analysis.normalised(f.type, x)) if f.many else analysis.normalised(f.type, c)
+            out[f"norm__{f.path}"] = F.transform(c, partial(analysis.normalised, f.type)) if f.many else analysis.normalised(f.type, c)
     return df.withColumns(out)
 
 
