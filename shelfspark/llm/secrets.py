@@ -47,7 +47,7 @@ def located(text: Column, pattern: str, kind: int, value: int | None = None, lea
     """Array of (start, kind, end) of the pattern's leftmost non-overlapping matches; with ``value`` the length of that group has to be ``least``, else the match's.
 
     Gaps are extracted with the matches, so positions are sums of lengths."""
-    whole = f"(?s)(.*?)({pattern})"
+    whole = f"(?s)\\G(.*?)({pattern})"
     gap, hit = F.regexp_extract_all(text, F.lit(whole), F.lit(1)), F.regexp_extract_all(text, F.lit(whole), F.lit(2))
     parts = [F.transform(gap, F.length).alias("gap"), F.transform(hit, F.length).alias("hit")]
     if value is not None:
