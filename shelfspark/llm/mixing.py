@@ -157,7 +157,12 @@ def plan(docs: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _taken(pieces: DataFrame, slots: DataFrame) -> DataFrame:
-    return pieces.join(slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")), ["sid", "block"])
+    return pieces.join(_times(slots), ["sid", "block"])
+
+
+def _times(slots: DataFrame) -> DataFrame:
+    """How often each block is taken.  The planner takes the few rows that slots are made from for their size, so the join's kind is given."""
+    return slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times")).hint("shuffle_merge")
 
 
 def taken(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
@@ -200,9 +205,8 @@ def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     Rows of the same ``doc_id`` and text share one plan."""
     rows, pieces, slots = plan(docs, how)
     # every piece of a row is needed to cut it, so those not taken are kept with 0
-    times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     lists = (
-        pieces.join(times, ["sid", "block"], "left")
+        pieces.join(_times(slots), ["sid", "block"], "left")
         .groupBy("sid", "start")
         .agg(F.collect_list(F.struct("block", "words", F.coalesce("times", F.lit(0)).alias("times"))).alias("__pieces"), F.max("times").alias("top"))
         .filter("top > 0")
