@@ -51,3 +51,8 @@ def shelving_key(c: Column, algorithm: str) -> Column:
     if algorithm == "DEFAULT":
         return F.upper(F.trim(c))
     raise ValueError(f"unknown shelving algorithm {algorithm}; one of {ALGORITHMS}")
+
+
+def shelving_orders(c: Column, algorithms: tuple[str, ...] = ALGORITHMS) -> dict[str, Column]:
+    """A derived field for each algorithm: ``defaultShelvingOrder``, ``lcShelvingOrder`` and so on."""
+    return {f"{a.lower()}ShelvingOrder": shelving_key(c, a) for a in algorithms}

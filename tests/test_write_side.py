@@ -6,8 +6,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.functions import identifiers, records
-from shelfspark.functions.shelving import shelving_key
+from shelfspark.functions import identifiers, linked_data, records
+from shelfspark.functions.shelving import shelving_key, shelving_orders
 from shelfspark.operators import tables
 from shelfspark.plans import documents, reindex
 from shelfspark.plans.library import RESOURCES
@@ -118,3 +118,19 @@ def test_projection(spark):
     df = spark.createDataFrame([("1", None, "x")], "id string, sourceFileId string, junk string")
     assert documents.projected(df, RESOURCES["authority"]).columns == ["id", "sourceFileId"]
     assert documents.unplained(df.withColumn("plain_junk", F.lit("y"))).first()["junk"] == "y"
+
+
+def test_linked_data_fields(spark):
+    df = spark.sql("""select array(struct('a' as value), struct(' ' as value), struct('a' as value)) as titles,
+      array(struct(array(struct('b' as value)) as titles), struct(cast(null as array<struct<value:string>>) as titles)) as instances,
+      array(struct('n 79-1' as value, 'LCCN' as type), struct('1 2 3' as value, 'ISBN' as type)) as ids""")
+    r = df.select(
+        linked_data.work_and_instances(F.col("titles"), F.col("instances"), "titles", "value").alias("t"),
+        linked_data.sort_title(F.col("titles")).alias("s"),
+        linked_data.lccns(F.col("ids")).alias("l"),
+        linked_data.isbns(F.col("ids")).alias("i"),
+        linked_data.identifier_values(F.col("ids")).alias("v"),
+        *[c.alias(n) for n, c in shelving_orders(F.lit("QA76 .B5")).items()],
+    ).first()
+    assert (r.t, r.s, r.l, r.i, r.v) == (["a", "b"], "a", ["n79-1"], ["123"], ["n79-1", "123"])
+    assert r.lcShelvingOrder == "QA 276 B5" and r.deweyShelvingOrder is None
