@@ -93,19 +93,21 @@ def compared(docs: DataFrame, how: OrderMin = OrderMin()) -> DataFrame:
         docs = docs.withColumn("key", F.col("doc_id"))
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // how.part_bytes))
-    texts = docs.withColumn("n", F.length("text")).withColumn("quarter", F.expr("n div 4")).repartition(int(min(parts, 100_000)), "key")
+    # every branch reads the same two columns of this exchange, so texts are dealt once
+    texts = docs.select("key", "text").repartition(int(min(parts, 100_000)), "key")
     order = store.stored(followed(docs).join(docs.select("key", F.expr("length(text) div 4").alias("quarter")), "key"), "order")
-    heads = texts.select("key", "text").join(order.select(F.col("key").alias("before"), F.col("next_key").alias("key"), F.col("quarter").alias("take")), "key")
-    heads = heads.select(F.col("before").alias("key"), F.col("key").alias("next_key"), F.expr("substring(text, 1, take)").alias("head"))
-    edited = texts.join(heads, "key").withColumn("edited", F.concat(F.expr("substring(text, 1, n - quarter)"), "head"))
+    heads = texts.join(order.select(F.col("key").alias("before"), F.col("next_key").alias("key"), F.col("quarter").alias("take")), "key")
+    heads = heads.select(F.col("before").alias("key"), F.expr("substring(text, 1, take)").alias("head"))
+    edited = texts.join(heads, "key").select("key", "text", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 4)"), "head").alias("edited"))
     both = edited.select("key", F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t")).select("key", "t.which", "t.text")
     found = fingerprints(both, ["key", "which"], how)
     entry = F.struct((F.col("which") * how.size + F.col("component")).alias("i"), "value")
     found = found.groupBy("key").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     prints = [F.array(*[F.try_element_at("m", F.lit(which * how.size + i)) for i in range(how.size)]).alias(name) for which, name in ((0, "own"), (1, "other"))]
-    facts = edited.select("key", "doc_id", "next_key", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    facts = edited.select("key", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     rows = store.stored(facts.join(found, "key", "left").select(*facts.columns, *prints), "prints")
     after = rows.select(F.col("key").alias("next_key"), F.col("own").alias("following"))
+    rows = rows.join(order.select("key", "next_key"), "key").withColumn("doc_id", F.col("key.doc_id") if special else F.col("key"))
     return rows.join(after, "next_key").select(
         "doc_id",
         "n_chars",
