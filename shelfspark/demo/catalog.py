@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.records import sha_id
 from ..model import Field, Resource
 
 FF = ("facet", "filter")
@@ -95,7 +94,3 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("suffix"),
         F.lit("lc").alias("type_id"),
     )
-
-
-def child_id(*parts: Column) -> Column:
-    return sha_id(*parts)

@@ -74,7 +74,6 @@ class Order:
 
     keys: tuple[str, ...]
     name: str
-    extra: tuple[str, ...] = field(default=())
 
 
 def browse(df: DataFrame, ctx: Context, order: Order, resource: Resource, anchor_key: str | None = None, highlight: bool = True) -> DataFrame:
@@ -99,7 +98,7 @@ def browse(df: DataFrame, ctx: Context, order: Order, resource: Resource, anchor
     if ctx.backward:
         sides.append(df.where(first < key).orderBy(*down).limit(ctx.backward + 1).withColumn("__side", F.lit(-1)).withColumn("is_anchor", F.lit(False)))
     if ctx.forward:
-        sides.append(df.where((first > key) | first.isNull() if len(order.keys) > 0 else first > key).orderBy(*up).limit(ctx.forward + 1).withColumn("__side", F.lit(1)).withColumn("is_anchor", F.lit(False)))
+        sides.append(df.where((first > key) | first.isNull()).orderBy(*up).limit(ctx.forward + 1).withColumn("__side", F.lit(1)).withColumn("is_anchor", F.lit(False)))
     if ctx.around and highlight and key != "":
         shape = df.limit(0).withColumn("__side", none).withColumn("is_anchor", F.lit(True))
         hole = df.sparkSession.range(1).select(
@@ -117,7 +116,6 @@ def browse(df: DataFrame, ctx: Context, order: Order, resource: Resource, anchor
     whole = Window.partitionBy(F.lit(0)).orderBy("__side", *[k.asc_nulls_last() for k in keys])
     rows = rows.withColumn("__at", F.row_number().over(whole))
     every = Window.partitionBy(F.lit(0))
-    hit_end = F.max(F.when(F.col("__side") <= 0, F.col("__at"))).over(every) if ctx.forward else F.max("__at").over(every)
     back = F.count(F.when(F.col("__side") < 0, 1)).over(every)
     n = F.count(F.lit(1)).over(every)
     rows = rows.withColumn("__back", back).withColumn("__n", n)
@@ -128,7 +126,6 @@ def browse(df: DataFrame, ctx: Context, order: Order, resource: Resource, anchor
         low, high = F.lit(0), F.lit(limit)
     else:
         low, high = F.greatest(F.col("__n") - limit, F.lit(0)), F.col("__n")
-    del hit_end
     inside = (F.col("__at") > low) & (F.col("__at") <= high)
     name = F.col(order.name).cast("string")
     more_before, more_behind = low > 0, F.col("__n") > high
