@@ -7,6 +7,9 @@ bits agree up to radius // blocks bits in one block, and the items are indexed u
 every item within the radius is found.  What is found is checked exactly: the summed weight of the item's
 shingles that the window has, over that of all its shingles, has to reach ``similarity``.
 
+The radius bounds no result.  A document that holds an item in full within the radius is settled by its fingerprint; for
+any other document and item, if all shingles they share weigh enough, every window that holds one of them is checked.
+
 A window without any of the benchmark's shingles has similarity 0, so such windows are passed over before
 fingerprinting; this loses nothing.  Benchmarks beyond ``items`` items are searched in blocks, one pass each; what
 a pass sends to the executors is bounded by ``items`` and ``item_words``.
@@ -69,7 +72,9 @@ class Index:
             for i in np.flatnonzero(np.minimum(how.words, self.size) == k):
                 s = found[bound[i] : bound[i + 1]]
                 own[int(i)] = (s, np.log1p(len(ids) / m[np.searchsorted(shared, s)]))
-            self.kinds[k] = (np.unique(np.concatenate([s for s, _ in own.values()])), own)
+            every, holder, weight = (np.concatenate(x) for x in zip(*((s, np.full(len(s), i), w / w.sum()) for i, (s, w) in own.items()), strict=True))
+            order = np.argsort(every, kind="stable")
+            self.kinds[k] = (np.unique(every), own, (every[order], holder[order], weight[order]))
         bits = 64 // how.blocks
         self.lengths = {}
         for length in np.unique(self.size):
@@ -105,7 +110,7 @@ class Index:
     def search(self, column: pa.Array) -> Iterator[tuple]:
         """(row, item, first word, words, distance, similarity) of the best window for each row and item found."""
         words = kernels.Words(column)
-        for k, (every, own) in self.kinds.items():
+        for k, (every, own, postings) in self.kinds.items():
             shingle, sbound = kernels.shingles(words, k)
             at = np.minimum(np.searchsorted(every, shingle), len(every) - 1)
             hit = np.flatnonzero(every[at] == shingle)
@@ -114,9 +119,9 @@ class Index:
             rows = np.searchsorted(sbound, hit, "right") - 1
             used = np.unique(rows)
             for group in np.array_split(used, max(1, int(words.counts[used].sum()) // 100_000)):
-                yield from self._group(words, shingle, sbound, k, own, group, hit[np.isin(rows, group)])
+                yield from self._group(words, shingle, sbound, k, own, postings, group, hit[np.isin(rows, group)])
 
-    def _group(self, words, shingle, sbound, k, own, rows, hit):
+    def _group(self, words, shingle, sbound, k, own, postings, rows, hit):
         """The same for some rows of which each has a shingle of the benchmark."""
         n = words.counts[rows]
         base = np.concatenate([[0], np.cumsum(n)])
@@ -151,10 +156,73 @@ class Index:
                 value = float(weights[np.isin(theirs, here)].sum() / weights.sum())
                 if value + 1e-12 >= self.how.similarity and (-value, d, first) < best.get((r, i), (1, 0, 0))[:3]:
                     best[r, i] = (-value, d, first, int(size[w]))
+        edge = np.searchsorted(local, np.arange(len(rows) + 1))
+        for j, i in self._enough(shingle, postings, hit, local):
+            r, (theirs, weights) = int(rows[j]), own[i]
+            if best.get((r, i), (0,))[0] <= -1:
+                continue
+            m, at = int(min(self.size[i], n[j])), hit[edge[j] : edge[j + 1]]
+            start = self._windows(theirs, weights, shingle[at], at - int(sbound[r]), m - k + 1, int(n[j]) - m)
+            if not len(start):
+                continue
+            sums = _sums(h, weight) if sums is None else sums
+            far = np.bitwise_count(_prints(sums, base[j] + start, np.full(len(start), m)) ^ self.print[i])
+            w = int(np.argmin(far))
+            first, d = int(start[w]), int(far[w])
+            here = shingle[sbound[r] + first : sbound[r] + first + m - k + 1]
+            value = float(weights[np.isin(theirs, here)].sum() / weights.sum())
+            if value + 1e-12 >= self.how.similarity:
+                best[r, i] = (-value, d, first, m)
         for (r, i), (value, d, first, m) in best.items():
             yield r, i, first, m, d, -value
 
 
+    def _enough(self, shingle, postings, hit, local) -> Iterator[tuple[int, int]]:
+        """(place in the group, item) for all whose shared shingles, each once, weigh enough in the whole row."""
+        every, holder, weight = postings
+        order = np.lexsort((shingle[hit], local))
+        row, s = local[order], shingle[hit][order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (row[1:] != row[:-1])
+        row, s = row[new], s[new]
+        lo = np.searchsorted(every, s, "left")
+        many = np.searchsorted(every, s, "right") - lo
+        done, at = np.concatenate([[0], np.cumsum(many)]), 0
+        while at < len(row):
+            # whole rows of about so many postings at a time
+            to = max(at, int(np.searchsorted(done, done[at] + 1_000_000, "right")) - 2)
+            to = int(np.searchsorted(row, row[to], "right"))
+            m = many[at:to]
+            place = np.repeat(lo[at:to] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            pair, inverse = np.unique(np.repeat(row[at:to], m) * len(self.ids) + holder[place], return_inverse=True)
+            share = np.bincount(inverse, weight[place], len(pair))
+            for p in pair[share + 1e-9 >= self.how.similarity].tolist():
+                yield divmod(p, len(self.ids))
+            at = to
+
+    def _windows(self, theirs, weights, found, place, size: int, last: int) -> np.ndarray:
+        """First shingles, up to ``last``, of the windows of ``size`` shingles that hold most of an item's weight, if that is enough."""
+        at = np.minimum(np.searchsorted(theirs, found), len(theirs) - 1)
+        own = theirs[at] == found
+        at, place = at[own], place[own]
+        # a shingle counts for a window where it stands first: from after its last place on
+        order = np.lexsort((place, at))
+        at, place = at[order], place[order]
+        before = np.full(len(at), -1)
+        before[1:] = np.where(at[1:] == at[:-1], place[:-1], -1)
+        low = np.maximum(np.maximum(before + 1, place - size + 1), 0)
+        high = np.minimum(place, last) + 1
+        keep = low < high
+        low, high, worth = low[keep], high[keep], weights[at[keep]] / weights.sum()
+        edges, inverse = np.unique(np.concatenate([low, high]), return_inverse=True)
+        share = np.cumsum(np.bincount(inverse, np.concatenate([worth, -worth]), len(edges)))
+        if not len(share) or share.max() + 1e-9 < self.how.similarity:
+            return edges[:0]
+        top = np.flatnonzero(share >= share.max() - 1e-9)
+        many = edges[top + 1] - edges[top]
+        return np.repeat(edges[top] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 def _sums(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Running sums of the words' signed weights, bit by bit."""
     total = np.zeros((len(hashes) + 1, 64), np.int32)

@@ -246,6 +246,37 @@ def test_matches_equal_brute_force(spark, odd, none):
     assert decontaminate.matches(table, bench.limit(0)).collect() == []
 
 
+def test_cut_passages_beside_repeated_words_equal_brute_force():
+    rng = random.Random(4)
+    items = [" ".join(f"i{rng.randrange(400)}" for _ in range(rng.randint(15, 59))) for _ in range(60)]
+    docs = []
+    for t in items:
+        w = t.split()
+        for share in (0.8, 0.85, 0.9):
+            cut = w[: math.ceil(share * (len(w) - 4)) + 4]
+            for side in (["--"] * 80, [f"n{rng.randrange(400)}" for _ in range(80)]):
+                docs += [" ".join(cut + side), " ".join(side + cut), " ".join(side + w[:20] + side + cut + w[:9] + side)]
+    index = decontaminate.Index(list(range(60)), items, decontaminate.Search())
+    found = {(r, i): (start, size, value) for r, i, start, size, _, value in index.search(pa.array(docs))}
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(words, items)]
+    share = Counter(x for s in sets for x in s)
+    want = {}
+    for d, t in enumerate(docs):
+        w = words(t)
+        for i in {i for i, s in enumerate(sets) if any(tuple(w[j : j + 5]) in s for j in range(len(w) - 4))}:
+            n, weight = len(words(items[i])), {x: math.log1p(60 / share[x]) for x in sets[i]}
+            values = []
+            for a in range(max(1, len(w) - n + 1)):
+                here = {tuple(w[j : j + 5]) for j in range(a, min(a + n, len(w)) - 4)}
+                values.append(sum(weight[x] for x in weight if x in here) / sum(weight.values()))
+            if max(values) >= 0.8 - 1e-12:
+                want[d, i] = values
+    assert set(found) == set(want) and len(want) > 1000
+    for key, (start, size, value) in found.items():
+        assert value == pytest.approx(max(want[key])) and want[key][start] == pytest.approx(value)
+        assert size == min(len(words(items[key[1]])), len(words(docs[key[0]])))
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(1)
     index = decontaminate.Index(list(range(30)), [" ".join(f"q{rng.integers(500)}" for _ in range(20)) for _ in range(30)], decontaminate.Search())
