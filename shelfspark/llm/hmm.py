@@ -5,8 +5,7 @@ words of the training texts, the end, and ``classes`` classes of all other words
 a class has probability (c + 1) / (N + V + 1) within it, with its count c and the class's tokens N and
 distinct words V, so the model is a distribution over known words and leaves a share to unknown ones.
 
-Training first runs rounds on a bounded sample of texts to find the states, then rounds on all of them.
-It cuts texts into stretches; scoring does not.  Expected counts are summed by task, then by index, in the engine.
+Every round of training sees all training texts.  It cuts texts into stretches; scoring does not.  Expected counts are summed by task, then by index, in the engine.
 
 Counts of words outside the frequent ones meet the texts through packed postings, by cell of the word's hash: a
 cell never holds a word with more than its share of the corpus, since frequent words are looked up in place.
@@ -34,8 +33,7 @@ class Model:
     states: int = 8
     frequent: int = 8192
     classes: int = 512
-    sample_docs: int = 2000
-    sample_rounds: int = 8
+    sample_rounds: int = 8  # as ``rounds``, which they come before; no round samples
     rounds: int = 2
     stretch: int = 128
     prior: float = 500.0
@@ -209,6 +207,7 @@ def expected(flat: np.ndarray, bound: np.ndarray, stretch: int, start, step, emi
     """Baum-Welch counts of the sequences, cut into stretches, as one vector: starts, steps, emissions."""
     states, symbols = len(start), len(emit)
     starts, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols))
+    emit, ahead_of = np.ascontiguousarray(emit.T), np.ascontiguousarray(step.T)
     n = np.diff(bound)
     cuts = -(-n // stretch)
     first = np.repeat(np.arange(len(n)), cuts)
@@ -222,27 +221,27 @@ def expected(flat: np.ndarray, bound: np.ndarray, stretch: int, start, step, emi
         length, m = int(s[0]), len(b)
         live = np.searchsorted(-s, -np.arange(length), "left")
         obs = np.zeros((length, m), np.int64)
-        alpha, scale = np.zeros((length, m, states), np.float32), np.ones((length, m), np.float32)
-        before = np.where(opening[:, None], start, 1 / states).astype(np.float32)
+        alpha, scale = np.zeros((length, states, m), np.float32), np.ones((length, m), np.float32)
+        before = np.where(opening, start[:, None], 1 / states).astype(np.float32)
         for t, k in enumerate(live):
             obs[t, :k] = flat[b[:k] + t]
-            a = (alpha[t - 1, :k] @ step if t else before[:k]) * emit[obs[t, :k]]
-            scale[t, :k] = a.sum(axis=1)
-            alpha[t, :k] = a / scale[t, :k, None]
-        beta = np.ones((m, states), np.float32)
+            a = (ahead_of @ alpha[t - 1, :, :k] if t else before[:, :k]) * emit.take(obs[t, :k], axis=1)
+            a.sum(axis=0, out=scale[t, :k])
+            np.divide(a, scale[t, :k], out=alpha[t, :, :k])
+        beta = np.ones((states, m), np.float32)
         for t in range(length - 1, -1, -1):
             k = live[t]
-            gamma = alpha[t, :k] * beta[:k]
-            for j in range(states):
-                emits[j] += np.bincount(obs[t, :k], gamma[:, j], symbols) if k > symbols else 0
-            if k <= symbols:
-                np.add.at(emits.T, obs[t, :k], gamma)
+            alpha[t, :, :k] *= beta[:, :k]  # the states' shares of the symbol
             if t:
-                ahead = emit[obs[t, :k]] * beta[:k] / scale[t, :k, None]
-                steps += step * (alpha[t - 1, :k].T @ ahead)
-                beta[:k] = ahead @ step.T
+                ahead = emit.take(obs[t, :k], axis=1)
+                ahead *= beta[:, :k]
+                ahead /= scale[t, :k]
+                steps += step * (alpha[t - 1, :, :k] @ ahead.T)
+                beta[:, :k] = step @ ahead
             else:
-                starts += gamma[opening[:k]].sum(axis=0)
+                starts += alpha[0][:, opening].sum(axis=1)
+        for j in range(states):
+            emits[j] += np.bincount(obs.ravel(), alpha[:, j].ravel(), symbols)
     return np.concatenate([starts, steps.ravel(), emits.ravel()])
 
 
@@ -268,23 +267,20 @@ def _expect(how: Model, tables: tuple):
     return run
 
 
-def train(texts: DataFrame, unigram: np.ndarray, texts_n: int, how: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, step, emit by symbol) from the rows (doc_id, symbols) of the training texts."""
+def train(texts: DataFrame, unigram: np.ndarray, how: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, step, emit by symbol) from the symbols of all training texts."""
     h, rng = how.states, np.random.default_rng(how.seed)
     p = (unigram + 1) / (unigram + 1).sum()
     step = np.full((h, h), 0.1 / max(h - 1, 1))
     np.fill_diagonal(step, 0.9 if h > 1 else 1.0)
     emit = p * rng.gamma(2.0, 0.5, (h, len(p)))
     tables = np.full(h, 1 / h), step, (emit / emit.sum(axis=1, keepdims=True)).T
-    every = max(1, -(-texts_n // how.sample_docs))
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    for rows, rounds in ((sample, how.sample_rounds), (texts, how.rounds)):
-        for _ in range(rounds):
-            total = np.zeros(h + h * h + h * len(p))
-            found = rows.select("symbols").mapInArrow(_expect(how, tables), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-            total[found.column("i").to_numpy()] = found.column("v").to_numpy()
-            starts, steps, emits = total[:h] + 1, total[h : h + h * h].reshape(h, h) + 0.1, total[h + h * h :].reshape(h, -1) + how.prior * p
-            tables = starts / starts.sum(), steps / steps.sum(axis=1, keepdims=True), (emits / emits.sum(axis=1, keepdims=True)).T
+    for _ in range(how.sample_rounds + how.rounds):
+        total = np.zeros(h + h * h + h * len(p))
+        found = texts.select("symbols").mapInArrow(_expect(how, tables), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        total[found.column("i").to_numpy()] = found.column("v").to_numpy()
+        starts, steps, emits = total[:h] + 1, total[h : h + h * h].reshape(h, h) + 0.1, total[h + h * h :].reshape(h, -1) + how.prior * p
+        tables = starts / starts.sum(), steps / steps.sum(axis=1, keepdims=True), (emits / emits.sum(axis=1, keepdims=True)).T
     return tables
 
 
@@ -327,7 +323,7 @@ def scores(docs: DataFrame, how: Model = Model()) -> DataFrame:
     unigram = np.zeros(how.symbols)
     unigram[: len(top_n)] = top_n
     unigram[how.frequent : how.frequent + how.classes], unigram[-1] = rest[:, 0], ends
-    tables = train(texts.filter("train").select("doc_id", "symbols"), unigram, ends, how)
+    tables = train(texts.filter("train").select("symbols"), unigram, how)
 
     cell = F.pmod(F.shiftrightunsigned("h", 32), F.lit(cells)).cast("int")
     looked = postings.select("cell", "chunk", "words", "docs", "times").groupBy("cell").cogroup(vocabulary.select(cell.alias("cell"), "h", "n").groupBy("cell")).applyInArrow(_looked_up, "chunk long, docs binary, known binary, logs binary")

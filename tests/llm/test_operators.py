@@ -490,6 +490,35 @@ def test_expected_counts_add_up():
     assert np.allclose(total[12:].reshape(3, 6).sum(axis=0), np.bincount(flat, minlength=6), rtol=1e-3)
 
 
+def test_every_round_sees_all_training_texts(spark):
+    rng, how = random.Random(2), hmm.Model(frequent=24, classes=8, states=4)
+    docs = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(15)}" for _ in range(rng.randint(4, 16)))) for i in range(6000)]
+    found = {r.doc_id: r for r in hmm.scores(spark.createDataFrame(docs, "doc_id long, text string"), how).collect()}
+    w = kernels.Words(pa.array([t for _, t in docs]))
+    trained = np.array([not found[i].held_out for i in range(6000)])[w.row()]
+    one, n = np.unique(w.hash[trained], return_counts=True)
+    top = np.sort(one[np.lexsort((one.view(np.int64), -n))[:24]])
+    group, count = hmm.word_class(w, 8), n[np.searchsorted(one, w.hash)]
+    rare = ~np.isin(w.hash, top)
+    size = {c: (trained & rare & (group == c)).sum() + len(set(w.hash[rare & (group == c)].tolist())) + 1 for c in range(8)}
+    within = np.bincount(w.row(), np.where(rare, np.log10((count + 1) / np.array([size[c] for c in group.tolist()])), 0), 6000)
+    symbol = np.where(rare, 24 + group, np.searchsorted(top, w.hash))
+    sequences = [np.append(symbol[a:b], how.symbols - 1) for a, b in zip(w.bound[:-1], w.bound[1:], strict=True)]
+    learnt = [s for i, s in enumerate(sequences) if not found[i].held_out]
+    flat, bound = np.concatenate(learnt), np.cumsum([0, *map(len, learnt)])
+    unigram, init = np.bincount(flat, minlength=how.symbols), np.random.default_rng(how.seed)
+    p = (unigram + 1) / (unigram + 1).sum()
+    start, step, emit = np.full(4, 1 / 4), np.full((4, 4), 0.1 / 3), p * init.gamma(2.0, 0.5, (4, len(p)))
+    np.fill_diagonal(step, 0.9)
+    emit /= emit.sum(axis=1, keepdims=True)
+    for _ in range(10):
+        total = hmm.expected(flat, bound, how.stretch, *(x.astype(np.float32) for x in (start, step, emit.T)))
+        start, step, emit = total[:4] + 1, total[4:20].reshape(4, 4) + 0.1, total[20:].reshape(4, -1) + how.prior * p
+        start, step, emit = start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True)
+    want = hmm.forward(np.concatenate(sequences), np.cumsum([0, *map(len, sequences)]), start, step, emit.T) / np.log(10) + within
+    assert len(learnt) > 4000 and np.allclose([found[i].score for i in range(6000)], want, rtol=1e-4)
+
+
 def test_the_model_beats_single_words(spark):
     rng = random.Random(1)
     docs = [(i, " ".join(f"{'ab'[i % 2]}{rng.randrange(40)}" for _ in range(30))) for i in range(200)]
