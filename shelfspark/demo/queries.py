@@ -465,6 +465,32 @@ def _(spark, sf):
     return tables.touched(s, table(spark, sf, "lineitem").where("l_orderkey < 20").select(F.col("l_suppkey").alias("id")), "id", F.lit("new"), "stamp")
 
 
+# whole tables: all orders are old rows, and new ones have twice the key of each line, so that half of them are new
+@add("insert_ignore_all", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT DISTINCT 2 * l_orderkey, -1 FROM lineitem WHERE 2 * l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def _(spark, sf):
+    return tables.insert_ignore(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), _doubled(spark, sf), ["o_orderkey"])
+
+
+@add("upsert_replace_all", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT 2 * l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT 2 * l_orderkey, -1 FROM lineitem")
+def _(spark, sf):
+    return tables.upsert(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), _doubled(spark, sf).distinct(), ["o_orderkey"])
+
+
+@add("update_diff_all", "SELECT DISTINCT 2 * l_orderkey AS id, 'CREATE' AS action FROM lineitem UNION ALL SELECT o_orderkey, 'DELETE' FROM orders WHERE o_orderkey NOT IN (SELECT 2 * l_orderkey FROM lineitem)")
+def _(spark, sf):
+    return tables.difference(_doubled(spark, sf).withColumnRenamed("o_orderkey", "id"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), ["id"])
+
+
+@add("touch_from_join_all", "SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT 2 * l_orderkey FROM lineitem) THEN 'new' ELSE 'old' END AS stamp FROM orders")
+def _(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("stamp"))
+    return tables.touched(o, _doubled(spark, sf).withColumnRenamed("o_orderkey", "id"), "id", F.lit("new"), "stamp")
+
+
+def _doubled(spark, sf):
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2).alias("o_orderkey"), F.lit(-1).cast("long").alias("o_custkey"))
+
+
 @add("semi_exists", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
 def _(spark, sf):
     return tables.exists_in(table(spark, sf, "part").select("p_partkey"), table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
