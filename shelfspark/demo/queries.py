@@ -341,6 +341,12 @@ def _(spark, sf):
     return lookups.single_titles(rows, instances(spark, sf)).select("call_number", "k", "instance_title")
 
 
+@add("single_instance_title_all", f"""SELECT c.call_number, c.k, p_name AS instance_title FROM (SELECT call_number, location_id || prefix || suffix AS k, count(DISTINCT instance_id) AS n, min(instance_id) AS one FROM {ITEM_SQL} GROUP BY ALL) c LEFT JOIN part ON c.n = 1 AND p_partkey::VARCHAR = c.one""")
+def _(spark, sf):
+    rows = items(spark, sf).groupBy("call_number", F.concat("location_id", "prefix", "suffix").alias("k")).agg(F.collect_set("instance_id").alias("instance_ids"))
+    return lookups.single_titles(rows, instances(spark, sf)).select("call_number", "k", "instance_title")
+
+
 @add("subject_counts", "SELECT subject, count(*) AS count FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS subject FROM part) WHERE subject IN ('red', 'bolt') GROUP BY 1")
 def _(spark, sf):
     return lookups.subject_counts(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name"), F.split("p_name", " "), ["RED", "bolt"])
@@ -362,6 +368,23 @@ def _(spark, sf):
     return x.select("p_partkey", F.get("v", F.lit(0)).alias("isbn"), F.get("v", F.lit(1)).alias("second"))
 
 
+# all parts: those the form of a third of them leaves out end in X or have a remark behind
+@add("fn_isbn_all", """SELECT p_partkey, '97' || (8 + p_partkey % 2) || lpad((p_partkey % 10000)::VARCHAR, 10, '0') AS isbn, CASE WHEN p_partkey % 3 = 2 THEN '(pbk.)' END AS second FROM part WHERE p_partkey % 3 <> 1
+ UNION ALL SELECT p_partkey, d || CASE WHEN chk < 10 THEN chk::VARCHAR ELSE '-x' END, CASE WHEN chk < 10 THEN '978' || d || ((10 - s13 % 10) % 10) END FROM (SELECT *, (11 - s % 11) % 11 AS chk, 38 + 3 * (x1 + x3 + x5 + x7 + x9) + x2 + x4 + x6 + x8 AS s13 FROM (
+ SELECT *, 10 * x1 + 9 * x2 + 8 * x3 + 7 * x4 + 6 * x5 + 5 * x6 + 4 * x7 + 3 * x8 + 2 * x9 AS s FROM (
+ SELECT p_partkey, d, d[1]::INT AS x1, d[2]::INT AS x2, d[3]::INT AS x3, d[4]::INT AS x4, d[5]::INT AS x5, d[6]::INT AS x6, d[7]::INT AS x7, d[8]::INT AS x8, d[9]::INT AS x9 FROM (SELECT p_partkey, lpad((p_partkey * 7919)::VARCHAR, 9, '0') AS d FROM part WHERE p_partkey % 3 = 1))))""")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    nine = F.lpad((k * 7919).cast("string"), 9, "0")
+    total = sum((F.substring(nine, i + 1, 1).cast("int") * (10 - i) for i in range(9)), F.lit(0))
+    check = (F.lit(11) - total % 11) % 11
+    thirteen = F.concat(F.lit("97"), (F.lit(8) + k % 2).cast("string"), F.lpad((k % 10000).cast("string"), 10, "0"))
+    ten = F.concat(F.substring(nine, 1, 1), F.lit("-"), F.substring(nine, 2, 4), F.lit(" "), F.substring(nine, 6, 4), F.lit("-"), F.when(check < 10, check.cast("string")).otherwise("X"))
+    raw = F.when(k % 3 == 0, thirteen).when(k % 3 == 1, ten).otherwise(F.concat(thirteen, F.lit(" (PBK.)")))
+    x = table(spark, sf, "part").select("p_partkey", identifiers.isbn(raw).alias("v"))
+    return x.select("p_partkey", F.get("v", F.lit(0)).alias("isbn"), F.get("v", F.lit(1)).alias("second"))
+
+
 @add("fn_oclc", "SELECT p_partkey, CASE WHEN p_partkey = 0 THEN NULL ELSE p_partkey || '-' || p_size END AS oclc FROM part WHERE p_partkey > 0")
 def _(spark, sf):
     p = table(spark, sf, "part").where("p_partkey > 0")
