@@ -93,7 +93,18 @@ def entropies(text: Column, base: Column, how: Scan) -> Column:
     """Array of (start, kind, end) of the entropy spans."""
     run = f"(?<![{TOKEN}])[{TOKEN}]{{{how.window},}}"
     found = located(text, run, 3)
-    open_ = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def piece(start, end):
+        return F.when(end - start >= how.window, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
+
+    def rest(s):
+        """What the base spans leave of a run, in pieces."""
+        touching = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], b["start"])).alias("out"))
+        return F.aggregate(touching, F.struct(s["start"].alias("at"), none.alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], s["end"])))
+
+    open_ = F.flatten(F.transform(found, rest))
     named = F.transform(open_, lambda s: F.struct(s["start"].alias("start"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("c")))
     allowed = "^(?:" + "|".join(how.allow) + ")$" if how.allow else "^$"
     named = F.filter(named, lambda s: ~s["c"].rlike(allowed))

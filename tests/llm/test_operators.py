@@ -411,6 +411,15 @@ def test_secrets_equal_brute_force(spark, odd, none):
     assert secrets.scan(none).collect() == []
 
 
+def test_keys_beside_base_spans_are_found(spark):
+    base, key = "deadbeef00112233", "Zq7Rt9Xw2Lm4Np6Ks8Gv"
+    texts = [f"path/{base}/{key}", f"{key}/{base}", f"{key}_{base}_{key}", base, f"{base}/{key[:18]}"]
+    found = {r.doc_id: r.spans.split(",") for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    keys = {i: [texts[i][int(a) : int(b)].strip("/_") for k, a, b in (x.split(":") for x in s) if k == "entropy"] for i, s in found.items()}
+    assert keys == {0: [key], 1: [key], 2: [key, key], 3: [], 4: []}
+    assert all(any(x.startswith("hex:") for x in s) for s in found.values())
+
+
 # 8: fingerprints
 
 
