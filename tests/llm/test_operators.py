@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -444,6 +445,49 @@ def test_edited_texts_and_likeness(odd, none):
     assert ordermin.compared(none).collect() == []
 
 
+def brute_print(text, how):
+    """The fingerprint from its definition: sort all numbered k-mers under each mask, take two, put them in text order."""
+
+    def hashed(*values):
+        h = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else int(v).to_bytes(8 if isinstance(v, np.int64) else 4, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, h)
+        return h
+
+    wide = "\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff"
+    w = re.findall(f"[{wide}]|[^ \t\n\x0b\x0c\r{wide}]{{1,16}}", text or "")
+    if not w:
+        return ""
+    seen, grams = Counter(), []
+    for i in range(max(len(w) - how.k, 0) + 1):
+        g = hashed(*w[i : i + how.k], how.seed) >> 1
+        grams.append(hashed(np.int64(g), seen[g]) >> 1 if seen[g] else g)
+        seen[g] += 1
+    out = []
+    for mask in how.masks:
+        two = sorted((g ^ mask, i) for i, g in enumerate(grams))[:2]
+        h = hashed(*[np.int64(v) for v, _ in sorted(two, key=lambda x: x[1])])
+        out.append(f"{h >> 32:08x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_brute_force(spark, odd):
+    how = ordermin.OrderMin()
+    wide = ["日本語のテキストには空白がありません。" * 5, "混ぜた mixed 文 text", "QUJD" * 40]
+    docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(800 + i, t) for i, t in enumerate(wide)], "doc_id long, text string"))
+    found = Counter((r.doc_id, r.fingerprint) for r in ordermin.compared(docs).collect())
+    assert found == Counter((d, brute_print(t, how)) for d, t in rows_of(docs))
+
+
+def test_texts_without_blanks_have_likeness(spark):
+    rng = random.Random(11)
+    long = lambda letters: "".join(rng.choice(letters) for _ in range(3000))
+    han, code = long([chr(0x4E00 + i) for i in range(2000)]), long("ABCDEFGHabcdefgh0123456789+/")
+    found = {r.doc_id: r for r in ordermin.compared(spark.createDataFrame([(1, han), (2, code), (3, "end")], "doc_id long, text string")).collect()}
+    assert found[1].near_edited > 0.2 and found[2].near_edited > 0.2 and found[1].near_next == found[2].near_next == 0
+
+
 def test_order_matters(spark):
     rng = random.Random(3)
     w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
