@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from . import kernels
+from . import kernels, store
 
 #: Bytes of text whose features are made at once; they take some fifty times as much memory.
 SLICE = 1 << 20
@@ -90,7 +90,9 @@ def sigmoid(x):
 
 
 def fit(rows: list[tuple], how: Ftrl) -> np.ndarray:
-    """Weights from rows (index, value, swapped index or None, swapped value, label)."""
+    """Weights from rows (index, value, others, label); ``others``: the same for each counterfactual text, the last of them the one
+    that names no group.  In each epoch a row meets one of the former, drawn anew, and the latter: the squared change of the
+    score is penalised, and both are learnt with the row's own label."""
     z, n, w = np.zeros(1 << how.bits), np.zeros(1 << how.bits), np.zeros(1 << how.bits)
     l1 = np.full(1 << how.bits, how.l1)
     l1[0] = 0
@@ -105,66 +107,79 @@ def fit(rows: list[tuple], how: Ftrl) -> np.ndarray:
         z[i] += g - sigma * wi
         n[i] += g * g
 
+    def pull(score, label):
+        return (sigmoid(score) - label) * (how.positive if label else 1)
+
     for _ in range(how.epochs):
         for r in rng.permutation(len(rows)):
-            index, value, other, theirs, label = rows[r]
+            index, value, others, label = rows[r]
             wi = weights(index)
             score = wi @ value
-            pull = sigmoid(score) - label
-            if label:
-                pull *= how.positive
-            if other is not None and how.swap_penalty:
-                # penalty * (score - swapped score) ** 2: both texts should be judged alike
-                gap = 2 * how.swap_penalty * (score - weights(other) @ theirs)
-                every = np.union1d(index, other)
-                g = np.zeros(len(every))
-                g[np.searchsorted(every, index)] += (pull + gap) * value
-                g[np.searchsorted(every, other)] -= gap * theirs
-                step(every, g, weights(every))
-            else:
-                step(index, pull * value, wi)
+            if not others or not how.swap_penalty:
+                step(index, pull(score, label) * value, wi)
+                continue
+            met = [others[-1]] + ([others[rng.integers(len(others) - 1)]] if len(others) > 1 else [])
+            every = np.unique(np.concatenate([index, *(i for i, _ in met)]))
+            g, own = np.zeros(len(every)), pull(score, label)
+            for i, x in met:
+                other = weights(i) @ x
+                gap = 2 * how.swap_penalty * (score - other)
+                own += gap
+                g[np.searchsorted(every, i)] += (pull(other, label) - gap) * x
+            g[np.searchsorted(every, index)] += own * value
+            step(every, g, weights(every))
     every = np.flatnonzero(n)
     w[every] = weights(every)
     return w.astype(np.float32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, extract: Callable, rows: int, of: int = 5) -> list[tuple]:
-    """Features of a bounded sample: the ``rows`` labelled ids outside the held-out part whose hash is lowest."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, extract: Callable, rows: int, features: int, of: int = 5) -> list[tuple]:
+    """Features of a bounded sample: of the labelled ids outside the held-out part, at most ``rows`` whose hash is lowest, as far
+    as their features add up to ``features``.  An id that repeats counts once for each label, with the text whose hash is lowest."""
     picked = (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label"))
         .filter(F.col("__label").isNotNull() & F.col("__id").isNotNull() & ~held_out(F.col("__id"), of, 0))
-        .orderBy(F.xxhash64("__id"), "__label")
+        .distinct()
+        .orderBy(F.xxhash64("__id"), "__id", "__label")
         .limit(rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select(F.col("__label").alias("label"), "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    sample = sample.groupBy("__id", "__label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = sample.select(F.xxhash64("__id", "__label").alias("order"), F.col("__label").alias("label"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "text", SLICE):
-                bound, index, value, bound2, index2, value2 = extract(part.column("text"))
+                (bound, index, value), others = extract(part.column("text"))
+                cut = lambda b, x, i: x[b[i] : b[i + 1]].tobytes()
+                i2, x2 = [], []
+                for i in range(part.num_rows):
+                    own = [(cut(b, j.astype(np.int32), i), cut(b, v.astype(np.float32), i)) for b, j, v, named in others if named[i]]
+                    i2.append([o[0] for o in own])
+                    x2.append([o[1] for o in own])
                 yield pa.record_batch(
                     {
+                        "order": part.column("order"),
                         "label": part.column("label"),
+                        "n": pa.array(np.diff(bound) + [sum(len(o) // 4 for o in row) for row in i2], pa.int64()),
                         "i": kernels.binary(index.astype(np.int32), bound),
                         "x": kernels.binary(value.astype(np.float32), bound),
-                        "i2": kernels.binary(index2.astype(np.int32), bound2),
-                        "x2": kernels.binary(value2.astype(np.float32), bound2),
+                        "i2": pa.array(i2, pa.list_(pa.binary())),
+                        "x2": pa.array(x2, pa.list_(pa.binary())),
                     }
                 )
 
+    made = store.stored(sample.mapInArrow(run, "order long, label int, n long, i binary, x binary, i2 array<binary>, x2 array<binary>"), "features")
+    sizes = sorted(made.select("order", "n").collect())
+    whole = int(np.searchsorted(np.cumsum([s.n for s in sizes]), features, "right"))
     out = []
-    for r in sample.mapInArrow(run, "label int, i binary, x binary, i2 binary, x2 binary").toLocalIterator(prefetchPartitions=True):
-        out.append((r.label, bytes(r.i), bytes(r.x), bytes(r.i2), bytes(r.x2)))
-    out.sort()  # the same order whatever task came first
-    one = np.zeros(1, np.int32), np.ones(1, np.float32)
-    rows_ = []
-    for y, i, x, i2, x2 in out:
-        index, value = np.concatenate([one[0], np.frombuffer(i, np.int32)]), np.concatenate([one[1], np.frombuffer(x, np.float32)])
-        if i2:
-            rows_.append((index, value, np.concatenate([one[0], np.frombuffer(i2, np.int32)]), np.concatenate([one[1], np.frombuffer(x2, np.float32)]), y))
-        else:
-            rows_.append((index, value, None, None, y))
-    return rows_
+    if whole:
+        view = lambda i, x: (np.append(np.int32(0), np.frombuffer(i, np.int32)), np.append(np.float32(1), np.frombuffer(x, np.float32)))
+        for r in made.filter(F.col("order") <= sizes[whole - 1].order).toLocalIterator():
+            out.append((r.order, *view(r.i, r.x), [view(*o) for o in zip(r.i2, r.x2, strict=True)], r.label))
+    store.dropped(made)
+    out.sort(key=lambda r: r[0])  # the same order whatever task came first
+    return [r[1:] for r in out]
 
 
 def scored(docs: DataFrame, weights: np.ndarray, extract: Callable, name: str = "score") -> DataFrame:
@@ -174,7 +189,7 @@ def scored(docs: DataFrame, weights: np.ndarray, extract: Callable, name: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "text", SLICE):
-                bound, index, value, *_ = extract(part.column("text"))
+                (bound, index, value), _ = extract(part.column("text"))
                 dot = kernels.reduced(np.add, weights[index] * value, bound, 0).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigmoid(dot + weights[0]))], names=[*part.schema.names, name])
 

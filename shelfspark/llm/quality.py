@@ -21,9 +21,10 @@ from . import kernels, linear
 
 @dataclass(frozen=True)
 class Quality:
-    """``rows``: the most labelled rows that are learnt from."""
+    """``rows``: the most labelled rows that are learnt from; ``features``: the most features that these have together."""
 
     rows: int = 8000
+    features: int = 40_000_000
     threshold: float = 0.3
     ftrl: linear.Ftrl = field(default_factory=lambda: linear.Ftrl(bits=18, alpha=0.6, beta=0.05, l1=0.05, epochs=4))
 
@@ -58,14 +59,13 @@ def extractor(bits: int):
         h, where = np.concatenate([v[0] for v in views]), np.concatenate([v[1] for v in views])
         bound, index, count = linear.counted(h, where, len(column), bits)
         value = np.sqrt(count / np.maximum(np.repeat(np.diff(runs.bound), np.diff(bound)), 1))
-        none = np.zeros(len(column) + 1, np.int64)
-        return bound, index, value, none, index[:0], value[:0]
+        return (bound, index, value), []
 
     return extract
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Quality = Quality()) -> np.ndarray:
-    return linear.fit(linear.training_rows(docs, labels, "quality", extractor(how.ftrl.bits), how.rows), how.ftrl)
+    return linear.fit(linear.training_rows(docs, labels, "quality", extractor(how.ftrl.bits), how.rows, how.features), how.ftrl)
 
 
 def scores(docs: DataFrame, labels: DataFrame, how: Quality = Quality()) -> DataFrame:

@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Folders of the tables stored and not dropped.
+MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where the session has none."""
+    """Folder named by ``spark.checkpoint.dir``; where a local session has none, a temporary one, and an error on a cluster."""
     found = spark.conf.get(KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{KEY} has to name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="shelfspark-")
         spark.conf.set(KEY, found)
     return found.rstrip("/")
@@ -28,12 +32,27 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    MADE.add(path)
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` once nothing reads them any more."""
+    for df in tables:
+        delete(df.sparkSession, df.stored_path)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    MADE.discard(folder)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that this process has stored and not dropped; for when the results of its queries are used up."""
+    folders = sorted(MADE)
+    for folder in folders:
+        delete(spark, folder)
+    return len(folders)
