@@ -8,8 +8,7 @@ weights, and the mix is encoded.  All but the last return the columns of ``docum
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm import decontaminate, minhash, mixing, store, tokens, toxicity
 
@@ -20,14 +19,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group over five-word shingles at 0.8: the one with the smallest id; of rows that repeat an id, the first by text."""
-    found = store.stored(minhash.near_duplicates(docs, minhash.NearDup(words=5, percent=80)).select("doc_id", "kept"), "near-duplicates")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.withColumn("__order", order).filter((F.col("__order") == 1) | F.col("doc_id").isNull()).drop("__order")
-    return out
+    """One document of each group over five-word shingles at 0.8: the one with the smallest id.
+
+    Rows that repeat an id with different texts are documents of their own; of equal rows one stays.  Documents without words or without an id link with nothing and stay."""
+    return minhash.unique(docs, minhash.NearDup(words=5, percent=80))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

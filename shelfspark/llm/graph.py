@@ -29,4 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = store.stored(new, "labels")
         store.dropped(labels)
         labels = new
-    return labels.select(F.col("v").alias("node"), F.col("l").alias("component"))
+    store.dropped(both)
+    found = labels.select(F.col("v").alias("node"), F.col("l").alias("component"))
+    found.stored_path = labels.stored_path
+    return found

@@ -12,10 +12,14 @@ still share a list are paired, at the rarest coordinate they share.  Three filte
 near a large group, but not in it, from being paired up.  Two are exact: a set's shingles that no other set has
 cannot be shared, which bounds the similarity of a set, and of a pair.  The third is a longer signature of one
 bit a coordinate, whose differing bits stay below the bound that a similar pair passes with the same chance.
+Posting lists are joined in parts of ``part_rows`` sets, so one very common pair is no task of its own.
+
+``missed`` is the chance at which a pair exactly at the threshold may be lost, for coordinates and for bits.  With 0
+nothing is: shingles themselves are posted, each set under the rarest of its own that any similar set has to share.
 
 Nulls and empties: a null or empty text, or one without words, has no shingles and links with nothing.  A
 row with a null ``doc_id`` is returned with a null component and kept.  Rows that repeat a ``doc_id`` are
-rows of their own with the same node.  Extra columns are ignored.
+rows of their own, each linked by its own text; what one of them reaches counts for that one.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,14 +40,15 @@ from . import graph, kernels, store
 class NearDup:
     """``percent``: 100 * |A & B| >= percent * |A | B| links two documents, on shingles of ``words`` words.
 
-    ``missed`` bounds the chance that a pair exactly at the threshold falls below the signature's match count.
+    ``missed`` bounds the chance that a pair exactly at the threshold falls below the signature's match count; 0 posts shingles.
     """
 
     words: int = 5
     percent: int = 80
     coordinates: int = 32
-    missed: float = 2e-5
+    missed: float = 1e-9
     bits: int = 1024
+    part_rows: int = 1000
     seed: int = 11
 
     @property
@@ -66,6 +71,11 @@ class NearDup:
         return n
 
 
+def fingerprints(found: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each set, which together with its size tell it from others."""
+    return kernels.reduced(np.add, found, bound, 0).view(np.int64), kernels.reduced(np.add, kernels.mix(found ^ np.uint64(0x5BD1E995)), bound, 0).view(np.int64)
+
+
 def _signatures(how: NearDup):
     words, k, seed = how.words, how.coordinates, how.seed
 
@@ -85,9 +95,9 @@ def _signatures(how: NearDup):
                 yield pa.record_batch(
                     {
                         "doc_id": part.column("doc_id"),
+                        "text_hash": part.column("text_hash"),
                         "n": pa.array(n, pa.int64()),
-                        "f1": pa.array(kernels.reduced(np.add, found, bound, 0).view(np.int64)),
-                        "f2": pa.array(kernels.reduced(np.add, kernels.mix(found ^ np.uint64(0x5BD1E995)), bound, 0).view(np.int64)),
+                        **{name: pa.array(v) for name, v in zip(("f1", "f2"), fingerprints(found, bound), strict=True)},
                         "pairs": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * k, pa.int32()), flat),
                     }
                 )
@@ -96,13 +106,17 @@ def _signatures(how: NearDup):
 
 
 def _sets(how: NearDup):
+    """Shingles of each class from the one text of its representative's rows that has its fingerprints."""
     words = how.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "text"):
                 found, bound = kernels.distinct(*kernels.shingles(kernels.Words(part.column("text")), words))
-                yield pa.record_batch({"rep": part.column("rep"), "shingles": pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(found.view(np.int64)))})
+                n, own = np.diff(bound), fingerprints(found, bound)
+                same = (n == part.column("n").to_numpy()) & (own[0] == part.column("f1").to_numpy()) & (own[1] == part.column("f2").to_numpy())
+                out = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(found.view(np.int64)))
+                yield pa.record_batch({"cid": part.column("cid"), "shingles": out}).filter(pa.array(same))
 
     return run
 
@@ -121,7 +135,7 @@ def _bits(how: NearDup):
                     bits[j : j + 64] = kernels.mix(low) & np.uint64(1)
                 out[i] = np.packbits(bits, bitorder="little").view(np.int64)
             bound = np.arange(batch.num_rows + 1, dtype=np.int32) * (n // 64)
-            yield pa.record_batch({"rep": batch.column("rep"), "bits": pa.ListArray.from_arrays(pa.array(bound), pa.array(out.ravel()))})
+            yield pa.record_batch({"cid": batch.column("cid"), "bits": pa.ListArray.from_arrays(pa.array(bound), pa.array(out.ravel()))})
 
     return run
 
@@ -143,8 +157,8 @@ def _confirm(how: NearDup):
 def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     """Those (a, b) whose whole shingle sets are similar enough."""
     joined = (
-        pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        .join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+        pairs.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+        .join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
         .select("a", "b", "x", "y")
     )
     kind = dict(pairs.dtypes)["a"]
@@ -153,59 +167,111 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id), row for row of ``docs``."""
-    docs = docs.select("doc_id", "text")
+    return placed(docs, how).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def unique(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, of several the text whose hash is lowest, of equal rows one.
+    Rows that link with nothing, or have no id, stay as they are."""
+    rows = store.stored(placed(docs, how).filter("n > 0 and doc_id is not null").select("doc_id", "text_hash", "component"), "components")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = rows.join(first, "component").filter("doc_id <> first.doc_id or text_hash <> first.text_hash")
+    gone = gone.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
+    hashed = docs.withColumn("__t", F.xxhash64("text"))
+    out = hashed.join(gone, (hashed["doc_id"] == F.col("__d")) & (hashed["__t"] == F.col("__h")), "left_anti")
+    repeated = rows.groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if repeated.limit(1).count():
+        again = out.join(F.broadcast(repeated) if repeated.limit(10_001).count() <= 10_000 else repeated, (out["doc_id"] == repeated["doc_id"]) & (out["__t"] == repeated["text_hash"]), "left_semi")
+        rest = out.join(repeated, (out["doc_id"] == repeated["doc_id"]) & (out["__t"] == repeated["text_hash"]), "left_anti")
+        out = rest.unionAll(again.dropDuplicates(["doc_id", "__t"]))
+    return out.select(*[out[c] for c in docs.columns])
+
+
+def placed(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
+    """doc_id, text_hash, n, component (a number), component_id, row for row of ``docs``."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = dict(docs.dtypes)["doc_id"]
-    need = how.matches
-    rows = store.stored(docs.mapInArrow(_signatures(how), f"doc_id {kind}, n long, f1 long, f2 long, pairs array<long>"), "signatures")
+    rows = store.stored(docs.mapInArrow(_signatures(how), f"doc_id {kind}, text_hash long, n long, f1 long, f2 long, pairs array<long>"), "signatures")
     linked = rows.filter("n > 0 and doc_id is not null")
 
+    # a class is one shingle set; its number is fixed by storing it
     same = linked.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("pairs").alias("pairs"))
-    same = store.stored(same.select("rep", "f1", "f2", "n", "pairs"), "classes")
-    posted = same.select("rep", "n", F.explode("pairs").alias("pair"))
+    same = store.stored(same.select(F.monotonically_increasing_id().alias("cid"), "rep", "f1", "f2", "n", "pairs"), "classes")
+    repeated = linked.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+
+    def whole(classes: DataFrame) -> DataFrame:
+        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(classes.select("cid", "rep", "f1", "f2", "n"), "rep")
+        found = texts.mapInArrow(_sets(how), "cid long, shingles array<long>")
+        return store.stored(found.dropDuplicates(["cid"]) if repeated else found, "sets")
+
+    if how.missed:
+        least, posted = F.lit(how.matches), same.select("cid", "n", F.explode("pairs").alias("pair"))
+    else:
+        sets = whole(same)
+        least, posted = F.ceil(F.col("n") * how.percent / 100).cast("int"), sets.join(same.select("cid", "n"), "cid").select("cid", "n", F.explode("shingles").alias("pair"))
     shared = posted.groupBy("pair").count().filter("count > 1")
     # pairs that no other set has cannot match; what is left is ordered from the rarest on
     ordered = (
         posted.join(shared, "pair")
-        .groupBy("rep", "n")
+        .groupBy("cid", "n")
         .agg(F.sort_array(F.collect_list(F.struct("count", "pair"))).alias("found"), F.sum(F.log2("count")).alias("common"))
-        .filter(F.size("found") >= need)
+        .filter(F.size("found") >= least)
     )
-    ordered = store.stored(ordered.select("rep", "n", "common", F.col("found.pair").alias("pairs")), "ordered")
-    sets = store.stored(docs.withColumnRenamed("doc_id", "rep").join(ordered.select("rep"), "rep").mapInArrow(_sets(how), f"rep {kind}, shingles array<long>"), "sets")
+    ordered = store.stored(ordered, "ordered")
+    if how.missed:
+        sets = whole(same.join(ordered.select("cid"), "cid", "left_semi"))
     # a set that alone has too many of its shingles is similar enough to none
-    each = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("rep").alias("many"), F.min("rep").alias("rep"))
-    single = each.filter("many = 1").groupBy("rep").agg(F.count("shingle").alias("single"))
-    live = ordered.join(single, "rep", "left").withColumn("common_n", F.col("n") - F.coalesce("single", F.lit(0))).drop("single").filter(F.col("common_n") * 100 >= F.col("n") * how.percent)
-    prefix = store.stored(live.withColumn("pair", F.explode(F.slice("pairs", 1, F.size("pairs") - (need - 1)))), "prefix")
-    pivots = prefix.groupBy("pair").agg(F.count("rep").alias("many"), F.min("rep").alias("low"), F.max_by("rep", F.struct("common", "rep")).alias("hub")).filter("many > 1").drop("many")
-    starred = prefix.join(pivots, "pair").select("rep", F.explode(F.array("low", "hub")).alias("pivot")).filter("rep <> pivot")
-    stars = store.stored(starred.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "stars")
+    each = sets.select("cid", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("cid").alias("many"), F.min("cid").alias("cid"))
+    single = each.filter("many = 1").groupBy("cid").agg(F.count("shingle").alias("single"))
+    live = ordered.join(single, "cid", "left").withColumn("common_n", F.col("n") - F.coalesce("single", F.lit(0))).drop("single").filter(F.col("common_n") * 100 >= F.col("n") * how.percent)
+    first_pairs = F.explode(F.slice("found", 1, F.size("found") - (least - 1))).alias("p")
+    prefix = live.select("cid", "n", "common", "common_n", F.col("found.pair").alias("pairs"), first_pairs)
+    # a list is dealt into parts of about part_rows sets
+    parts = F.ceil(F.col("p.count") / how.part_rows).cast("int")
+    prefix = prefix.select("cid", "n", "common", "common_n", "pairs", "p.pair", parts.alias("parts"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"))
+    prefix = store.stored(prefix, "prefix")
+    each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    pivots = prefix.groupBy("pair").agg(F.count("cid").alias("many"), F.min("cid").alias("low"), F.max_by("cid", F.struct("common", "cid")).alias("hub"), F.first("parts").alias("parts"))
+    pivots = pivots.filter("many > 1").select("pair", each_part, "low", "hub")
+    starred = prefix.join(pivots, ["pair", "part"]).select("cid", F.explode(F.array("low", "hub")).alias("pivot")).filter("cid <> pivot")
+    stars = store.stored(starred.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct(), "stars")
     links = store.stored(confirmed(stars, sets, how), "links")
 
     first = graph.components(links)
-    placed = prefix.join(first, prefix.rep == first.node, "left").select("rep", "n", "common_n", "pairs", "pair", F.coalesce("component", "rep").alias("part"))
-    several = placed.groupBy("pair").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("pair")
-    open_ = store.stored(placed.join(several, "pair", "left_semi"), "open")
-    bits = store.stored(sets.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_bits(how), f"rep {kind}, bits array<long>"), "bits")
-    left = store.stored(open_.join(bits, "rep"), "left")
+    at = prefix.join(first, prefix.cid == first.node, "left").select("cid", "n", "common_n", "pairs", "pair", "parts", "part", F.coalesce("component", "cid").alias("comp"))
+    several = at.groupBy("pair").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("parts").alias("parts")).filter("x <> y").select("pair", each_part)
+    open_ = store.stored(at.join(several, ["pair", "part"], "left_semi").drop("parts", "part"), "open")
+    if how.missed:
+        bits = store.stored(sets.join(open_.select("cid").distinct(), "cid", "left_semi").mapInArrow(_bits(how), "cid long, bits array<long>"), "bits")
+        left = store.stored(open_.join(bits, "cid"), "left")
+        store.dropped(open_, bits)
+    else:
+        left = open_
     a, b = left.alias("a"), left.alias("b")
-    most_common = F.least("a.common_n", "b.common_n")
-    differ = sum((F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(how.bits // 64)), F.lit(0))
+    both_n = (F.col("a.n") + F.col("b.n")) * how.percent
     common = F.array_intersect("a.pairs", "b.pairs")
+    if how.missed:
+        differ = sum((F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(how.bits // 64)), F.lit(0))
+        enough = (differ <= how.most_differing) & (F.size(common) >= how.matches)
+    else:
+        enough = F.size(common) * (100 + how.percent) >= both_n
     open_pairs = a.join(
         b,
         (F.col("a.pair") == F.col("b.pair"))
-        & (F.col("a.rep") < F.col("b.rep"))
-        & (F.col("a.part") != F.col("b.part"))
-        & (most_common * (100 + how.percent) >= (F.col("a.n") + F.col("b.n")) * how.percent)
-        & (differ <= how.most_differing)
-        & (F.size(common) >= need)
+        & (F.col("a.cid") < F.col("b.cid"))
+        & (F.col("a.comp") != F.col("b.comp"))
+        & (F.least("a.common_n", "b.common_n") * (100 + how.percent) >= both_n)
+        & enough
         & (F.get(common, F.lit(0)) == F.col("a.pair")),  # each pair once, at the rarest coordinate that it shares
-    ).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    more = confirmed(store.stored(open_pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs"), sets, how)
-    final = graph.components(links.unionAll(store.stored(more, "more")))
-
-    classes = same.join(final, same.rep == final.node, "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
-    whole = linked.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return whole.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    ).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+    open_pairs = store.stored(open_pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    more = store.stored(confirmed(open_pairs, sets, how), "more")
+    final = graph.components(links.unionAll(more))
+    store.dropped(ordered, sets, prefix, stars, left, open_pairs, links, more, first)
+
+    numbered = same.join(final, same.cid == final.node, "left").select("f1", "f2", "n", "rep", F.coalesce("component", "cid").alias("component"))
+    least_id = numbered.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = numbered.drop("rep").join(least_id, "component")
+    whole_rows = linked.select("doc_id", "text_hash", "n", "f1", "f2").join(classes, ["f1", "f2", "n"]).select("doc_id", "text_hash", "n", "component", "component_id")
+    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "text_hash", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return whole_rows.unionAll(alone)

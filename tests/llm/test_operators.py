@@ -87,8 +87,8 @@ def brute_components(docs, k, percent):
     return sorted((str(d), len(s), str(least[root(i)] if d is not None else None)) for i, (d, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(spark, odd, k, percent):
+@pytest.mark.parametrize("k,percent,missed", [(3, 85, 1e-9), (5, 80, 1e-9), (3, 85, 0)])
+def test_near_duplicates_equal_brute_force(spark, odd, k, percent, missed):
     rng = random.Random(k)
     more, group = [], [f"v{i}" for i in range(150)]
     for i in range(60):  # a group of near copies with few to many changes
@@ -97,13 +97,28 @@ def test_near_duplicates_equal_brute_force(spark, odd, k, percent):
             copy[rng.randrange(150)] = f"c{rng.randrange(40)}"
         more.append((1000 + i, " ".join(copy)))
     docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
-    found = minhash.near_duplicates(docs.withColumn("component", F.lit(1)), minhash.NearDup(k, percent)).collect()
+    found = minhash.near_duplicates(docs.withColumn("component", F.lit(1)), minhash.NearDup(k, percent, missed=missed, part_rows=20)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute_components(rows_of(docs), k, percent)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in found)
 
 
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).collect() == []
+    assert minhash.unique(none).collect() == []
+
+
+@pytest.mark.parametrize("missed", [1e-9, 0])
+def test_an_id_with_several_texts_links_by_each(spark, missed):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, a), (5, b), (7, b + " tail"), (8, c), (9, a + " more"), (5, a), (None, a), (None, a), (4, None), (4, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("x")).withColumn("text_hash", F.lit("y"))
+    how = minhash.NearDup(3, 85, missed=missed)
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, how).collect())
+    assert found == Counter([(5, 98, 5)] * 3 + [(7, 99, 5), (8, 98, 8), (9, 99, 5)] + [(None, 98, None)] * 2 + [(4, 0, 4)] * 3)
+    left = minhash.unique(docs, how)
+    assert left.columns == docs.columns
+    kept = Counter((r.doc_id, (r.text or "none")[:1]) for r in left.collect())
+    assert kept == Counter([(5, "a"), (5, "b"), (8, "c"), (None, "a"), (None, "a"), (4, "n"), (4, "n"), (4, "n")])
 
 
 def test_components_of_chains_and_stars(spark):
@@ -341,16 +356,32 @@ def test_toxicity_is_learnt_and_groups_are_not(spark, odd, none):
     def gap(penalty):
         ftrl = linear.Ftrl(**{**how.ftrl.__dict__, "swap_penalty": penalty})
         weights = toxicity.train(docs, labels, toxicity.Toxicity(ftrl=ftrl))
-        bound, index, value, *_ = toxicity.extractor(ftrl.bits)(probe)
+        (bound, index, value), _ = toxicity.extractor(ftrl.bits)(probe)
         dot = kernels.reduced(np.add, weights[index] * value, bound, 0)
         return abs(dot[0] - dot[1])
 
     assert gap(2.0) < 0.5 * gap(0.0)
+    assert how.ftrl.swap_penalty == 2.0
+    # neutral mentions: one text that is judged clean without a group stays so with each group, those never seen too
+    groups = [g for kind in toxicity.IDENTITIES for g in kind]
+    clean = [f"w{i} w{i + 1} w{i + 2} w{i + 3}" for i in range(0, 100, 7)]
+    neutral = spark.createDataFrame([(10_000 + i, f"{c} {g}") for i, (c, g) in enumerate((c, g) for c in clean for g in groups)], "doc_id long, text string")
+    assert sum(r.predicted for r in toxicity.scores(docs.unionAll(neutral), labels, how).collect() if r.doc_id >= 10_000) == 0
     assert len(toxicity.scores(odd, labels).collect()) == odd.count()
     assert toxicity.clean(odd, labels).columns == odd.columns
     assert toxicity.scores(none, labels).collect() == []
 
 
+def test_counterfactuals_are_swaps_and_one_without():
+    extract = toxicity.extractor(20, toxicity.IDENTITIES)
+    words_of = lambda text: set(extract(pa.array([text]))[0][1].tolist())
+    (bound, index, _), others = extract(pa.array(["Muslims and women", None, "nobody here"]))
+    made = [set(i[b[0] : b[1]].tolist()) for b, i, _, named in others if named[0]]
+    assert all(not named[1:].any() and b[1] == b[3] for b, _, _, named in others)
+    kind = ("muslims", "christians", "jews", "hindus", "buddhists", "atheists")
+    assert made == [words_of(f"{kind[i]} and {('women', 'men')[i % 2]}") for i in range(1, 6)] + [words_of("and")]
+
+
 # 3: languages
 
 
