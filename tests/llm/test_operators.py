@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -399,6 +400,57 @@ def test_languages_are_told_apart(spark, odd, none):
     assert langid.predict(none).collect() == []
 
 
+def brute_grams(text):
+    """Counts of 1 to 3 letters, words padded with one blank."""
+    kept = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text.lower())
+    if not any(c.isalpha() for c in kept):
+        return Counter()
+    s = re.sub(" +", " ", f" {kept} ")
+    return Counter(g for n in (1, 2, 3) for i in range(len(s) - n + 1) if (g := s[i : i + n]) != " ")
+
+
+def coded(gram):
+    values, n = [0 if c == " " else ord(c) for c in gram], len(gram)
+    return sum(v << 21 * (n - 1 - i) for i, v in enumerate(values)) + (0, 1 << 63, 3 << 62)[n - 1]
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abÉß 日\u0301\u0e34-1 \ue000\U000e0041ﬁ")), max_size=30), max_size=3), st.integers(1, 9))
+@settings(max_examples=80, deadline=None)
+def test_grams_equal_brute_force(parts, piece):
+    text = " ".join(parts)
+    was, langid.PIECE = langid.PIECE, piece
+    try:
+        gram, n = langid.grams(text)
+    finally:
+        langid.PIECE = was
+    assert dict(zip(gram.tolist(), n.tolist(), strict=True)) == {coded(g): c for g, c in brute_grams(text).items()}
+
+
+def test_predictions_equal_brute_force(spark, odd):
+    rng = random.Random(12)
+    more = [(500 + i, lang, " ".join(rng.choice(stems) + rng.choice("abc") for _ in range(rng.randint(1, 60)))) for i in range(60) for lang, stems in [[("x", ["kato", "mi", "éa"]), ("y", ["gru", "ung", "kat"])][i % 2]]]
+    docs = odd.select("doc_id", "lang", "text").unionAll(spark.createDataFrame(more, "doc_id long, lang string, text string"))
+    rows, total = [tuple(r) for r in docs.collect()], {}
+    for d, lang, t in rows:
+        if d is not None and lang is not None and zlib.crc32(str(d).encode()) % 4 != 2:
+            total.setdefault(lang, Counter()).update(brute_grams(t or ""))
+    top = lambda c: {g: i for i, g in enumerate(sorted(c, key=lambda g: (-c[g], coded(g)))[:400])}
+    profile, want = {lang: top(c) for lang, c in sorted(total.items()) if c}, Counter()
+    for d, _, t in rows:
+        own = top(brute_grams(t or ""))
+        far = {lang: sum(abs(p[g] - i) if g in p else 400 for g, i in own.items()) for lang, p in profile.items()}
+        best = min(far, key=lambda x: (far[x], x)) if own else "und"
+        want[d, best, round(1 - far[best] / (400 * len(own)), 9) if own else 0.0] += 1
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs).collect()) == want
+
+
+def test_texts_without_a_letter_are_und(spark):
+    texts = ["\u0301\u0302", "\ue000\uf8ff", "\U000e0041\U000e0042", "12 ³ №", "ab", "日"]
+    docs = spark.createDataFrame([(i, "xx", t) for i, t in enumerate(texts)] + [(10 + i, "xx", "ab ba") for i in range(9)], "doc_id long, lang string, text string")
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs).collect()}
+    assert [found[i] for i in range(6)] == ["xx" if any(c.isalpha() for c in t) else "und" for t in texts]
+
+
 # 7: secrets
 
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
