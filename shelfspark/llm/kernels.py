@@ -7,6 +7,7 @@ depend on how long a text is.  Null texts count as empty.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,14 @@ _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to clash with none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix_int(x: int) -> int:
     """64-bit finaliser of one Python integer; equals ``mix`` of the same value."""
     x &= _MASK
@@ -41,27 +50,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+@functools.cache
 def tables() -> dict:
-    """Lookup tables; made once in each process."""
-    import sys
-
-    home = sys.modules["numpy"].__dict__.setdefault("_shelfspark_tables", {})
-    if not home:
-        space = np.zeros(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
-        lower = np.arange(256)
-        lower[65:91] += 32
-        code = seeded(256, 1)
-        r = int(seeded(1, 2)[0])
-        home.update(
-            space=space,
-            raw=code,
-            low=code[lower],
-            pow=np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(PIECE * 2, r, U64)])),
-            inv=np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(PIECE * 2, pow(r, -1, 1 << 64), U64)])),
-            r=r,
-        )
-    return home
+    """Lookup tables."""
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    lower = np.arange(256)
+    lower[65:91] += 32
+    code = seeded(256, 1)
+    r = int(seeded(1, 2)[0])
+    return {
+        "space": space,
+        "raw": code,
+        "low": code[lower],
+        "pow": np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(PIECE * 2, r, U64)])),
+        "inv": np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(PIECE * 2, pow(r, -1, 1 << 64), U64)])),
+        "r": r,
+    }
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -176,15 +176,15 @@ def unique(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     rows = store.stored(placed(docs, how).filter("n > 0 and doc_id is not null").select("doc_id", "text_hash", "component"), "components")
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     gone = rows.join(first, "component").filter("doc_id <> first.doc_id or text_hash <> first.text_hash")
-    gone = gone.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")).distinct()
-    hashed = docs.withColumn("__t", F.xxhash64("text"))
-    out = hashed.join(gone, (hashed["doc_id"] == F.col("__d")) & (hashed["__t"] == F.col("__h")), "left_anti")
+    d, h, mine = (kernels.unused(f"__{x}", docs.columns) for x in ("d", "h", "t"))
+    of = lambda df: df.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct()
+    hashed = docs.withColumn(mine, F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col(d)) & (F.col(mine) == F.col(h))
+    out = hashed.join(of(gone), same, "left_anti")
     repeated = rows.groupBy("doc_id", "text_hash").count().filter("count > 1")
     if repeated.limit(1).count():
-        again = out.join(F.broadcast(repeated) if repeated.limit(10_001).count() <= 10_000 else repeated, (out["doc_id"] == repeated["doc_id"]) & (out["__t"] == repeated["text_hash"]), "left_semi")
-        rest = out.join(repeated, (out["doc_id"] == repeated["doc_id"]) & (out["__t"] == repeated["text_hash"]), "left_anti")
-        out = rest.unionAll(again.dropDuplicates(["doc_id", "__t"]))
-    return out.select(*[out[c] for c in docs.columns])
+        out = out.join(of(repeated), same, "left_anti").unionAll(out.join(of(repeated), same, "left_semi").dropDuplicates(["doc_id", mine]))
+    return out.select(*docs.columns)
 
 
 def placed(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:

@@ -1,19 +1,21 @@
 """Mixing sources to target weights, in blocks of words.
 
 Each source's documents, in a fixed pseudo-random order, form one stream of words that is packed into blocks
-of a fixed length.  The mix is laid out in output shards of slots.  For each shard a multinomial draw, over
-what every source still has to give, says how many slots each source fills; the source's n-th slot takes the
-block at place n of a pseudo-random permutation of its blocks, one permutation for each pass.  Blocks and slots
-are joined by (source, block).  The draws run over what is left of whole-block targets, so the totals meet the
-targets and no block is taken more often than ``most`` times.
+of a fixed length.  The mix is laid out in output shards of slots.  For each shard a multinomial draw says how many
+slots each source fills: the slots of all shards are split between two halves of them by a draw over what every source
+has to give, each half's again, down to single shards, so any task draws its own shards without those before them.
+The source's n-th slot takes the block at place n of a pseudo-random permutation of its blocks, one permutation for
+each pass.  Blocks and slots are joined by (source, block).  What is split are whole-block targets, so the totals meet
+the targets and no block is taken more often than ``most`` times.
 
 Sources are ordered by code point, null last, and weigh ``weights`` in turn.  Targets are min(most * size,
 level * weight), with the level at which they add up to all words.  A source that could not fill ``least``
 blocks gets shorter ones.  Documents without words, or with a null text, take no part (taken 0).  Rows that
-repeat a ``doc_id`` are rows of their own.  Extra columns are ignored by ``plan`` and kept by ``mixed``.
+repeat a ``doc_id`` are rows of their own; equal ones have places in the stream of their own too, and since they are
+interchangeable it does not matter which has which.  Extra columns are ignored by ``plan`` and kept by ``mixed``.
 An empty table gives an empty result.
 
-The driver holds one row for each source (at most ``most_sources``, else ValueError) and at most ``shards`` draws.
+The driver and each task that draws hold one row for each source (at most ``most_sources``, else ValueError).
 """
 
 from __future__ import annotations
@@ -36,8 +38,7 @@ class Mix:
     block: int = 256
     least: int = 256
     shard_slots: int = 4096
-    shards: int = 4096
-    bucket_rows: int = 50_000
+    bucket_rows: int = 10_000
     most_sources: int = 100_000
     seed: int = 7
 
@@ -57,19 +58,29 @@ def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
     return out
 
 
-def draws(quota: np.ndarray, how: Mix) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, slots of each source); over all shards they add up to ``quota``."""
-    left, total = quota.astype(np.int64), int(quota.sum())
-    if not total:
-        return
-    shards = int(min(how.shards, -(-total // how.shard_slots)))
-    for shard in range(shards):
-        rng = np.random.default_rng([how.seed, shard])
-        want, got = total * (shard + 1) // shards - total * shard // shards, np.zeros(len(left), np.int64)
-        while want:
-            more = np.minimum(rng.multinomial(want, left / left.sum()), left)
-            got, left, want = got + more, left - more, want - int(more.sum())
-        yield shard, got
+def drawn(left: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``want`` slots each source fills, none more than it has ``left``."""
+    left, got = left.copy(), np.zeros(len(left), np.int64)
+    while want:
+        more = np.minimum(rng.multinomial(want, left / left.sum()), left)
+        got, left, want = got + more, left - more, want - int(more.sum())
+    return got
+
+
+def draws(quota: np.ndarray, shards: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source, slots of each source in all shards before) for shards ``first`` up to ``last``."""
+    total = int(quota.sum())
+    todo = [(0, shards, quota, np.zeros(len(quota), np.int64))]
+    while todo:
+        low, high, own, before = todo.pop()
+        if high <= first or last <= low:
+            continue
+        if high - low == 1:
+            yield low, own, before
+            continue
+        half = (low + high) // 2
+        got = drawn(own, total * half // shards - total * low // shards, np.random.default_rng([seed, low, high]))
+        todo += [(half, high, own - got, before + got), (low, half, got, before)]
 
 
 def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -94,40 +105,46 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"doc_id": part.column("doc_id"), "source": part.column("source"), "text_hash": part.column("text_hash"), "size": pa.array(size, pa.int64())})
 
 
-def _places(how: Mix):
+def _slots(how: Mix, quota: np.ndarray, blocks: np.ndarray, shards: int, at_once: int = 64):
+    """Blocks of the slots of the shards numbered by ``id``."""
     seed, most = how.seed, how.most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, blocks, slot = (batch.column(c).to_numpy() for c in ("sid", "blocks", "slot"))
-            block = np.empty(len(slot), np.int64)
-            for s in np.unique(sid):
-                rows = np.flatnonzero(sid == s)
-                n = int(blocks[rows[0]])
-                for turn in np.unique(slot[rows] // n):
-                    own = rows[slot[rows] // n == turn]
-                    block[own] = permuted(slot[own] % n, n, kernels.mix_int((seed << 40) + (int(s) * (most + 1) + int(turn))))
-            yield pa.record_batch({"sid": batch.column("sid"), "shard": batch.column("shard"), "block": pa.array(block)})
+            ids = batch.column("id").to_numpy()
+            for first in range(0, len(ids), at_once):
+                part = ids[first : first + at_once]
+                found = [(s, np.flatnonzero(got), got, before) for s, got, before in draws(quota, shards, int(part[0]), int(part[-1]) + 1, seed)]
+                sid = np.concatenate([np.repeat(w, got[w]) for _, w, got, _ in found])
+                slot = np.concatenate([np.arange(got.sum()) - np.repeat(np.cumsum(got[w]) - got[w] - before[w], got[w]) for _, w, got, before in found])
+                shard = np.repeat([s for s, *_ in found], [int(got.sum()) for _, _, got, _ in found])
+                turn, block = slot // blocks[sid], slot % blocks[sid]
+                order = np.lexsort((turn, sid))
+                edge = np.flatnonzero(np.diff(sid[order]) | np.diff(turn[order])) + 1
+                for own in np.split(order, edge) if len(order) else ():
+                    s, n = int(sid[own[0]]), int(blocks[sid[own[0]]])
+                    block[own] = permuted(block[own], n, kernels.mix_int((seed << 40) + (s * (most + 1) + int(turn[own[0]]))))
+                yield pa.record_batch({"sid": pa.array(sid.astype(np.int64)), "shard": pa.array(shard.astype(np.int64)), "block": pa.array(block)})
 
     return run
 
 
 def plan(docs: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, pieces, slots): ``rows`` doc_id, source, text_hash, size, source_size, target, sid, start;
-    ``pieces`` sid, start, block, words: which words of a row lie in which block;
-    ``slots`` sid, shard, block: the blocks of each output shard, one row for each time a block is taken."""
+    """(rows, pieces, slots): ``rows`` doc_id, source, text_hash, size, source_size, target, sid, length, copies, copy, start, the
+    last two numbering and placing equal rows, null without words; ``pieces`` sid, start, block, words: which words of a row lie in
+    which block; ``slots`` sid, shard, block: the blocks of each output shard, one row for each time a block is taken."""
     spark = docs.sparkSession
     read = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
     kinds = dict(read.dtypes)
-    rows = store.stored(read.mapInArrow(_sizes, f"doc_id {kinds['doc_id']}, source {kinds['source']}, text_hash long, size long"), "sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(how.most_sources + 1).collect()
+    sizes = store.stored(read.mapInArrow(_sizes, f"doc_id {kinds['doc_id']}, source {kinds['source']}, text_hash long, size long"), "sizes")
+    found = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(how.most_sources + 1).collect()
     if len(found) > how.most_sources:
         raise ValueError(f"more than {how.most_sources} sources; pass most_sources to allow it")
     found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.size for r in found], [how.weights[i % len(how.weights)] for i in range(len(found))], how.most)
     length = [max(1, min(how.block, r.size // how.least)) for r in found]
-    blocks = [-(-r.size // b) for r, b in zip(found, length, strict=True)]
-    quota = np.array([min(how.most * n, round(g / max(r.size, 1) * n)) for n, g, r in zip(blocks, goal, found, strict=True)], np.int64)
+    blocks = np.array([-(-r.size // b) for r, b in zip(found, length, strict=True)], np.int64)
+    quota = np.array([min(how.most * int(n), round(g / max(r.size, 1) * int(n))) for n, g, r in zip(blocks, goal, found, strict=True)], np.int64)
     sources = spark.createDataFrame(
         [(i, r.source, r.size, g, b) for i, (r, g, b) in enumerate(zip(found, goal, length, strict=True))],
         f"sid long, source {kinds['source']}, source_size long, target double, length long",
@@ -135,24 +152,30 @@ def plan(docs: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame, DataF
     if len(found) <= 10_000:
         sources = F.broadcast(sources)
     buckets = max(1, sum(r.n for r in found) // how.bucket_rows)
-    marked = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.sid", "s.source_size", "s.target", "s.length")
-    marked = marked.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(how.seed)), F.lit(buckets)))
-    # a row's place in its source's stream: words of earlier buckets, then of earlier rows in its own
-    inside = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1))
-    sums = marked.groupBy("sid", "bucket").agg(F.sum("size").alias("all"))
+    with_source = lambda df: df.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.sid", "s.source_size", "s.target", "s.length")
+    # equal rows are one group until their places are known
+    groups = with_source(sizes.filter("size > 0").groupBy("source", "doc_id", "text_hash", "size").agg(F.count(F.lit(1)).alias("copies")))
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(how.seed)), F.lit(buckets)))
+    # a group's place in its source's stream: words of earlier buckets, then of earlier groups in its own
+    words = F.col("size") * F.col("copies")
+    inside = F.sum(words).over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1))
+    sums = groups.groupBy("sid", "bucket").agg(F.sum(words).alias("all"))
     sums = sums.select("sid", "bucket", (F.sum("all").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("all")).alias("earlier"))
-    placed = marked.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, ["sid", "bucket"])
-    rows = store.stored(placed.select("doc_id", "source", "text_hash", "size", "source_size", "target", "sid", "length", (F.col("inside") + F.col("earlier")).alias("start")), "mix-rows")
+    placed = groups.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, ["sid", "bucket"])
+    # copies in two steps, so that no row becomes one very long array
+    placed = placed.withColumn("thousand", F.explode(F.expr("sequence(0, (copies - 1) div 1000)")))
+    placed = placed.withColumn("copy", F.explode(F.expr("sequence(thousand * 1000, least(copies, thousand * 1000 + 1000) - 1)")))
+    columns = ["doc_id", "source", "text_hash", "size", "source_size", "target", "sid", "length", "copies", "copy"]
+    placed = placed.select(*columns, (F.col("inside") + F.col("earlier") + F.col("copy") * F.col("size")).alias("start"))
+    without = with_source(sizes.filter("size = 0")).select(*columns[:8], *[F.lit(None).cast("long").alias(c) for c in ("copies", "copy", "start")])
+    rows = store.stored(placed.unionAll(without), "mix-rows")
+    store.dropped(sizes)
     last = F.col("start") + F.col("size")
     pieces = rows.filter("size > 0").select("sid", "start", "size", "length", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
     pieces = pieces.select("sid", "start", "block", (F.least(last, (F.col("block") + 1) * F.col("length")) - F.greatest("start", F.col("block") * F.col("length"))).alias("words"))
-    at, runs = np.zeros(len(found), np.int64), []
-    for shard, got in draws(quota, how):
-        runs += [(int(s), blocks[s], shard, int(at[s]), int(got[s])) for s in np.flatnonzero(got)]
-        at += got
-    slots = spark.createDataFrame(runs, "sid long, blocks long, shard int, first long, many long")
-    slots = slots.repartition(max(1, min(len(runs), int(quota.sum()) // 1_000_000 + 1)))
-    slots = slots.select("sid", "blocks", "shard", F.explode(F.expr("sequence(first, first + many - 1)")).alias("slot")).mapInArrow(_places(how), "sid long, shard int, block long")
+    total = int(quota.sum())
+    shards = -(-total // how.shard_slots)
+    slots = spark.range(0, shards, 1, max(1, total // 1_000_000 + 1)).mapInArrow(_slots(how, quota, blocks, shards), "sid long, shard long, block long")
     return rows, pieces, slots
 
 
@@ -174,14 +197,14 @@ def taken(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     return full.select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionAll(rows.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
-def _cut(names: list[str], most: int):
+def _cut(names: list[str], plans: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, "text"):
                 words = kernels.Words(part.column("text"), hashes=False)
                 take, texts = [], []
                 for i in range(part.num_rows):
-                    pieces = sorted((p["block"], p["words"], p["times"]) for p in part.column("__pieces")[i].as_py())
+                    pieces = sorted((p["block"], p["words"], p["times"]) for p in part.column(plans)[i].as_py())
                     start = words.start[words.bound[i] : words.bound[i + 1]]
                     ends = np.cumsum([p[1] for p in pieces])
                     # a piece runs to the start of the next one; the first and last keep what surrounds them
@@ -201,8 +224,7 @@ def _cut(names: list[str], most: int):
 
 def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     """The mix itself, with the columns of ``docs``: for each document one row with what is taken at least once, one
-    with what is taken at least twice, and so on.  A document taken whole keeps its text as it is.
-    Rows of the same ``doc_id`` and text share one plan."""
+    with what is taken at least twice, and so on.  A document taken whole keeps its text as it is."""
     rows, pieces, slots = plan(docs, how)
     # every piece of a row is needed to cut it, so those not taken are kept with 0
     lists = (
@@ -211,8 +233,14 @@ def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
         .agg(F.collect_list(F.struct("block", "words", F.coalesce("times", F.lit(0)).alias("times"))).alias("__pieces"), F.max("times").alias("top"))
         .filter("top > 0")
     )
-    own = rows.filter("size > 0").join(lists, ["sid", "start"]).groupBy("doc_id", "source", "text_hash").agg(F.first("__pieces").alias("__pieces"))
-    own = own.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("text_hash").alias("__h"), "__pieces")
-    joined = docs.withColumn("__t", F.xxhash64("text")).join(own, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__t") == F.col("__h")))
-    joined = joined.select(*[docs[c] for c in docs.columns], "__pieces")
-    return joined.mapInArrow(_cut(docs.columns, how.most), docs.schema)
+    own = rows.filter("size > 0").join(lists, ["sid", "start"])
+    names = docs.columns
+    d, s, h, c, plans, mine, number = (kernels.unused(f"__{x}", names) for x in ("d", "s", "h", "c", "pieces", "t", "n"))
+    own = own.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("text_hash").alias(h), F.col("copy").alias(c), F.col("__pieces").alias(plans))
+    hashed = docs.withColumn(mine, F.xxhash64("text"))
+    if rows.filter("copies > 1").limit(1).count():  # equal rows are numbered, to take one plan each
+        hashed = hashed.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", "source", mine).orderBy(mine)) - 1)
+    else:
+        hashed = hashed.withColumn(number, F.lit(0))
+    joined = hashed.join(own, F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(mine) == F.col(h)) & (F.col(number) == F.col(c)))
+    return joined.select(*names, plans).mapInArrow(_cut(names, plans), docs.schema)

@@ -115,5 +115,6 @@ def scores(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Da
 
 def clean(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> DataFrame:
     """``docs`` without those scored at or above the threshold; columns as they are."""
-    out = linear.scored(docs, train(docs, labels, how), extractor(how.ftrl.bits), "__toxicity")
-    return out.filter(F.col("__toxicity") < how.threshold).drop("__toxicity")
+    name = kernels.unused("__toxicity", docs.columns)
+    out = linear.scored(docs, train(docs, labels, how), extractor(how.ftrl.bits), name)
+    return out.filter(F.col(name) < how.threshold).drop(name)

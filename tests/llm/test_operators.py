@@ -209,14 +209,54 @@ def test_mix_meets_its_targets(spark, odd, none):
 
 
 def test_mixed_documents_hold_what_is_taken(odd):
-    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
-    want = {r.doc_id: r.taken for r in mixing.taken(docs).collect() if r.taken}
-    got, texts = Counter(), dict(rows_of(docs))
-    for r in mixing.mixed(docs).collect():
-        assert r.n_chars == len(r.text) and r.rep == "x"
+    docs, want, got = odd.withColumn("__t", F.lit("t")).withColumn("__pieces", F.lit("p")).withColumn("__N", F.lit(1)), Counter(), Counter()
+    for r in mixing.taken(docs).collect():
+        want[r.doc_id] += r.taken
+    texts = dict(rows_of(docs))
+    mix = mixing.mixed(docs)
+    assert mix.columns == docs.columns
+    for r in mix.collect():
+        assert r.n_chars == len(r.text) and r["__t"] == "t"
         assert not set(words(r.text)) - set(words(texts[r.doc_id]))
         got[r.doc_id] += len(words(r.text))
-    assert got == want
+    assert got == +want
+
+
+def test_draws_of_any_shards_are_those_of_all():
+    quota = np.array([0, 5, 1000, 40, 3])
+    whole = list(mixing.draws(quota, 13, 0, 13, 7))
+    assert [s for s, *_ in whole] == list(range(13)) and (sum(g for _, g, _ in whole) == quota).all()
+    before = np.zeros(5, np.int64)
+    for s, got, b in whole:
+        assert (b == before).all() and got.sum() == 1048 * (s + 1) // 13 - 1048 * s // 13
+        before = before + got
+        (alone,) = mixing.draws(quota, 13, s, s + 1, 7)
+        assert (alone[1] == got).all() and (alone[2] == b).all()
+
+
+def test_each_slot_takes_a_block_of_its_own_pass(spark):
+    docs = spark.createDataFrame([(i, " ".join(["x"] * (40 + i % 7)), f"s{i % 4 % 3}") for i in range(500)], "doc_id long, text string, source string")
+    how = mixing.Mix(block=16, shard_slots=32)
+    rows, pieces, slots = mixing.plan(docs, how)
+    taken = Counter((r.sid, r.block) for r in slots.collect())
+    times = {}
+    for (sid, _), n in taken.items():
+        times.setdefault(sid, Counter())[n] += 1
+    blocks = Counter(sid for sid, _ in {(r.sid, r.block) for r in pieces.collect()})
+    for sid, n in times.items():  # passes are whole: every block is taken as often as any other, or once less
+        seen = set(n) | ({0} if sum(n.values()) < blocks[sid] else set())
+        assert max(seen) - min(seen) <= 1 and max(seen) <= 3
+    start = [(r.sid, r.start, r.size) for r in rows.collect()]
+    for sid in blocks:
+        own = sorted((a, n) for s, a, n in start if s == sid)
+        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and own[0][0] == 0
+
+
+def test_equal_rows_are_mixed_as_many(spark):
+    docs = spark.createDataFrame([(None, "a b c d", "s")] * 2500 + [(1, "e f", None)], "doc_id long, text string, source string")
+    found = mixing.taken(docs).collect()
+    assert len(found) == 2501 and abs(sum(r.taken for r in found if r.size == 4) - [r.target for r in found if r.size == 4][0]) <= 60
+    assert sorted(map(str, found)) == sorted(map(str, mixing.taken(docs.repartition(3)).collect()))
 
 
 # 1: decontamination
