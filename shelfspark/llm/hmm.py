@@ -5,7 +5,9 @@ words of the training texts, the end, and ``classes`` classes of all other words
 a class has probability (c + 1) / (N + V + 1) within it, with its count c and the class's tokens N and
 distinct words V, so the model is a distribution over known words and leaves a share to unknown ones.
 
-Every round of training sees all training texts.  It cuts texts into stretches; scoring does not.  Expected counts are summed by task, then by index, in the engine.
+Every round of training sees all training texts, whole.  Forward and backward passes run over many texts at once, the
+longest first, with ``held`` tokens at a time in memory: of a longer text only the states at the edges of its parts are kept, and
+a part's are computed again on the way back.  Expected counts are summed by task, then by index, in the engine.
 
 Counts of words outside the frequent ones meet the texts through packed postings, by cell of the word's hash: a
 cell never holds a word with more than its share of the corpus, since frequent words are looked up in place.
@@ -33,9 +35,8 @@ class Model:
     states: int = 8
     frequent: int = 8192
     classes: int = 512
-    sample_rounds: int = 8  # as ``rounds``, which they come before; no round samples
-    rounds: int = 2
-    stretch: int = 128
+    rounds: int = 5
+    held: int = 1 << 20
     prior: float = 500.0
     seed: int = 3
 
@@ -203,45 +204,61 @@ def forward(flat: np.ndarray, bound: np.ndarray, start: np.ndarray, step: np.nda
     return back
 
 
-def expected(flat: np.ndarray, bound: np.ndarray, stretch: int, start, step, emit, batch: int = 4096) -> np.ndarray:
-    """Baum-Welch counts of the sequences, cut into stretches, as one vector: starts, steps, emissions."""
+def expected(flat: np.ndarray, bound: np.ndarray, start, step, emit, held: int = 1 << 20) -> np.ndarray:
+    """Baum-Welch counts of the whole sequences as one vector: starts, steps, emissions."""
     states, symbols = len(start), len(emit)
     starts, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols))
     emit, ahead_of = np.ascontiguousarray(emit.T), np.ascontiguousarray(step.T)
     n = np.diff(bound)
-    cuts = -(-n // stretch)
-    first = np.repeat(np.arange(len(n)), cuts)
-    inner = np.arange(len(first)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-    begin = bound[:-1][first] + inner * stretch
-    size = np.minimum(stretch, bound[1:][first] - begin)
-    order = np.argsort(-size, kind="stable")
-    begin, size, inner = begin[order], size[order], inner[order]
-    for i in range(0, len(begin), batch):
-        b, s, opening = begin[i : i + batch], size[i : i + batch], inner[i : i + batch] == 0
-        length, m = int(s[0]), len(b)
-        live = np.searchsorted(-s, -np.arange(length), "left")
-        obs = np.zeros((length, m), np.int64)
-        alpha, scale = np.zeros((length, states, m), np.float32), np.ones((length, m), np.float32)
-        before = np.where(opening, start[:, None], 1 / states).astype(np.float32)
-        for t, k in enumerate(live):
-            obs[t, :k] = flat[b[:k] + t]
-            a = (ahead_of @ alpha[t - 1, :, :k] if t else before[:, :k]) * emit.take(obs[t, :k], axis=1)
-            a.sum(axis=0, out=scale[t, :k])
-            np.divide(a, scale[t, :k], out=alpha[t, :, :k])
-        beta = np.ones((states, m), np.float32)
-        for t in range(length - 1, -1, -1):
-            k = live[t]
-            alpha[t, :, :k] *= beta[:, :k]  # the states' shares of the symbol
-            if t:
-                ahead = emit.take(obs[t, :k], axis=1)
-                ahead *= beta[:, :k]
-                ahead /= scale[t, :k]
-                steps += step * (alpha[t - 1, :, :k] @ ahead.T)
-                beta[:, :k] = step @ ahead
-            else:
-                starts += alpha[0][:, opening].sum(axis=1)
-        for j in range(states):
-            emits[j] += np.bincount(obs.ravel(), alpha[:, j].ravel(), symbols)
+    order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+    begins, sizes = bound[:-1][order], n[order]
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + held, "right")))
+        begin, size, length, at = begins[at:to], sizes[at:to], int(sizes[at]), to
+        # the sequences that reach t are the first live[t]; their tokens at t are off[t]:off[t + 1] of all
+        live = np.searchsorted(-size, -np.arange(length), "left")
+        off = np.concatenate([[0], np.cumsum(live)])
+        cuts = [0]
+        while cuts[-1] < length:
+            cuts.append(min(length, max(cuts[-1] + 1, int(np.searchsorted(off, off[cuts[-1]] + held, "right")) - 1)))
+
+        def ahead(low, high, alpha, obs, scale, last):
+            """Scaled forward shares of the states at ``low:high``, into the arrays; returns the last."""
+            for t in range(low, high):
+                k, x = live[t], slice(off[t] - off[low], off[t + 1] - off[low])
+                obs[x] = flat[begin[:k] + t]
+                a = (ahead_of @ last[:, :k] if t else start[:, None]) * emit.take(obs[x], axis=1)
+                a.sum(axis=0, out=scale[x])
+                last = np.divide(a, scale[x], out=alpha[:, x])
+            return last
+
+        def room(low, high):
+            m = off[high] - off[low]
+            return np.empty((states, m), np.float32), np.empty(m, np.int64), np.empty(m, np.float32)
+
+        entry = [None]
+        for low, high in zip(cuts[:-2], cuts[1:-1], strict=True):
+            entry.append(ahead(low, high, *room(low, high), entry[-1]).copy())
+        beta = np.ones((states, len(size)), np.float32)
+        for low, high, last in zip(cuts[-2::-1], cuts[:0:-1], entry[::-1], strict=True):
+            alpha, obs, scale = room(low, high)
+            ahead(low, high, alpha, obs, scale, last)
+            for t in range(high - 1, low - 1, -1):
+                k, x = live[t], slice(off[t] - off[low], off[t + 1] - off[low])
+                back = emit.take(obs[x], axis=1)
+                back *= beta[:, :k]
+                back /= scale[x]
+                alpha[:, x] *= beta[:, :k]  # the states' shares of the symbol
+                if t:
+                    before = alpha[:, off[t - 1] - off[low] : off[t - 1] - off[low] + k] if t > low else last[:, :k]
+                    steps += step * (before @ back.T)
+                    beta[:, :k] = step @ back
+                else:
+                    starts += alpha[:, x].sum(axis=1)
+            for j in range(states):
+                emits[j] += np.bincount(obs, alpha[j], symbols)
     return np.concatenate([starts, steps.ravel(), emits.ravel()])
 
 
@@ -252,14 +269,14 @@ def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _expect(how: Model, tables: tuple):
-    stretch = how.stretch
+    held = how.held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, step, emit = (x.astype(np.float32) for x in tables)
         total = 0
         for batch in batches:
             if batch.num_rows:
-                total = total + expected(*_sequences(batch), stretch, start, step, emit)
+                total = total + expected(*_sequences(batch), start, step, emit, held)
         if np.ndim(total):
             i = np.flatnonzero(total)
             yield pa.record_batch({"i": pa.array(i, pa.int64()), "v": pa.array(total[i])})
@@ -275,7 +292,7 @@ def train(texts: DataFrame, unigram: np.ndarray, how: Model) -> tuple[np.ndarray
     np.fill_diagonal(step, 0.9 if h > 1 else 1.0)
     emit = p * rng.gamma(2.0, 0.5, (h, len(p)))
     tables = np.full(h, 1 / h), step, (emit / emit.sum(axis=1, keepdims=True)).T
-    for _ in range(how.sample_rounds + how.rounds):
+    for _ in range(how.rounds):
         total = np.zeros(h + h * h + h * len(p))
         found = texts.select("symbols").mapInArrow(_expect(how, tables), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         total[found.column("i").to_numpy()] = found.column("v").to_numpy()
@@ -310,7 +327,7 @@ def scores(docs: DataFrame, how: Model = Model()) -> DataFrame:
     for _, n, c in top:
         rest[c] -= (n, 1)
     top_h, top_n = np.array([t[0] for t in top], np.uint64), np.array([t[1] for t in top], np.float64)
-    cells = int(min(1 << 18, max(16, distinct // 60_000, tokens // 4_000_000)))
+    cells = int(max(16, distinct // 60_000, tokens // 4_000_000))
     path = store.fresh_path(spark, "symbols")
     encoded = marked.mapInArrow(
         _postings(how, cells, top_h, np.log10(top_n + 1), np.log10(rest.sum(axis=1) + 1), float(np.log10(ends + 1))),

@@ -625,7 +625,7 @@ def test_order_matters(spark):
 
 
 def test_base_scores_equal_brute_force(odd, none):
-    found = hmm.scores(odd, hmm.Model(frequent=64, classes=16, sample_rounds=2, rounds=1)).collect()
+    found = hmm.scores(odd, hmm.Model(frequent=64, classes=16, rounds=3)).collect()
     train = Counter()
     for d, t in rows_of(odd):
         if d is not None and zlib.crc32(str(d).encode()) % 7 != 2:
@@ -656,14 +656,44 @@ def test_forward_is_the_sum_over_all_paths():
     assert got[1] == 0
 
 
-def test_expected_counts_add_up():
+def enumerated(sequences, start, step, emit):
+    """Expected starts, steps and emissions by enumeration of all paths."""
+    s, symbols = len(start), len(emit)
+    starts, steps, emits = np.zeros(s), np.zeros((s, s)), np.zeros((s, symbols))
+    for obs in sequences:
+        weight = {}
+        for path in np.ndindex(*(s,) * len(obs)):
+            p = start[path[0]] * emit[obs[0], path[0]]
+            for a, b, o in zip(path, path[1:], obs[1:], strict=False):
+                p *= step[a, b] * emit[o, b]
+            weight[path] = p
+        total = sum(weight.values())
+        for path, p in weight.items():
+            starts[path[0]] += p / total
+            for a, b in zip(path, path[1:], strict=False):
+                steps[a, b] += p / total
+            for a, o in zip(path, obs, strict=True):
+                emits[a, o] += p / total
+    return np.concatenate([starts, steps.ravel(), emits.ravel()])
+
+
+@pytest.mark.parametrize("held", [1, 3, 5, 8, 1000])
+def test_expected_counts_are_sums_over_all_paths(held):
     rng = np.random.default_rng(1)
     start, step, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(6), 3).T
-    flat, bound = rng.integers(0, 6, 500).astype(np.uint16), np.array([0, 130, 131, 400, 500])
-    total = hmm.expected(flat, bound, 64, *(x.astype(np.float32) for x in (start, step, emit)))
-    stretches = sum(-(-n // 64) for n in np.diff(bound))
-    assert math.isclose(total[:3].sum(), 4, rel_tol=1e-4) and math.isclose(total[3:12].sum(), 500 - stretches, rel_tol=1e-4)
-    assert np.allclose(total[12:].reshape(3, 6).sum(axis=0), np.bincount(flat, minlength=6), rtol=1e-3)
+    bound = np.array([0, 7, 7, 8, 10, 16, 19])
+    flat = rng.integers(0, 6, 19).astype(np.uint16)
+    want = enumerated([flat[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True) if b > a], start, step, emit)
+    got = hmm.expected(flat, bound, *(x.astype(np.float32) for x in (start, step, emit)), held)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-6)
+
+
+def test_expected_counts_of_a_long_text_do_not_depend_on_what_is_held():
+    rng = np.random.default_rng(2)
+    start, step, emit = rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(50), 4).T
+    flat, bound = rng.integers(0, 50, 60_000).astype(np.uint16), np.array([0, 40_000, 40_010, 60_000])
+    whole, parts = (hmm.expected(flat, bound, *(x.astype(np.float32) for x in (start, step, emit)), held) for held in (1 << 20, 1000))
+    assert np.allclose(whole, parts, rtol=1e-3) and math.isclose(whole[:4].sum(), 3, rel_tol=1e-4) and math.isclose(whole[4:20].sum(), 60_000 - 3, rel_tol=1e-4)
 
 
 def test_every_round_sees_all_training_texts(spark):
@@ -687,8 +717,8 @@ def test_every_round_sees_all_training_texts(spark):
     start, step, emit = np.full(4, 1 / 4), np.full((4, 4), 0.1 / 3), p * init.gamma(2.0, 0.5, (4, len(p)))
     np.fill_diagonal(step, 0.9)
     emit /= emit.sum(axis=1, keepdims=True)
-    for _ in range(10):
-        total = hmm.expected(flat, bound, how.stretch, *(x.astype(np.float32) for x in (start, step, emit.T)))
+    for _ in range(how.rounds):
+        total = hmm.expected(flat, bound, *(x.astype(np.float32) for x in (start, step, emit.T)))
         start, step, emit = total[:4] + 1, total[4:20].reshape(4, 4) + 0.1, total[20:].reshape(4, -1) + how.prior * p
         start, step, emit = start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True)
     want = hmm.forward(np.concatenate(sequences), np.cumsum([0, *map(len, sequences)]), start, step, emit.T) / np.log(10) + within
