@@ -10,7 +10,7 @@ pivots of every list it is posted in (the set whose pairs are most common, and t
 links are merged to components, and lists within one component are done.  Sets of different components that
 still share a list are paired, at the rarest coordinate they share.  Three filters keep the many sets that are
 near a large group, but not in it, from being paired up.  Two are exact: a set's shingles that no other set has
-cannot be shared, which bounds the similarity of a set, and of a pair.  The third is a longer signature of one
+cannot be shared, which bounds the similarity of a set, and of a pair.  The third is a much longer signature of one
 bit a coordinate, whose differing bits stay below the bound that a similar pair passes with the same chance.
 Posting lists are joined in parts of ``part_rows`` sets, so one very common pair is no task of its own.
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -47,28 +47,31 @@ class NearDup:
     percent: int = 80
     coordinates: int = 32
     missed: float = 1e-9
-    bits: int = 1024
+    bits: int = 2048
     part_rows: int = 1000
     seed: int = 11
 
     @property
     def most_differing(self) -> int:
         """Bits in which a pair exactly at the threshold differs at most, but for the chance ``missed``: each does with (1 - similarity) / 2."""
-        p, above, n = (1 - self.percent / 100) / 2, 1.0, self.bits
-        for t in range(n + 1):
-            above -= comb(n, t) * p**t * (1 - p) ** (n - t)
-            if above < self.missed:
-                return t
-        return n
+        p, above, t = (1 - self.percent / 100) / 2, 0.0, self.bits
+        while t > 0 and (above := above + chance(self.bits, t, p)) <= self.missed:
+            t -= 1
+        return t
 
     @property
     def matches(self) -> int:
-        p, n, below = self.percent / 100, self.coordinates, 0.0
-        for t in range(n + 1):
-            below += comb(n, t) * p**t * (1 - p) ** (n - t)
-            if below > self.missed:
-                return max(t, 1)
-        return n
+        p, below, t = self.percent / 100, 0.0, 0
+        while t < self.coordinates and (below := below + chance(self.coordinates, t, p)) <= self.missed:
+            t += 1
+        return max(t, 1)
+
+
+def chance(n: int, t: int, p: float) -> float:
+    """Of exactly ``t`` successes in ``n`` trials."""
+    if not 0 < p < 1:
+        return float(t == n * p)
+    return exp(lgamma(n + 1) - lgamma(t + 1) - lgamma(n - t + 1) + t * log(p) + (n - t) * log(1 - p))
 
 
 def fingerprints(found: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +245,7 @@ def placed(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     several = at.groupBy("pair").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("parts").alias("parts")).filter("x <> y").select("pair", each_part)
     open_ = store.stored(at.join(several, ["pair", "part"], "left_semi").drop("parts", "part"), "open")
     if how.missed:
-        bits = store.stored(sets.join(open_.select("cid").distinct(), "cid", "left_semi").mapInArrow(_bits(how), "cid long, bits array<long>"), "bits")
+        bits = store.stored(sets.join(open_.select("cid").distinct(), "cid", "left_semi").repartition("cid").mapInArrow(_bits(how), "cid long, bits array<long>"), "bits")
         left = store.stored(open_.join(bits, "cid"), "left")
         store.dropped(open_, bits)
     else:
