@@ -21,6 +21,7 @@ match each.  Extra columns are ignored by ``matches`` and kept by ``clean``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -47,11 +48,9 @@ class Search:
             raise ValueError("blocks must be 4, 8, 16, 32 or 64, and radius below 64")
 
 
-def near_values(value: int, bits: int, flips: int) -> Iterator[int]:
-    """All values of ``bits`` bits within ``flips`` bits of ``value``."""
-    for n in range(flips + 1):
-        for places in combinations(range(bits), n):
-            yield value ^ sum(1 << p for p in places)
+def flips(bits: int, most: int) -> np.ndarray:
+    """All masks of ``bits`` bits that have up to ``most`` bits set."""
+    return np.array([sum(1 << p for p in places) for n in range(most + 1) for places in combinations(range(bits), n)], np.uint64)
 
 
 class Index:
@@ -76,16 +75,16 @@ class Index:
             order = np.argsort(every, kind="stable")
             self.kinds[k] = (np.unique(every), own, (every[order], holder[order], weight[order]))
         bits = 64 // how.blocks
-        self.lengths = {}
+        self.lengths, masks = {}, flips(bits, how.radius // how.blocks)
         for length in np.unique(self.size):
             items = np.flatnonzero(self.size == length)
             tables = []
             for b in range(how.blocks):
-                pairs = sorted((v, int(i)) for i in items for v in near_values(int(self.print[i]) >> (b * bits) & ((1 << bits) - 1), bits, how.radius // how.blocks))
-                value, item = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-                any_ = np.zeros(1 << bits, bool)
-                any_[value] = True
-                tables.append((any_, value, item))
+                own = (self.print[items] >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)
+                value = (own[:, None] ^ masks).ravel().astype(np.int64)
+                order = np.argsort(value, kind="stable")
+                start = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << bits))])
+                tables.append((start, np.repeat(items.astype(np.int32), len(masks))[order]))
             self.lengths[int(length)] = tables
 
     def weight(self, hashes: np.ndarray) -> np.ndarray:
@@ -95,11 +94,11 @@ class Index:
     def near(self, print_: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, distance) for all items of ``length`` words within the radius."""
         bits, found = 64 // self.how.blocks, []
-        for b, (any_, value, item) in enumerate(self.lengths[length]):
-            own = (print_ >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)
-            rows = np.flatnonzero(any_[own])
-            lo, hi = np.searchsorted(value, own[rows], "left"), np.searchsorted(value, own[rows], "right")
-            n = hi - lo
+        for b, (start, item) in enumerate(self.lengths[length]):
+            own = ((print_ >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            rows = np.flatnonzero(start[own + 1] > start[own])
+            lo = start[own[rows]]
+            n = start[own[rows] + 1] - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             found.append(np.stack([np.repeat(rows, n), item[at]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -258,11 +257,12 @@ def item_blocks(benchmark: DataFrame, how: Search) -> Iterator[tuple[list, list[
 
 
 def _search(ids: list, texts: list[str], how: Search, item_kind: pa.DataType):
+    key = uuid.uuid4().hex  # an index is made once in each process, not once in each task
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
         for batch in batches:
             for part in kernels.slices(batch, "text"):
-                index = index or Index(ids, texts, how)
+                index = kernels.latest("indexes", key, lambda: Index(ids, texts, how))
                 found = sorted(index.search(part.column("text")))
                 if found:
                     row, item, start, size, far, value = zip(*found, strict=True)
@@ -303,11 +303,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, how: Search = Search()) -> Data
 
 
 def _free(ids: list, texts: list[str], how: Search):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
         for batch in batches:
             for part in kernels.slices(batch, "text"):
-                index = index or Index(ids, texts, how)
+                index = kernels.latest("indexes", key, lambda: Index(ids, texts, how))
                 keep = np.ones(part.num_rows, bool)
                 keep[[r for r, *_ in index.search(part.column("text"))]] = False
                 yield part.filter(pa.array(keep))

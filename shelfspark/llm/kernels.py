@@ -7,8 +7,9 @@ depend on how long a text is.  Null texts count as empty.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-@functools.cache
+def once(name: str, make: Callable):
+    """What ``make`` returns, made once in each process; functions shipped by value have no module of their own to keep it in."""
+    home = sys.modules.setdefault("shelfspark_worker", types.ModuleType("shelfspark_worker")).__dict__
+    if name not in home:
+        home[name] = make()
+    return home[name]
+
+
+def latest(name: str, key, make: Callable, keep: int = 4):
+    """As ``once``, for each of the ``keep`` keys used last."""
+    home = once(name, dict)
+    home[key] = home.pop(key) if key in home else make()
+    while len(home) > keep:
+        del home[next(iter(home))]
+    return home[key]
+
+
 def tables() -> dict:
     """Lookup tables."""
+    return once("tables", _tables)
+
+
+def _tables() -> dict:
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
     lower = np.arange(256)

@@ -12,7 +12,6 @@ Equal distances go to the language that sorts first.  Rows that repeat a ``doc_i
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import linear
+from . import kernels, linear
 
 UNKNOWN = "und"
 U21, TWO, THREE = np.uint64(21), np.uint64(1 << 63), np.uint64(1 << 63 | 1 << 62)
@@ -39,9 +38,12 @@ class Profiles:
 PIECE = 1 << 20
 
 
-@functools.cache
 def kinds() -> np.ndarray:
     """Of each code point: 1 a letter, 2 a combining mark, 0 anything else."""
+    return kernels.once("kinds", _kinds)
+
+
+def _kinds() -> np.ndarray:
     return np.array([1 if chr(i).isalpha() else 2 if unicodedata.category(chr(i))[0] == "M" else 0 for i in range(0x110000)], np.uint8)
 
 

@@ -1,21 +1,24 @@
 """Token ids of documents in binary files: byte-level BPE ids in patched frame-of-reference containers.
 
-``write`` deals documents by ``doc_id`` range, sorts each part, encodes it and stores containers of about
-``segment`` ids, whole documents each, as rows (shard, segment, inside, n_tokens, doc_ids, sizes, payload) of a Parquet
-table in the shared folder.  ``read`` decodes them again; ``export`` writes them as raw files.
+``write`` deals documents by ``doc_id`` range, sorts each part, encodes it and writes files of about ``segment`` ids, whole
+documents each.  A file holds two patched frame-of-reference containers, of ids and of their numbers by document, and the
+``doc_id`` column as an Arrow stream; it can be read alone.  What ``write`` returns is the stored list of the files: (shard,
+segment, inside, n_tokens, file), in order by (shard, segment).  A task names its files by its attempt, and only the list
+of the attempt that Spark commits counts, so lost executors and repeated tasks leave no wrong file in the list.  ``digests``
+and ``read`` read the files back.  Files are opened by Arrow's file systems from the URI in ``spark.checkpoint.dir``.
 
 Encoding is exact and fast because a byte-level pre-tokenizer never joins text across a blank that follows a
 printable character: texts are cut there, equal pieces are encoded once by the library, and a worker
 remembers pieces it has met (a bounded number; forgetting costs time only).
 
 Null or empty texts have the end id alone.  A null ``doc_id`` comes first.  Rows that repeat a ``doc_id`` are
-written one after another, by text.  Extra columns are ignored.
+written one after another, by a hash of the text, by which they are dealt too.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import sys
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from . import kernels, pfor, store
 
 
-MOST_SHARDS = 1_000_000
+HEAD = "<4sQQQ"
+LIST = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("inside", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.string())])
 LETTER = np.zeros(256, bool)
 ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 LETTER[65:91] = LETTER[97:123] = True
@@ -44,7 +48,6 @@ class TokenFiles:
     percentile: float = 95.0
     segment: int = 1 << 20
     remember: int = 3_000_000
-    shard_bytes: int = 32 << 20
 
 
 class Encoder:
@@ -71,10 +74,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str, remember: int) -> Encoder:
         """This process's encoder, kept from task to task."""
-        kept = sys.modules["numpy"].__dict__.setdefault("_shelfspark_encoders", {})
-        if (path, remember) not in kept:
-            kept[path, remember] = cls(path, remember)
-        return kept[path, remember]
+        return kernels.once(f"encoder {remember} {path}", lambda: cls(path, remember))
 
     @staticmethod
     def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -144,42 +144,61 @@ class Encoder:
         self.known, self.first, self.many = known[order], np.concatenate([self.first, first])[order], np.concatenate([self.many, many])[order]
 
 
-def _encode_sorted(how: TokenFiles):
+def file_bytes(ids: np.ndarray, sizes: np.ndarray, doc_ids: pa.Array, how: TokenFiles) -> bytes:
+    """Layout: magic "PFD1", u64 lengths of the three parts; container of ids, container of sizes, Arrow stream of ``doc_id``."""
+    table = pa.record_batch({"doc_id": doc_ids})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_batch(table)
+    parts = [pfor.pack(ids, how.block, how.percentile), pfor.pack(sizes, how.block, how.percentile), sink.getvalue().to_pybytes()]
+    return b"".join([struct.pack(HEAD, b"PFD1", *map(len, parts)), *parts])
+
+
+def file_parts(data: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(ids, sizes, doc_ids) of a file."""
+    magic, a, b, c = struct.unpack_from(HEAD, data)
+    if magic != b"PFD1":
+        raise ValueError("not a file of token ids")
+    view, at = memoryview(data), struct.calcsize(HEAD)
+    table = pa.ipc.open_stream(view[at + a + b : at + a + b + c]).read_all()
+    return pfor.unpack(view[at : at + a]), pfor.unpack(view[at + a : at + a + b]).astype(np.int64), pa.concat_arrays(table.column("doc_id").chunks)
+
+
+def _encode_sorted(how: TokenFiles, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        shard, encoder, segment = TaskContext.get().partitionId(), Encoder.of(how.tokenizer, how.remember), 0
+        task, encoder, segment = TaskContext.get(), Encoder.of(how.tokenizer, how.remember), 0
+        shard, system, root = task.partitionId(), *fs.FileSystem.from_uri(folder)
         doc_ids, sizes, ids, held, inside = [], [], [], 0, 0
 
         def flush():
-            values = np.concatenate(ids)
-            docs = pa.concat_arrays(doc_ids)
-            size = np.concatenate(sizes)
-            return pa.record_batch(
-                {
-                    "shard": pa.array([shard], pa.int32()),
-                    "segment": pa.array([segment], pa.int32()),
-                    "inside": pa.array([inside], pa.int64()),
-                    "n_tokens": pa.array([len(values)], pa.int64()),
-                    "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-                    "sizes": pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.array(size, pa.int64())),
-                    "payload": pa.array([pfor.pack(values, how.block, how.percentile)], pa.binary()),
-                }
-            )
+            name = f"{shard:08d}-{segment:06d}-{task.taskAttemptId()}.pfd"
+            if not segment:
+                system.create_dir(root, recursive=True)
+            with system.open_output_stream(f"{root}/{name}") as out:
+                out.write(file_bytes(np.concatenate(ids), np.concatenate(sizes), pa.concat_arrays(doc_ids), how))
+            row = {"shard": shard, "segment": segment, "inside": inside, "n_tokens": held, "file": f"{folder}/{name}"}
+            return pa.RecordBatch.from_pylist([row], LIST)
 
         for batch in batches:
             for part in kernels.slices(batch, "text", 4 << 20):
                 found, bound = encoder.encode(part.column("text"))
                 # the end id goes behind each document
-                out = np.insert(found, bound[1:], how.end_id)
-                doc_ids.append(part.column("doc_id"))
-                sizes.append(np.diff(bound) + 1)
-                ids.append(out.astype(np.uint32))
-                held += len(out)
-                if held >= how.segment:
-                    yield flush()
-                    segment, inside = segment + 1, inside + held
-                    doc_ids, sizes, ids, held = [], [], [], 0
+                out = np.insert(found, bound[1:], how.end_id).astype(np.uint32)
+                ends, at = bound[1:] + np.arange(1, len(bound)), 0
+                while at < part.num_rows:
+                    done = int(ends[at - 1]) if at else 0
+                    to = min(part.num_rows, int(np.searchsorted(ends, done + how.segment - held)) + 1)
+                    doc_ids.append(part.column("doc_id").slice(at, to - at))
+                    sizes.append(np.diff(ends[at:to], prepend=done))
+                    ids.append(out[done : int(ends[to - 1])])
+                    at, held = to, held + len(ids[-1])
+                    if held >= how.segment:
+                        yield flush()
+                        segment, inside = segment + 1, inside + held
+                        doc_ids, sizes, ids, held = [], [], [], 0
         if doc_ids:
             yield flush()
 
@@ -187,80 +206,72 @@ def _encode_sorted(how: TokenFiles):
 
 
 def write(docs: DataFrame, how: TokenFiles) -> DataFrame:
-    """The stored table of containers, in ascending ``doc_id`` order by (shard, segment)."""
-    docs = docs.select("doc_id", "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    spark = docs.sparkSession
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // how.shard_bytes))
-    dealt = docs.repartitionByRange(int(min(shards, MOST_SHARDS)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return store.stored(dealt.mapInArrow(_encode_sorted(how), f"shard int, segment int, inside long, n_tokens long, doc_ids array<{kind}>, sizes array<long>, payload binary"), "token-ids")
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids = np.ascontiguousarray(pfor.unpack(batch.column("payload")[i].as_py()), "<u4")
-            sizes = batch.column("sizes")[i].values.to_numpy()
-            ends = np.cumsum(sizes)
-            view = memoryview(ids).cast("B")
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_ids")[i].values,
-                    "start": pa.array(batch.column("before")[i].as_py() + ends - sizes, pa.int64()),
-                    "n_tokens": pa.array(sizes, pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(view[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.int64()),
-                }
-            )
+    """The stored list of files, in ascending ``doc_id`` order by (shard, segment)."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    folder = store.fresh_path(docs.sparkSession, "token-files")
+    store.MADE.add(folder)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return store.stored(dealt.mapInArrow(_encode_sorted(how, folder), "shard int, segment int, inside long, n_tokens long, file string"), "token-list")
 
 
 def with_starts(files: DataFrame) -> DataFrame:
-    """``files`` with ``before``: ids of all containers before each.
+    """``files`` with ``before``: ids of all files before each.
 
-    A container knows the ids before it in its shard; sums of whole shards, of which ``write`` makes at most
-    ``MOST_SHARDS``, are ordered as a whole and sent to every task."""
+    A file knows the ids before it in its shard; sums of whole shards, of which there are as many as the session has
+    shuffle partitions at most, are ordered as a whole and sent to every task."""
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
     shards = shards.select("shard", (F.sum("all").over(Window.orderBy("shard")) - F.col("all")).alias("shard_before"))
     return files.join(F.broadcast(shards), "shard").withColumn("before", F.col("shard_before") + F.col("inside")).drop("shard_before")
 
 
-def digests(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, read back from the containers."""
-    kind = dict(files.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
-    return with_starts(files).mapInArrow(_digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(ids before, ids, sizes, doc_ids) of each file listed."""
+    from pyarrow import fs
 
-
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            sizes = batch.column("sizes")[i].values.to_numpy()
-            bound = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.record_batch({"doc_id": batch.column("doc_ids")[i].values, "ids": pa.ListArray.from_arrays(pa.array(bound), pa.array(pfor.unpack(batch.column("payload")[i].as_py()).astype(np.int32)))})
+        for before, uri in zip(batch.column("before").to_pylist(), batch.column("file").to_pylist(), strict=True):
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_stream(path) as stream:
+                yield before, *file_parts(stream.read())
 
 
-def read(files: DataFrame) -> DataFrame:
-    """doc_id, ids (with the end id) of each document."""
-    kind = dict(files.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
-    return files.mapInArrow(_decode, f"doc_id {kind}, ids array<int>")
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for before, ids, sizes, doc_ids in opened(batches):
+        ends = np.cumsum(sizes)
+        view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        yield pa.record_batch(
+            {
+                "doc_id": doc_ids,
+                "start": pa.array(before + ends - sizes, pa.int64()),
+                "n_tokens": pa.array(sizes, pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(view[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.int64()),
+            }
+        )
 
 
-def export(files: DataFrame, folder: str) -> int:
-    """Write each container as ``shard-segment.pfor`` with Hadoop's file system; returns how many.  Done by the tasks that hold them, nothing passes the driver but the count."""
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, ids, sizes, doc_ids in opened(batches):
+        bound = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        yield pa.record_batch({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(bound), pa.array(ids.astype(np.int32)))})
 
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
-        for batch in batches:
-            for shard, segment, payload in zip(*(batch.column(c).to_pylist() for c in ("shard", "segment", "payload")), strict=True):
-                with system.open_output_stream(f"{root}/{shard:06d}-{segment:06d}.pfor") as out:
-                    out.write(payload)
-            yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
+def spread(files: DataFrame) -> DataFrame:
+    """The list dealt out, a file for each task as long as there are not too many."""
+    files = with_starts(files)
+    return files.repartition(max(1, min(files.count(), 100_000)))
+
+
+def digests(files: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id (of Spark type ``kind``), start, n_tokens, ids_crc32 of each document, read back from the files."""
+    return spread(files).mapInArrow(_digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+
 
-    return files.select("shard", "segment", "payload").mapInArrow(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def read(files: DataFrame, kind: str = "long") -> DataFrame:
+    """doc_id (of Spark type ``kind``), ids (with the end id) of each document."""
+    return spread(files).mapInArrow(_decode, f"doc_id {kind}, ids array<int>")
 
 
-def open_files(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table of containers."""
+def open_list(spark: SparkSession, path: str) -> DataFrame:
+    """A stored list of files."""
     return spark.read.parquet(path)
