@@ -70,6 +70,24 @@ def text_tokens(s: str) -> list[str]:
     return [t for t in re.split(r"[^\w]+|_+", fold_text(s)) if t]
 
 
+def _literal(word: str) -> str:
+    return "".join(c if c.isalnum() else "\\" + c for c in word)
+
+
+def token_pattern(word: str) -> str:
+    """Regular expression that finds ``word`` among the tokens of a folded text: as a run of letters and digits, or as all that a word
+    in white space has of them."""
+    inside, gap = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}\s]*"
+    spread = gap.join(_literal(c) for c in word)
+    return rf"(?<!{inside}){_literal(word)}(?!{inside})|(?<!\S){gap}{spread}{gap}(?!\S)"
+
+
+def phrase_pattern(words: list[str]) -> str:
+    """Regular expression that finds ``words`` one behind the other among the tokens of a folded text."""
+    inside = r"[\p{L}\p{N}]"
+    return rf"(?<!{inside}){SPLIT.join(map(_literal, words))}(?!{inside})"
+
+
 #: Normalisers of keyword types: (column expression, Python function).
 NORMALISERS: dict[str, tuple[Callable[[Column], Column], Callable[[str], str]]] = {
     "keyword": (lambda c: c, lambda s: s),

@@ -181,6 +181,17 @@ class Reader:
     def tokens(self, f: Field) -> Column:
         return F.flatten(self.each(f, analysis.tokens, "tok"))
 
+    def finds(self, f: Field, pattern: str) -> Column | None:
+        """Whether a value of a text field that has no stored tokens finds the pattern once folded; nothing is split for it."""
+        if not f.text or self.stored("tok", f.path) is not None:
+            return None
+        test = lambda c: F.rlike(analysis.fold(c), F.lit(pattern))
+        return F.exists(self.raw(f), test) if self.many(f) else test(self.raw(f))
+
+    def has(self, f: Field, word: str) -> Column:
+        found = self.finds(f, analysis.token_pattern(word))
+        return nz(F.array_contains(self.tokens(f), word) if found is None else found)
+
     def phrases(self, f: Field) -> Column:
         return self.each(f, analysis.base_tokens, "base")
 
@@ -222,6 +233,11 @@ def _exists(reader: Reader, f: Field) -> Column:
     return raw.isNotNull() & (F.size(raw) > 0) if reader.many(f) else raw.isNotNull()
 
 
+def _overlap(reader: Reader, f: Field, words: list[str]) -> Column:
+    found = reader.finds(f, "|".join(f"(?:{analysis.token_pattern(w)})" for w in words))
+    return nz(F.arrays_overlap(reader.tokens(f), F.array(*[F.lit(w) for w in words])) if found is None else found)
+
+
 def _equals(f: Field, term: str) -> Callable[[Column], Column]:
     text = F.lit(analysis.normalised_text(f.type, term))
     return lambda c: c == text
@@ -245,23 +261,31 @@ def leaf(m: Match, reader: Reader) -> Column:
         return _value(reader, f, reader.norm(f), lambda x: RANGES[m.op](x, F.lit(m.value)))
     if m.op == "plain":
         return _any([nz(_value(reader, x, reader.norm(x), _equals(x, m.value))) for x in m.fields])
-    words = list(dict.fromkeys(analysis.text_tokens(m.value)))
     if m.op == "phrase":
-        wanted = f" {' '.join(analysis.text_tokens(m.value))} "
-        parts = [
-            nz(F.exists(reader.phrases(x), lambda t: F.contains(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), F.lit(wanted))))
-            if x.text
-            else nz(_value(reader, x, reader.norm(x), _equals(x, m.value)))
-            for x in m.fields
-        ]
-        return _any(parts)
+        words = analysis.text_tokens(m.value)
+        wanted = f" {' '.join(words)} "
+
+        def phrase(x: Field) -> Column:
+            if not x.text:
+                return _value(reader, x, reader.norm(x), _equals(x, m.value))
+            found = reader.finds(x, analysis.phrase_pattern(words)) if words else None
+            if found is not None:
+                return found
+            return F.exists(reader.phrases(x), lambda t: F.contains(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), F.lit(wanted)))
+
+        return _any([nz(phrase(x)) for x in m.fields])
+    words = list(dict.fromkeys(analysis.text_tokens(m.value)))
     if m.op == "any":
-        parts = [nz(F.arrays_overlap(reader.tokens(x), F.array(*[F.lit(w) for w in words]))) for x in m.fields if x.text and words]
+        parts = [_overlap(reader, x, words) for x in m.fields if x.text and words]
         parts += [nz(_value(reader, x, reader.norm(x), _equals(x, m.value))) for x in m.fields if not x.text]
         return _any(parts)
     # all: every token in at least one of the fields that share an analyser; a keyword field has the whole term or not
     texts = [x for x in m.fields if x.text]
-    parts = [_all([_any([nz(F.array_contains(reader.tokens(x), w)) for x in texts]) for w in words])] if texts and words else []
+    if len(texts) == 1 and words and not reader.many(texts[0]):  # one pass over the text for all words
+        found = reader.finds(texts[0], "(?s)\\A" + "".join(f"(?=.*?(?:{analysis.token_pattern(w)}))" for w in words))
+        parts = [_all([reader.has(texts[0], w) for w in words]) if found is None else nz(found)]
+    else:
+        parts = [_all([_any([reader.has(x, w) for x in texts]) for w in words])] if texts and words else []
     parts += [nz(_value(reader, x, reader.norm(x), _equals(x, m.value))) for x in m.fields if not x.text]
     return _any(parts)
 

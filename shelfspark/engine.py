@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cql.bind import filter_field, terms_of
 from .errors import NotFoundError, QueryError, ValidationError
 from .model import Resource
 from .operators import browse as browsing
@@ -26,6 +27,8 @@ BROWSES = {
     "call-numbers": ("instance_call_number", "fullCallNumber", ("id",), "fullCallNumber"),
     "classifications": ("instance_classification", "number", ("id",), "number"),
 }
+#: Filters of a browse that choose elements of a child resource's ``instances``.
+ELEMENT_FILTERS = {"instances.shared": "shared", "instances.tenantId": "tenants", "instances.locationId": "location"}
 
 
 @dataclass
@@ -46,7 +49,8 @@ class Engine:
         return self.resources[name]
 
     def table(self, name: str) -> DataFrame:
-        self.resource(name)
+        if name not in self.tables:
+            raise NotFoundError(f"Resource {name} does not exist")
         found = self.tables[name]
         return found() if callable(found) else found
 
@@ -72,6 +76,21 @@ class Engine:
     def facets(self, name: str, cql: str, specs: list[str]) -> DataFrame:
         return facets.facets(self.visible(name), self._allowed(cql), specs, self.resource(name))
 
+    def facet_totals(self, name: str, cql: str, specs: list[str]) -> DataFrame:
+        return facets.totals(self.facets(name, cql, specs), specs, self.resource(name))
+
+    def holdings(self, **filters) -> DataFrame:
+        return consortium.holdings(self.table("holdings"), **filters)
+
+    def items(self, **filters) -> DataFrame:
+        return consortium.items(self.table("item"), **filters)
+
+    def locations(self, **filters) -> DataFrame:
+        return consortium.locations(self.visible("location"), **filters)
+
+    def batch(self, kind: str, identifier: str, values: list[str]) -> DataFrame:
+        return consortium.batch(self.table(kind), identifier, values)
+
     def ids(self, name: str, cql: str, path: str = "id") -> DataFrame:
         return extracted(self.visible(name), cql, self.resource(name), path)
 
@@ -80,8 +99,9 @@ class Engine:
         if kind not in BROWSES:
             raise NotFoundError(f"Browse {kind} does not exist")
         name, target, rest, shown = BROWSES[kind]
-        resource, df = self.resource(name), self.table(name)
+        resource = self.resource(name)
         ctx = browsing.context(cql, resource, target, limit, preceding)
+        df, ctx = self._browsed(name, ctx)
         keys, anchor = (target, *rest), None
         if option is not None:
             algorithm, types = self.configs.get("instance-call-number" if kind == "call-numbers" else "instance-classification", option)
@@ -97,6 +117,28 @@ class Engine:
         keep = tuple(k for k in dict.fromkeys(keys) if k in df.columns)
         return browsing.browse(df, ctx, browsing.Order(keep, shown), resource, anchor, highlight)
 
+    def _browsed(self, name: str, ctx: browsing.Context) -> tuple[DataFrame, browsing.Context]:
+        """What the tenant may browse: documents it sees; of child resources those with an element that it sees and the filters ask for."""
+        df = self.table(name)
+        if "instances" not in df.columns:
+            return self.visible(name), ctx
+        wanted, rest = {}, []
+        for f in ctx.filters:
+            path = filter_field(f)
+            values = terms_of(f) if path in ELEMENT_FILTERS else []
+            wanted.update({ELEMENT_FILTERS[path]: values}) if values else rest.append(f)
+        shared, tenants, places = (wanted.get(k) for k in ("shared", "tenants", "location"))
+        if self.tenant.central is None and not wanted:
+            return df, ctx
+        fields = df.schema["instances"].dataType.elementType.fieldNames()
+        names = tuple(a if a in fields else b for a, b in (("tenant_id", "tenantId"), ("location_id", "locationId")))
+        one = lambda v: v[0] if v and len(set(v)) == 1 else None
+        elements = consortium.visible_elements(self.tenant, F.col("instances"), one(shared), tenants, one(places), names)
+        if places and len(set(places)) > 1:
+            elements = F.filter(elements, lambda x: x[names[1]].isin(*places))
+        df = df.withColumn("instances", elements).where(F.size("instances") > 0)
+        return df, browsing.Context(ctx.anchor, ctx.backward, ctx.forward, ctx.included, tuple(rest))
+
     def store(self, name: str, documents: DataFrame, path: str, parts: int | None = None) -> None:
         """Write a resource's prepared documents and read searches from there on."""
         index.write(documents, self.resources[name], path, parts)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the printed forms of an ISBN that are taken for one, by the standard's parts (prefix, group, publisher, title, check)
 _GAP = r"[-\s]"
 ISBN13 = rf"^(?:978|979)(?:\d{{10}}|{_GAP}\d{{1,5}}{_GAP}\d{{1,7}}{_GAP}\d{{1,6}}{_GAP}\d)"
 ISBN10 = rf"^(?:\d{{9}}[\dX]|\d{{1,5}}{_GAP}\d{{1,7}}{_GAP}\d{{1,6}}{_GAP}[\dX])"
@@ -17,6 +19,11 @@ LCCN_TYPES = ("LCCN",)
 CANCELED_LCCN_TYPES = ("Canceled LCCN",)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _weighted(digits: Column, weight, n: int) -> Column:
     return sum((F.substring(digits, i + 1, 1).cast("int") * weight(i) for i in range(n)), F.lit(0))
 
@@ -26,20 +33,27 @@ def isbn(c: Column) -> Column:
     behind the number.  Anything else loses the hyphens and blanks between digits.
 
     The value is lower-cased before matching, so a number that ends in X is taken as anything else."""
-    v = F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    long, short = F.regexp_extract(v, ISBN13, 0), F.regexp_extract(v, ISBN10, 0)
-    ten = F.regexp_replace(short, "[- ]", "")
-    valid = (F.length(ten) == 10) & (_weighted(ten, lambda i: 10 - i, 10) % 11 == 0)
-    nine = F.concat(F.lit("978"), F.substring(ten, 1, 9))
-    check = (F.lit(10) - _weighted(nine, lambda i: 1 + 2 * (i % 2), 12) % 10) % 10
-    behind = lambda m: F.nullif(F.trim(F.substring(v, F.length(m) + 1, F.length(v))), F.lit(""))
-    out = (
-        F.when(v == "", F.array().cast("array<string>"))
-        .when(long != "", F.array_compact(F.array(F.regexp_replace(long, "[- ]", ""), behind(long))))
-        .when((short != "") & F.coalesce(valid, F.lit(False)), F.array_compact(F.array(ten, F.concat(nine, check.cast("string")), behind(short))))
-        .otherwise(F.array(F.regexp_replace(v, r"(?<=\d)[ -](?=\d)", "")))
-    )
-    return F.when(c.isNotNull(), out)
+
+    def forms(m: Column) -> Column:
+        v, long, short = m["v"], m["long"], m["short"]
+        behind = lambda x: F.nullif(F.trim(F.substring(v, F.length(x) + 1, F.length(v))), F.lit(""))
+        plain = F.array(F.regexp_replace(v, r"(?<=\d)[ -](?=\d)", ""))
+
+        def of_ten(ten: Column) -> Column:
+            nine = F.concat(F.lit("978"), F.substring(ten, 1, 9))
+            check = (F.lit(10) - _weighted(nine, lambda i: 1 + 2 * (i % 2), 12) % 10) % 10
+            valid = (F.length(ten) == 10) & (_weighted(ten, lambda i: 10 - i, 10) % 11 == 0)
+            return F.when(F.coalesce(valid, F.lit(False)), F.array_compact(F.array(ten, F.concat(nine, check.cast("string")), behind(short)))).otherwise(plain)
+
+        return (
+            F.when(v == "", F.array().cast("array<string>"))
+            .when(long != "", F.array_compact(F.array(F.regexp_replace(long, "[- ]", ""), behind(long))))
+            .when(short != "", once(F.regexp_replace(short, "[- ]", ""), of_ten))
+            .otherwise(plain)
+        )
+
+    matched = lambda v: F.struct(v.alias("v"), F.regexp_extract(v, ISBN13, 0).alias("long"), F.regexp_extract(v, ISBN10, 0).alias("short"))
+    return F.when(c.isNotNull(), once(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")), lambda v: once(matched(v), forms)))
 
 
 def oclc(c: Column) -> Column:

@@ -47,6 +47,27 @@ def classification_number(c: Column) -> Column:
     return F.nullif(F.regexp_replace(c, "[^a-zA-Z0-9]", ""), F.lit(""))
 
 
+def classification_ids(classifications: Column) -> Column:
+    """Ids of the classification entities of a record: those of ``plans.children.classifications``, once each."""
+    ids = F.transform(classifications, lambda x: F.when(expected(x["classificationNumber"], 50) != "", sha_id(expected(x["classificationNumber"], 50), x["classificationTypeId"])))
+    return F.array_distinct(F.array_compact(ids))
+
+
+def holdings_type_ids(holdings: Column) -> Column:
+    """Trimmed type ids of the holdings that have one, once each."""
+    return tags(F.transform(holdings, lambda h: h["holdingsTypeId"]))
+
+
+def merged_list(*arrays: Column) -> Column:
+    """Elements of all arrays in order, a null array counting as empty."""
+    return F.flatten(F.array_compact(F.array(*arrays)))
+
+
+def merged_set(*arrays: Column) -> Column:
+    """As ``merged_list``, each element where it stands first."""
+    return F.array_distinct(merged_list(*arrays))
+
+
 def full_call_number(*parts: Column) -> Column:
     """Trimmed parts that are not blank, joined with a blank."""
     return F.concat_ws(" ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])

@@ -33,13 +33,13 @@ def visible(tenant: Tenant, tenant_id: Column, shared: Column, linked_data: bool
     return is_shared if tenant.is_central else F.coalesce(tenant_id == tenant.name, F.lit(False)) | is_shared
 
 
-def visible_elements(tenant: Tenant, instances: Column, shared: bool | None = None, tenants: list[str] | None = None, location: str | None = None) -> Column:
+def visible_elements(tenant: Tenant, instances: Column, shared: bool | None = None, tenants: list[str] | None = None, location: str | None = None, names: tuple[str, str] = ("tenant_id", "location_id")) -> Column:
     """Elements of a child resource's ``instances`` that the tenant sees and the browse filters ask for.
 
-    ``shared=False`` asks a member for its own elements that are not shared."""
+    ``shared=False`` asks a member for its own elements that are not shared.  ``names``: what the elements call tenant and location."""
 
     def test(x: Column) -> Column:
-        own, is_shared = F.coalesce(x["tenant_id"] == tenant.name, F.lit(False)), F.coalesce(x["shared"], F.lit(False))
+        own, is_shared = F.coalesce(x[names[0]] == tenant.name, F.lit(False)), F.coalesce(x["shared"], F.lit(False))
         keep = F.lit(True)
         if tenant.central is not None:
             keep = is_shared if tenant.is_central else own | is_shared
@@ -48,9 +48,9 @@ def visible_elements(tenant: Tenant, instances: Column, shared: bool | None = No
         elif shared is not None:
             keep = is_shared == shared
         if tenants:
-            keep = keep & x["tenant_id"].isin(*tenants)
+            keep = keep & x[names[0]].isin(*tenants)
         if location is not None:
-            keep = keep & (x["location_id"] == location)
+            keep = keep & (x[names[1]] == location)
         return keep
 
     return F.filter(instances, test)
@@ -114,4 +114,7 @@ def batch(df: DataFrame, identifier: str, values: list[str]) -> DataFrame:
     if len(values) <= 1000:
         return df.where(F.arrays_overlap(column, F.array(*[F.lit(v) for v in values])) if many else F.col(column).isin(*values))
     wanted = F.broadcast(df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], "__v string"))  # at most MOST_IDS rows
-    return df.join(wanted, F.array_contains(column, F.col("__v")) if many else F.col(column).cast("string") == F.col("__v"), "left_semi")
+    if many:  # each value of a row is looked up; rows come back by key, once
+        hits = df.select("id", F.explode(column).alias("__v")).join(wanted, "__v", "left_semi").select("id").distinct()
+        return df.join(hits, "id", "left_semi")
+    return df.join(wanted, F.col(column).cast("string") == F.col("__v"), "left_semi")

@@ -12,7 +12,8 @@ from ..cql.bind import bind, filter_field, split_filters, terms_of, to_column
 from ..errors import QueryError
 from ..model import Resource
 
-SPEC = re.compile(r"^([A-Za-z._]+)(:(\d{1,10}))?$")
+# fixed value: names and sizes that a facet may be asked for by
+SPEC = re.compile(r"^([A-Za-z.]+)(:(\d{1,10}))?$")
 MOST = 2**31 - 1
 
 
@@ -55,6 +56,18 @@ def facets(df: DataFrame, cql: str, specs: list[str], resource: Resource) -> Dat
     counts = counts.withColumn("selected", is_selected)
     if all(size == MOST for _, size in sizes):
         return counts.orderBy("facet", F.desc("selected"), F.desc("total_records"), "id")
+    # cut to the greatest size first, which Spark does before the shuffle
+    most = max(size for _, size in sizes)
+    order = [F.desc("selected"), F.desc("total_records"), "id"]
+    if most < MOST:
+        counts = counts.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(*order))).where(F.col("place") <= most).drop("place")
     limit = reduce(lambda acc, s: acc.when(F.col("facet") == s[0], s[1]), sizes[1:], F.when(F.col("facet") == sizes[0][0], sizes[0][1]))
-    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("selected"), F.desc("total_records"), "id"))
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(*order))
     return counts.withColumn("place", place).where(F.col("place") <= limit).drop("place").orderBy("facet", F.desc("selected"), F.desc("total_records"), "id")
+
+
+def totals(found: DataFrame, specs: list[str], resource: Resource) -> DataFrame:
+    """facet, total_records: how many values each facet asked for has in a result, 0 for one without any."""
+    asked = found.sparkSession.createDataFrame([(resource.facet(parse_spec(s)[0]).path,) for s in specs], "facet string")
+    counts = found.groupBy("facet").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(counts, "facet", "left").select("facet", F.coalesce("n", F.lit(0)).alias("total_records"))
