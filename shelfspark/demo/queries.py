@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,29 +13,9 @@ from ..operators import consortium, facets, ids, lookups, search, tables
 from ..plans import children, documents, index
 from ..sources import events
 from ..streaming import pipeline
+from . import more  # noqa: F401  registers its queries
 from .catalog import DOCUMENTS, ORDERS, PARTS, instances, items, parts, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-FOUND: dict[str, tuple[Query, str | None]] = {}
-
-PART_SQL = """(SELECT *, p_brand AS brand_lower, [p_type, string_split(p_name, ' ')[1]] AS tags, [p_size, (p_partkey % 50)::INTEGER] AS sizes,
- CASE WHEN p_partkey % 3 = 0 THEN p_type END AS note,
- concat_ws(' ', replace(p_brand, '#', ' '), '.' || p_size || ':' || (p_partkey % 2000)) AS shelf FROM part)"""
-FOLD_SQL = "replace(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
-DOC_SQL = rf"""(SELECT *, regexp_split_to_array(f, '[^\p{{L}}\p{{N}}]+') AS base,
- list_transform(regexp_split_to_array(f, '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS whole FROM (SELECT *, {FOLD_SQL} AS f FROM documents))"""
-
-
-def has(token: str) -> str:
-    return f"(list_contains(base, '{token}') OR list_contains(whole, '{token}'))"
-
-
-def add(name: str, sql: str | None = None):
-    def put(f: Query) -> Query:
-        FOUND[name] = (f, sql)
-        return f
-
-    return put
+from .registry import DOC_SQL, FOLD_SQL, FOUND, INSTANCE_SQL, ITEM_SQL, PART_SQL, add, has
 
 
 def on_parts(name: str, cql: str, where: str) -> None:
@@ -242,7 +220,7 @@ HEADING_SQL = """(SELECT unnest(['c_name0_', 'c_mktsegment0_', 'nation0_']) || c
 
 
 def _authorities(spark, sf):
-    c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return documents.authority_headings(c.select(F.col("c_custkey").cast("string").alias("id"), "c_name", "c_mktsegment", F.col("n_name").alias("nation")), HEADINGS)
 
 
@@ -264,9 +242,6 @@ def _(spark, sf):
 
 
 # children and documents
-INSTANCE_SQL = """(SELECT p_partkey::VARCHAR AS id, 't' || (p_partkey % 4) AS tenant_id, p_partkey % 5 = 0 AS shared, p_name, p_brand, p_type, p_size FROM part)"""
-
-
 @add("child_subjects", f"""SELECT value, type_id, tenant_id, shared, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS value, p_type AS type_id, tenant_id, shared FROM {INSTANCE_SQL}) GROUP BY ALL""")
 def _(spark, sf):
     entities, relations = children.subjects(instances(spark, sf))
@@ -292,10 +267,6 @@ def _(spark, sf):
     return rows.select("name", F.explode("instances").alias("i")).select("name", "i.tenant_id", "i.shared", F.col("i.count").alias("n"), F.array_join("i.type_ids", ",").alias("types"))
 
 
-ITEM_SQL = """(SELECT l_orderkey || '-' || l_linenumber AS id, l_partkey::VARCHAR AS instance_id, 't' || (l_suppkey % 4) AS tenant_id, (l_suppkey % 10)::VARCHAR AS location_id,
- 'CN ' || (l_partkey % 100) AS call_number, l_linestatus AS prefix, l_returnflag AS suffix FROM lineitem)"""
-
-
 @add("child_call_numbers", f"""SELECT call_number, prefix, suffix, i.tenant_id, p.shared, location_id, count(DISTINCT instance_id) AS n, min(instance_id) AS least
  FROM {ITEM_SQL} i JOIN {INSTANCE_SQL} p ON i.instance_id = p.id GROUP BY ALL""")
 def _(spark, sf):
@@ -334,14 +305,7 @@ def _(spark, sf):
     return lookups.number_of_titles(authorities, titles, F.col("authority_ids")).select("id", "number_of_titles")
 
 
-@add("single_instance_title", f"""SELECT c.call_number, c.k, p_name AS instance_title FROM (SELECT call_number, location_id || prefix || suffix AS k, count(DISTINCT instance_id) AS n, min(instance_id) AS one FROM {ITEM_SQL} WHERE l_ok GROUP BY ALL) c LEFT JOIN part ON c.n = 1 AND p_partkey::VARCHAR = c.one""".replace("WHERE l_ok", "WHERE location_id = '3'"))
-def _(spark, sf):
-    it = items(spark, sf).where("location_id = '3'")
-    rows = it.groupBy("call_number", F.concat("location_id", "prefix", "suffix").alias("k")).agg(F.collect_set("instance_id").alias("instance_ids"))
-    return lookups.single_titles(rows, instances(spark, sf)).select("call_number", "k", "instance_title")
-
-
-@add("single_instance_title_all", f"""SELECT c.call_number, c.k, p_name AS instance_title FROM (SELECT call_number, location_id || prefix || suffix AS k, count(DISTINCT instance_id) AS n, min(instance_id) AS one FROM {ITEM_SQL} GROUP BY ALL) c LEFT JOIN part ON c.n = 1 AND p_partkey::VARCHAR = c.one""")
+@add("single_instance_title", f"""SELECT c.call_number, c.k, p_name AS instance_title FROM (SELECT call_number, location_id || prefix || suffix AS k, count(DISTINCT instance_id) AS n, min(instance_id) AS one FROM {ITEM_SQL} GROUP BY ALL) c LEFT JOIN part ON c.n = 1 AND p_partkey::VARCHAR = c.one""")
 def _(spark, sf):
     rows = items(spark, sf).groupBy("call_number", F.concat("location_id", "prefix", "suffix").alias("k")).agg(F.collect_set("instance_id").alias("instance_ids"))
     return lookups.single_titles(rows, instances(spark, sf)).select("call_number", "k", "instance_title")
@@ -353,23 +317,8 @@ def _(spark, sf):
 
 
 # scalar functions
-@add("fn_isbn", """SELECT p_partkey, '97' || (8 + p_partkey % 2) || lpad((p_partkey % 10000)::VARCHAR, 10, '0') AS isbn, NULL AS second FROM part WHERE p_partkey % 3 = 0
- UNION ALL SELECT p_partkey, d || chk, '978' || d || ((10 - s13 % 10) % 10) FROM (SELECT *, (11 - s % 11) % 11 AS chk, 38 + 3 * (x1 + x3 + x5 + x7 + x9) + x2 + x4 + x6 + x8 AS s13 FROM (
- SELECT *, 10 * x1 + 9 * x2 + 8 * x3 + 7 * x4 + 6 * x5 + 5 * x6 + 4 * x7 + 3 * x8 + 2 * x9 AS s FROM (
- SELECT p_partkey, d, d[1]::INT AS x1, d[2]::INT AS x2, d[3]::INT AS x3, d[4]::INT AS x4, d[5]::INT AS x5, d[6]::INT AS x6, d[7]::INT AS x7, d[8]::INT AS x8, d[9]::INT AS x9 FROM (SELECT p_partkey, lpad((p_partkey * 7919)::VARCHAR, 9, '0') AS d FROM part WHERE p_partkey % 3 = 1)))) WHERE chk < 10""")
-def _(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 3 < 2")
-    nine = F.lpad((F.col("p_partkey") * 7919).cast("string"), 9, "0")
-    total = sum((F.substring(nine, i + 1, 1).cast("int") * (10 - i) for i in range(9)), F.lit(0))
-    check = (F.lit(11) - total % 11) % 11
-    thirteen = F.concat(F.lit("97"), (F.lit(8) + F.col("p_partkey") % 2).cast("string"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 10, "0"))
-    raw = F.when(F.col("p_partkey") % 3 == 0, thirteen).otherwise(F.concat(F.substring(nine, 1, 1), F.lit("-"), F.substring(nine, 2, 4), F.lit(" "), F.substring(nine, 6, 4), F.lit("-"), check.cast("string")))
-    x = p.where((F.col("p_partkey") % 3 == 0) | (check < 10)).select("p_partkey", identifiers.isbn(raw).alias("v"))
-    return x.select("p_partkey", F.get("v", F.lit(0)).alias("isbn"), F.get("v", F.lit(1)).alias("second"))
-
-
-# all parts: those the form of a third of them leaves out end in X or have a remark behind
-@add("fn_isbn_all", """SELECT p_partkey, '97' || (8 + p_partkey % 2) || lpad((p_partkey % 10000)::VARCHAR, 10, '0') AS isbn, CASE WHEN p_partkey % 3 = 2 THEN '(pbk.)' END AS second FROM part WHERE p_partkey % 3 <> 1
+# a third of the parts each: thirteen digits, ten digits or nine and X, thirteen digits with a remark behind
+@add("fn_isbn", """SELECT p_partkey, '97' || (8 + p_partkey % 2) || lpad((p_partkey % 10000)::VARCHAR, 10, '0') AS isbn, CASE WHEN p_partkey % 3 = 2 THEN '(pbk.)' END AS second FROM part WHERE p_partkey % 3 <> 1
  UNION ALL SELECT p_partkey, d || CASE WHEN chk < 10 THEN chk::VARCHAR ELSE '-x' END, CASE WHEN chk < 10 THEN '978' || d || ((10 - s13 % 10) % 10) END FROM (SELECT *, (11 - s % 11) % 11 AS chk, 38 + 3 * (x1 + x3 + x5 + x7 + x9) + x2 + x4 + x6 + x8 AS s13 FROM (
  SELECT *, 10 * x1 + 9 * x2 + 8 * x3 + 7 * x4 + 6 * x5 + 5 * x6 + 4 * x7 + 3 * x8 + 2 * x9 AS s FROM (
  SELECT p_partkey, d, d[1]::INT AS x1, d[2]::INT AS x2, d[3]::INT AS x3, d[4]::INT AS x4, d[5]::INT AS x5, d[6]::INT AS x6, d[7]::INT AS x7, d[8]::INT AS x8, d[9]::INT AS x9 FROM (SELECT p_partkey, lpad((p_partkey * 7919)::VARCHAR, 9, '0') AS d FROM part WHERE p_partkey % 3 = 1))))""")
@@ -464,47 +413,23 @@ def _(spark, sf):
     return reindex.member_documents(i, i, h, "t1").select("id")
 
 
-@add("insert_ignore", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 500 UNION ALL SELECT o_orderkey, -1 FROM orders WHERE o_orderkey BETWEEN 500 AND 800")
-def _(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return tables.insert_ignore(o.where("o_orderkey < 500"), o.where("o_orderkey between 300 and 800").withColumn("o_custkey", F.lit(-1).cast("long")), ["o_orderkey"])
-
-
-@add("upsert_replace", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 300 UNION ALL SELECT o_orderkey, -1 FROM orders WHERE o_orderkey BETWEEN 300 AND 800")
-def _(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    return tables.upsert(o.where("o_orderkey < 500"), o.where("o_orderkey between 300 and 800").withColumn("o_custkey", F.lit(-1).cast("long")), ["o_orderkey"])
-
-
-@add("update_diff", "SELECT DISTINCT l_suppkey AS id, 'CREATE' AS action FROM lineitem WHERE l_orderkey < 40 UNION ALL SELECT DISTINCT l_suppkey, 'DELETE' FROM lineitem WHERE l_orderkey BETWEEN 40 AND 90 AND l_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey < 40)")
-def _(spark, sf):
-    x = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("id"))
-    return tables.difference(x.where("l_orderkey < 40"), x.where("l_orderkey between 40 and 90"), ["id"])
-
-
-@add("touch_from_join", "SELECT s_suppkey AS id, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey < 20) THEN 'new' ELSE 'old' END AS stamp FROM supplier")
-def _(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("old").alias("stamp"))
-    return tables.touched(s, table(spark, sf, "lineitem").where("l_orderkey < 20").select(F.col("l_suppkey").alias("id")), "id", F.lit("new"), "stamp")
-
-
 # whole tables: all orders are old rows, and new ones have twice the key of each line, so that half of them are new
-@add("insert_ignore_all", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT DISTINCT 2 * l_orderkey, -1 FROM lineitem WHERE 2 * l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@add("insert_ignore", "SELECT o_orderkey, o_custkey FROM orders UNION ALL SELECT DISTINCT 2 * l_orderkey, -1 FROM lineitem WHERE 2 * l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def _(spark, sf):
     return tables.insert_ignore(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), _doubled(spark, sf), ["o_orderkey"])
 
 
-@add("upsert_replace_all", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT 2 * l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT 2 * l_orderkey, -1 FROM lineitem")
+@add("upsert_replace", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT 2 * l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT 2 * l_orderkey, -1 FROM lineitem")
 def _(spark, sf):
     return tables.upsert(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), _doubled(spark, sf).distinct(), ["o_orderkey"])
 
 
-@add("update_diff_all", "SELECT DISTINCT 2 * l_orderkey AS id, 'CREATE' AS action FROM lineitem UNION ALL SELECT o_orderkey, 'DELETE' FROM orders WHERE o_orderkey NOT IN (SELECT 2 * l_orderkey FROM lineitem)")
+@add("update_diff", "SELECT DISTINCT 2 * l_orderkey AS id, 'CREATE' AS action FROM lineitem UNION ALL SELECT o_orderkey, 'DELETE' FROM orders WHERE o_orderkey NOT IN (SELECT 2 * l_orderkey FROM lineitem)")
 def _(spark, sf):
     return tables.difference(_doubled(spark, sf).withColumnRenamed("o_orderkey", "id"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), ["id"])
 
 
-@add("touch_from_join_all", "SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT 2 * l_orderkey FROM lineitem) THEN 'new' ELSE 'old' END AS stamp FROM orders")
+@add("touch_from_join", "SELECT o_orderkey AS id, CASE WHEN o_orderkey IN (SELECT 2 * l_orderkey FROM lineitem) THEN 'new' ELSE 'old' END AS stamp FROM orders")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("stamp"))
     return tables.touched(o, _doubled(spark, sf).withColumnRenamed("o_orderkey", "id"), "id", F.lit("new"), "stamp")
@@ -564,7 +489,7 @@ def _(spark, sf):
     first = pipeline.merged(None, e.where("event_id < 4000"), ["key"], ("ts", "event_id"))
     # keys deleted by an early batch and not written since stay away, as they have no later event
     both = pipeline.merged(first, e.where("event_id >= 4000"), ["key"], ("ts", "event_id"))
-    return both.select("key", "event_id")
+    return pipeline.live(both).select("key", "event_id")
 
 
 # consortium
@@ -662,5 +587,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(parts(spark, sf_dir), "p_type == ECONOMY and p_size >= 10 sortBy p_retailprice/sort.descending", PARTS, limit=20, expand_all=True)
 
 
+# both names of a query that once read a part of its table and another time all of it
+for _name in ("insert_ignore", "upsert_replace", "update_diff", "touch_from_join", "single_instance_title", "fn_isbn"):
+    FOUND[f"{_name}_all"] = FOUND[_name]
+
 QUERIES = {name: f for name, (f, _) in FOUND.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in FOUND.items() if sql}

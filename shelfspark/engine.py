@@ -41,6 +41,7 @@ class Engine:
     resources: dict[str, Resource] = field(default_factory=lambda: dict(RESOURCES))
     configs: browsing.Configs = field(default_factory=browsing.Configs)
     languages: tuple[str, ...] = ("eng",)
+    inverted: dict[str, index.Inverted] = field(default_factory=dict)
     features: dict[str, bool] = field(default_factory=lambda: {"search.all.fields": False})
 
     def resource(self, name: str) -> Resource:
@@ -68,7 +69,7 @@ class Engine:
         return cql
 
     def search(self, name: str, cql: str, limit: int = 100, offset: int = 0, include: list[str] | None = None, expand_all: bool = False, consolidated: bool = False) -> DataFrame:
-        return search.search(self.visible(name, consolidated), self._allowed(cql), self.resource(name), limit, offset, include, expand_all)
+        return search.search(self.visible(name, consolidated), self._allowed(cql), self.resource(name), limit, offset, include, expand_all, inverted=self.inverted.get(name))
 
     def total(self, name: str, cql: str) -> int:
         return search.total(self.visible(name), self._allowed(cql), self.resource(name))
@@ -144,9 +145,17 @@ class Engine:
         index.write(documents, self.resources[name], path, parts)
         self.tables[name] = lambda: self.spark.read.parquet(path)
 
+    def store_inverted(self, name: str, path: str, parts: int | None = None) -> None:
+        """Write a resource's inverted index; from there on searches without sortBy are ordered by relevance.
+
+        Scores are of all tenants' documents together; which of them a tenant sees is decided on the documents."""
+        index.Inverted.of(self.table(name), self.resources[name]).write(path, parts)
+        self.inverted[name] = index.Inverted.open(self.spark, path)
+
     def drop(self, name: str) -> None:
         if self.tables.pop(name, None) is None:
             raise NotFoundError(f"Index {name} does not exist")
+        self.inverted.pop(name, None)
 
     def configure_languages(self, languages: list[str]) -> None:
         if len(languages) > MOST_LANGUAGES:

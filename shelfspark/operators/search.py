@@ -9,6 +9,7 @@ from ..cql.bind import And, bind, to_column
 from ..cql.parser import Key
 from ..errors import QueryError, ValidationError
 from ..model import Resource
+from ..plans import index
 
 MOST_RESULTS = 10_000
 MOST_PAGE = 500
@@ -62,14 +63,21 @@ def search(
     include: list[str] | None = None,
     expand_all: bool = False,
     affiliation: Column | None = None,
+    inverted: index.Inverted | None = None,
 ) -> DataFrame:
-    """A page of the matching rows.  Without sortBy the order is that of the key; relevance is not computed."""
+    """A page of the matching rows.  Without sortBy the order is that of relevance, best first, if ``inverted`` is there to score
+    full-text conditions with, and then that of the key."""
     node, keys = bind(cql, resource)
     found = df.where(to_column(node, resource, df.columns))
     if affiliation is not None:
         found = found.where(affiliation)
     names = shown(resource, include, expand_all)
-    paged = page(found.orderBy(*order(keys, resource)), limit, offset)
+    by = order(keys, resource)
+    if inverted is not None and not keys and (scored := index.scoring(node)):
+        found, by = index.ranked(found, scored, inverted, resource.key), [F.desc("score"), *by]
+    paged = page(found.orderBy(*by), limit, offset)
+    if "score" in found.columns and "score" not in df.columns:
+        paged = paged.drop("score")
     return paged.select(*[c for c in names if c in df.columns]) if names is not None else paged.drop(*[c for c in df.columns if c.startswith(("norm__", "tok__", "base__"))])
 
 

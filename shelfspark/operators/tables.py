@@ -5,7 +5,9 @@ Without an ACID table format an upsert is copy on write: old rows whose key is n
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,21 +15,21 @@ from pyspark.sql import functions as F
 
 
 def last_events(events: DataFrame, key: str = "key", order: tuple[str, ...] = ("ts",), kind: str = "type", tenant: str | None = None) -> DataFrame:
-    """The last event of each key, by ``order``.
+    """The last event of each key, by ``order``, and by all columns where that is equal; found by one aggregation, combined before the shuffle.
 
     Two exceptions keep both of exactly two events of different tenants: a creation with a deletion (the record
     changes its owner), and a creation with an update (the record becomes shared)."""
-    down = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    whole = Window.partitionBy(key)
-    keep = F.col("__place") == 1
-    out = events.withColumn("__place", F.row_number().over(down))
-    if tenant:
-        kinds = F.sort_array(F.collect_set(kind).over(whole))
-        tenants = F.size(F.collect_set(tenant).over(whole))
-        pair = (F.count(F.lit(1)).over(whole) == 2) & (tenants == 2) & kinds.isin(F.array(F.lit("CREATE"), F.lit("DELETE")), F.array(F.lit("CREATE"), F.lit("UPDATE")))
-        out = out.withColumn("__pair", pair)
-        keep = keep | F.col("__pair")
-    return out.where(keep).drop("__place", "__pair")
+    row = F.struct(*[F.col(c) for c in order], F.struct(*events.columns).alias("row"))
+    aggs = [F.max(row).alias("last")]
+    if tenant is None:
+        return events.groupBy(F.col(key).alias("__k")).agg(*aggs).select("last.row.*")
+    # the rows of a pair are its greatest and its least
+    aggs += [F.min(row).alias("first"), F.count(F.lit(1)).alias("n")]
+    last, first = F.col("last.row"), F.col("first.row")
+    kinds = F.sort_array(F.array(last[kind], first[kind]))
+    pair = (F.col("n") == 2) & (last[tenant] != first[tenant]) & kinds.isin(F.array(F.lit("CREATE"), F.lit("DELETE")), F.array(F.lit("CREATE"), F.lit("UPDATE")))
+    kept = F.when(pair, F.array(last, first)).otherwise(F.array(last))
+    return events.groupBy(F.col(key).alias("__k")).agg(*aggs).select(F.explode(kept).alias("row")).select("row.*")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -41,8 +43,10 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key."""
-    return old.join(new.select(*keys), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    """New rows replace old ones of the same key; of new rows that repeat a key one stays.  Null keys are equal to each other."""
+    new = new.dropDuplicates(keys)
+    same = reduce(Column.__and__, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys])
+    return old.alias("o").join(new.select(*keys).alias("n"), same, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def touched(old: DataFrame, ids: DataFrame, key: str, stamp: Column, column: str = "last_updated_date") -> DataFrame:
@@ -110,34 +114,67 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 class Versions:
-    """A table as versioned folders and a pointer: a reader sees a whole version or the one before.
+    """A table as versioned folders and a log: a reader sees a whole version or the one before.
 
-    The pointer is one small text file, written through Spark, so any store it writes to will do."""
+    Rows are dealt into ``buckets`` by their keys; a merge reads and writes the buckets that it touches only, and a version names the
+    folder of each bucket.  The log is small text files, written through Spark, so any store it writes to will do.  There is one writer at a time."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 1):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def current(self) -> str | None:
+    def log(self) -> dict:
+        """The last version: ``version``, ``parts`` (folder of each bucket that has rows), ``batches`` (last batch of each stream)."""
         try:
-            names = [r[0] for r in self.spark.read.text(f"{self.path}/_versions").orderBy(F.desc("value")).limit(1).collect()]
+            last = self.spark.read.text(f"{self.path}/_versions").orderBy(F.desc("value")).limit(1).collect()
         except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return f"{self.path}/{names[0]}" if names else None
-
-    def read(self) -> DataFrame | None:
-        at = self.current()
-        return self.spark.read.parquet(at) if at else None
-
-    def replace(self, df: DataFrame) -> str:
-        at = self.current()
-        n = int(at.rsplit("v", 1)[1]) + 1 if at else 0
-        name = f"v{n:012d}"
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_versions")
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            last = []
+        return json.loads(last[0][0].split(" ", 1)[1]) if last else {"version": -1, "parts": {}, "batches": {}}
+
+    def read(self, buckets: set[int] | None = None) -> DataFrame | None:
+        """The table, or some buckets of it; None if nothing was ever written there."""
+        parts = {int(k): v for k, v in self.log()["parts"].items() if buckets is None or int(k) in buckets}
+        return self.spark.read.parquet(*[f"{self.path}/{v}/__bucket={k}" for k, v in sorted(parts.items())]) if parts else None
+
+    def bucket(self, keys: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int") if keys else F.lit(0)
+
+    def _write(self, df: DataFrame, keys: list[str], kept: dict, log: dict, batch: tuple[str, int] | None) -> str:
+        n = log["version"] + 1
+        name, columns = f"v{n:012d}", df.columns
+        df.withColumn("__bucket", self.bucket(keys)).write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/{name}")
+        try:
+            made = [r[0] for r in self.spark.read.parquet(f"{self.path}/{name}").select("__bucket").distinct().collect()]
+        except Exception as e:  # noqa: BLE001  a version without rows has no schema to read
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            made = []
+        if not made and not kept:  # the table stays readable when it is empty
+            df.limit(0).select(*columns).write.mode("overwrite").parquet(f"{self.path}/{name}/__bucket=0")
+            made = [0]
+        entry = {"version": n, "parts": kept | {str(b): name for b in made}, "batches": log["batches"] | (dict([batch]) if batch else {})}
+        self.spark.createDataFrame([(f"{name} {json.dumps(entry)}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_versions")
         return f"{self.path}/{name}"
 
-    def merge(self, new: DataFrame, keys: list[str]) -> str:
-        old = self.read()
-        return self.replace(upsert(old, new, keys) if old is not None else new)
+    def replace(self, df: DataFrame, keys: list[str] | None = None, batch: tuple[str, int] | None = None) -> str:
+        return self._write(df, keys or [], {}, self.log(), batch)
+
+    def merge(self, new: DataFrame, keys: list[str], how: Callable[[DataFrame | None, DataFrame], DataFrame] | None = None, batch: tuple[str, int] | None = None) -> str:
+        """Merge ``new`` by ``keys`` with ``how(old, new)``, an upsert if nothing else is asked for."""
+        log = self.log()
+        touched = {r[0] for r in new.select(self.bucket(keys).alias("b")).distinct().collect()}  # at most ``buckets`` numbers
+        old = self.read(touched)
+        rows = how(old, new) if how else upsert(old, new, keys) if old is not None else new.dropDuplicates(keys)
+        return self._write(rows, keys, {k: v for k, v in log["parts"].items() if int(k) not in touched}, log, batch)
+
+    def prune(self) -> int:
+        """Delete folders that the last version does not name; for when no reader is left on an older one."""
+        files = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system, named, gone = files.getFileSystem(self.spark._jsc.hadoopConfiguration()), set(self.log()["parts"].values()), 0
+        for status in system.listStatus(files):
+            name = status.getPath().getName()
+            if name.startswith("v") and name not in named:
+                system.delete(status.getPath(), True)
+                gone += 1
+        return gone

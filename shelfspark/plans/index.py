@@ -1,17 +1,20 @@
 """The stored form of a resource: documents with normalised copies of their search fields.
 
 ``norm__x`` holds keyword forms, ``tok__x`` and ``base__x`` token arrays.  Conditions on stored copies reach the
-Parquet scan, where ``lower(x) = ...`` would not; searches take them without being told.
+Parquet scan, where ``lower(x) = ...`` would not; searches take them without being told.  ``Inverted`` is the other
+stored form, for relevance: postings sorted by term.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from dataclasses import dataclass
+from functools import partial, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import analysis
+from ..cql.bind import Match, Not, Reader
 from ..model import Resource
 
 
@@ -36,3 +39,83 @@ def write(df: DataFrame, resource: Resource, path: str, parts: int | None = None
     rows = prepared(df, resource)
     rows = rows.repartitionByRange(parts, resource.key) if parts else rows.repartitionByRange(resource.key)
     rows.sortWithinPartitions(resource.key).write.mode("overwrite").parquet(path)
+
+
+# the inverted index: term, field, key, tf, length (tokens of the field in the document)
+
+K1, B = 1.2, 0.75  # fixed values: the usual parameters of BM25
+
+
+def postings(df: DataFrame, resource: Resource) -> DataFrame:
+    """One row for each term, text field and document that has it; counts are combined before the shuffle."""
+    fields = [f for f in resource.fields if f.text and f.path in df.columns]
+    reader = Reader(df.columns)
+    each = F.array(*[F.struct(F.lit(f.path).alias("field"), F.coalesce(reader.tokens(f), F.array().cast("array<string>")).alias("tokens")) for f in fields])
+    rows = df.select(F.col(resource.key).alias("key"), F.explode(each).alias("f")).select("key", "f.field", F.size("f.tokens").cast("long").alias("length"), F.explode("f.tokens").alias("term"))
+    return rows.groupBy("term", "field", "key", "length").agg(F.count(F.lit(1)).alias("tf")).select("term", "field", "key", "tf", "length")
+
+
+def lengths(df: DataFrame, resource: Resource) -> DataFrame:
+    """field, n_docs, n_tokens of each text field: documents with at least one token, and tokens of all."""
+    fields = [f for f in resource.fields if f.text and f.path in df.columns]
+    reader = Reader(df.columns)
+    each = F.array(*[F.struct(F.lit(f.path).alias("field"), F.size(F.coalesce(reader.tokens(f), F.array().cast("array<string>"))).cast("long").alias("n")) for f in fields])
+    return df.select(F.explode(each).alias("f")).where("f.n > 0").groupBy("f.field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("f.n").alias("n_tokens"))
+
+
+@dataclass(frozen=True)
+class Inverted:
+    """Postings and lengths, stored or not.  A search for words reads their postings only."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame, resource: Resource) -> Inverted:
+        return cls(postings(df, resource), lengths(df, resource))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Inverted:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
+    def write(self, path: str, parts: int | None = None) -> None:
+        """Postings are dealt by range of term and key and sorted, so a term's rows are few row groups of few files, and a frequent term many tasks."""
+        rows = self.postings.repartitionByRange(parts, "term", "key") if parts else self.postings.repartitionByRange("term", "key")
+        rows.sortWithinPartitions("term", "field", "key").write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths")
+
+    def hits(self, text: str, fields: list[str], every: bool = True) -> DataFrame:
+        """key, score: documents with every word of ``text`` in one field or another (or any word), by BM25 summed over words and fields.
+
+        How many documents have a word is counted on the postings read: at most words times fields rows, sent to all tasks."""
+        words = list(dict.fromkeys(analysis.text_tokens(text)))
+        rows = self.postings.where(F.col("term").isin(*words) & F.col("field").isin(*fields))
+        known = rows.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(self.lengths), "field")
+        tf, df, n = F.col("tf"), F.col("df"), F.col("n_docs")
+        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * F.col("length") * n / F.col("n_tokens"))
+        found = rows.join(F.broadcast(known), ["term", "field"]).groupBy("key").agg(F.sum(idf * tf / (tf + norm)).alias("score"), F.count_distinct("term").alias("words"))
+        return found.where(F.col("words") == len(words)).drop("words") if every else found.drop("words")
+
+    def top(self, text: str, fields: list[str], limit: int = 100, every: bool = True) -> DataFrame:
+        """The best hits, equal scores by key."""
+        return self.hits(text, fields, every).orderBy(F.desc("score"), "key").limit(limit)
+
+
+def ranked(found: DataFrame, query: list[tuple[str, list[str], bool]], inverted: Inverted, key: str) -> DataFrame:
+    """``found`` with ``score``: the sum over the full-text conditions (text, fields, every) of a query; 0 where none adds to it."""
+    scores = [inverted.hits(text, fields, every) for text, fields, every in query]
+    if not scores:
+        return found.withColumn("score", F.lit(0.0))
+    total = reduce(DataFrame.unionAll, scores).groupBy(F.col("key").alias("__key")).agg(F.sum("score").alias("score"))
+    return found.join(total, found[key] == F.col("__key"), "left").drop("__key").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def scoring(node) -> list[tuple[str, list[str], bool]]:
+    """Full-text conditions of a bound query that add to a score: (text, fields, whether every word is needed); negated ones add nothing."""
+    if isinstance(node, Match):
+        fields = [f.path for f in node.fields if f.text]
+        return [(node.value, fields, node.op != "any")] if fields and node.op in ("all", "any", "phrase") else []
+    if isinstance(node, Not):
+        return []
+    return [s for p in node.parts for s in scoring(p)]

@@ -1,7 +1,8 @@
 """Change events to stored tables, one micro-batch at a time.
 
-Each batch is reduced to the last event of every key and merged by key, so a batch that is run again changes
-nothing.  The versions of a table record the batch, and a batch already merged is passed over.
+Each batch is reduced to the last event of every key and merged by key, so a batch that is run again changes nothing; the
+table's log also records each stream's last batch, and one already merged is passed over.  A deletion stays in the table as a
+tombstone, so an older event that comes late does not bring the record back; ``live`` leaves tombstones out.
 """
 
 from __future__ import annotations
@@ -15,24 +16,72 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import tables
 
 
-def merged(old: DataFrame | None, events: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """State after a batch: columns of ``old``; an event of type DELETE leaves its key without a row.
+def merged(old: DataFrame | None, events: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts",), keep: str | None = None) -> DataFrame:
+    """State after a batch: columns of ``old``; the last event of each key, deletions too.
 
-    A row remembers the order of its event; older events that come late change nothing."""
+    ``keep``: how long before the batch's latest event (an interval such as ``7 days``) a tombstone is kept; for ever if None."""
     last = tables.last_events(events.withColumn("__key", F.struct(*keys)), "__key", order).drop("__key")
-    if old is None:
-        return last.where("type <> 'DELETE'")
-    both = old.withColumn("__new", F.lit(0)).unionByName(last.select(*old.columns).withColumn("__new", F.lit(1)))
-    newest = tables.latest(both, keys, [*[F.col(c).desc() for c in order], F.desc("__new")])
-    return newest.drop("__new").where("type <> 'DELETE'")
-
-
-def run(stream: DataFrame, table: tables.Versions, checkpoint: str, keys: list[str], order: tuple[str, ...] = ("ts",), prepare: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True, every: str = "60 seconds") -> StreamingQuery:
-    """Start merging ``stream`` into ``table``."""
+    if old is not None:
+        both = old.withColumn("__new", F.lit(0)).unionByName(last.select(*old.columns).withColumn("__new", F.lit(1)))
+        last = tables.latest(both, keys, [*[F.col(c).desc() for c in order], F.desc("__new")]).drop("__new")
+    if keep is not None and (top := events.agg(F.max(order[0])).first()[0]) is not None:
+        last = last.where((F.col("type") != "DELETE") | (F.col(order[0]) >= F.lit(top) - F.expr(f"interval {keep}")))
+    return last
+
+
+def live(state: DataFrame) -> DataFrame:
+    """Without tombstones."""
+    return state.where("type <> 'DELETE'")
+
+
+def one_by_one(df: DataFrame, process: Callable[[DataFrame], object], dead: Callable[[DataFrame, str], object], tries: int = 2) -> None:
+    """``process`` a batch; if it keeps failing, its halves, down to single rows; a row that fails alone goes to ``dead`` with the error.
+
+    A few bad rows cost a few runs over ever smaller parts; all other rows are processed."""
+
+    def run(part: DataFrame, level: int) -> None:
+        for left in range(tries - 1, -1, -1):
+            try:
+                process(part)
+                return
+            except Exception as e:  # noqa: BLE001  whatever a record does to its batch
+                error = str(e)[:2000]
+                if left:
+                    continue
+        if level >= 64 or len(part.limit(2).collect()) < 2:
+            dead(part, error)
+            return
+        for side in (0, 1):
+            half = part.where(F.getbit(F.xxhash64(F.to_json(F.struct(*part.columns))), F.lit(level)) == side)
+            if not half.isEmpty():
+                run(half, level + 1)
+
+    run(df, 0)
+
+
+def run(
+    stream: DataFrame, table: tables.Versions, checkpoint: str, keys: list[str], order: tuple[str, ...] = ("ts",), prepare: Callable[[DataFrame], DataFrame] | None = None,
+    available_now: bool = True, every: str = "60 seconds", keep: str | None = None, dead_letters: str | None = None,
+) -> StreamingQuery:
+    """Start merging ``stream`` into ``table``.  With ``dead_letters``, a folder, rows that cannot be merged are written there as JSON
+    with the error, and do not stop the stream."""
+
+    def merge(df: DataFrame, number: int | None) -> None:
+        df = prepare(df) if prepare else df
+        table.merge(df, keys, lambda old, new: merged(old, new, keys, order, keep), (checkpoint, number) if number is not None else None)
 
     def batch(df: DataFrame, number: int) -> None:
-        df = prepare(df) if prepare else df
-        table.replace(merged(table.read(), df, keys, order))
+        if number <= table.log()["batches"].get(checkpoint, -1) or df.isEmpty():
+            return
+        if dead_letters is None:
+            merge(df, number)
+            return
+        rows = df.persist()
+        try:
+            # parts do not record the batch: if the run ends between them, all are merged again, which changes nothing
+            one_by_one(rows, lambda part: merge(part, None), lambda part, error: part.select(F.to_json(F.struct(*part.columns)).alias("row"), F.lit(error).alias("error")).write.mode("append").json(dead_letters))
+        finally:
+            rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -1,5 +1,6 @@
 """Functions, child resources, documents, upserts and streaming."""
 
+import datetime
 import json
 import uuid
 
@@ -12,7 +13,7 @@ from shelfspark.operators import tables
 from shelfspark.plans import documents, reindex
 from shelfspark.plans.library import RESOURCES
 from shelfspark.sources import events
-from shelfspark.streaming import pipeline
+from shelfspark.streaming import pipeline, progress
 
 
 def value(spark, c):
@@ -134,3 +135,68 @@ def test_linked_data_fields(spark):
     ).first()
     assert (r.t, r.s, r.l, r.i, r.v) == (["a", "b"], "a", ["n79-1"], ["123"], ["n79-1", "123"])
     assert r.lcShelvingOrder == "QA 276 B5" and r.deweyShelvingOrder is None
+
+
+def _batches(spark, folder, batches):
+    folder.mkdir(exist_ok=True)
+    for name, rows in batches.items():
+        (folder / f"{name}.json").write_text("\n".join(json.dumps(r) for r in rows) + "\n")
+    return events.files(spark, str(folder), 1)
+
+
+def test_a_late_event_does_not_bring_a_deleted_record_back(spark, tmp_path):
+    at = lambda m: f"2024-01-01T00:{m:02d}:00Z"
+    table = tables.Versions(spark, f"{tmp_path}/state", buckets=4)
+    sent = {"0": [{"key": "k", "type": "CREATE", "ts": at(1), "new": "a"}, {"key": "m", "type": "CREATE", "ts": at(1), "new": "x"}], "1": [{"key": "k", "type": "DELETE", "ts": at(5)}], "2": [{"key": "k", "type": "UPDATE", "ts": at(3), "new": "b"}]}
+    for name in sent:
+        stream = _batches(spark, tmp_path / "in", {name: sent[name]})
+        pipeline.run(stream, table, f"{tmp_path}/check", ["key"]).awaitTermination(120)
+    assert [(r.key, r.new) for r in pipeline.live(table.read()).collect()] == [("m", "x")]
+    assert {r.key: r.type for r in table.read().collect()} == {"k": "DELETE", "m": "CREATE"}
+    log = table.log()
+    assert log["batches"] == {f"{tmp_path}/check": 2} and log["version"] == 2 and len(set(log["parts"].values())) == 2
+    assert table.prune() == 1 and table.read().count() == 2
+    kept = pipeline.merged(table.read(), spark.createDataFrame([("z", "CREATE")], "key string, type string").withColumn("ts", F.lit("2024-02-01").cast("timestamp")).join(table.read().limit(0).drop("key", "type", "ts"), how="left"), ["key"], keep="7 days")
+    assert {r.key for r in kept.collect()} == {"m", "z"}
+
+
+def test_a_bad_record_does_not_stop_the_stream(spark, tmp_path):
+    sent = [{"key": f"k{i}", "type": "CREATE", "ts": "2024-01-01T00:00:00Z", "new": "x" if i == 5 else str(i)} for i in range(9)]
+    table = tables.Versions(spark, f"{tmp_path}/state")
+    prepare = lambda df: df.withColumn("new", F.col("new").cast("int").cast("string"))
+    pipeline.run(_batches(spark, tmp_path / "in", {"0": sent}), table, f"{tmp_path}/check", ["key"], prepare=prepare, dead_letters=f"{tmp_path}/dead").awaitTermination(240)
+    assert sorted(r.key for r in table.read().collect()) == [f"k{i}" for i in range(9) if i != 5]
+    (dead,) = spark.read.json(f"{tmp_path}/dead").collect()
+    assert json.loads(dead.row)["key"] == "k5" and "CAST_INVALID_INPUT" in dead.error
+
+
+def test_progress_is_fenced(spark, tmp_path):
+    now = [1000.0]
+    p = progress.Progress(spark, f"{tmp_path}/p", stale=600, clock=lambda: now[0])
+    one = p.acquire("item")
+    assert one == 1 and p.acquire("item") is None and p.acquire("instance") == 1
+    now[0] += 601
+    two = p.acquire("item")
+    stamp = datetime.datetime(2024, 5, 1, tzinfo=datetime.timezone.utc)
+    assert two == 2 and not p.advance("item", one, stamp) and p.mark("item") == progress.BEGINNING
+    assert p.advance("item", two, stamp) and p.mark("item") == stamp
+    p.release("item", two)
+    assert p.acquire("item") == 3
+
+
+def test_scheduled_indexing_reads_changes_once(spark, tmp_path):
+    rows = [("a", "2024-01-01", False), ("b", "2024-01-02", True), ("c", "2024-01-03", None)]
+    make = lambda rows: spark.createDataFrame(rows, "id string, d string, is_deleted boolean").select("id", F.col("d").cast("timestamp").alias("last_updated_date"), "is_deleted")
+    seen, gone = [], []
+    kinds = lambda df: {"subject": (df, lambda x: seen.append(("subject", {r.id for r in x.collect()})), lambda x: gone.append({r.id for r in x.collect()})), "instance": (df.limit(0), seen.append, gone.append)}
+    p = progress.Progress(spark, f"{tmp_path}/p")
+    assert progress.scheduled(p, kinds(make(rows))) == {"instance": 0, "subject": 3}
+    assert seen == [("subject", {"a", "c"})] and gone == [{"b"}]
+    assert progress.scheduled(p, kinds(make(rows + [("d", "2024-02-01", None)])))["subject"] == 1 and seen[-1] == ("subject", {"d"})
+
+    def fails(_):
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        progress.index_changes(p, "subject", make([("e", "2024-03-01", None)]), fails, fails)
+    assert progress.index_changes(p, "subject", make([("e", "2024-03-01", None)]), lambda x: x.count(), lambda x: x.count()) == 1
