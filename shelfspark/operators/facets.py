@@ -12,8 +12,8 @@ from ..cql.bind import bind, filter_field, split_filters, terms_of, to_column
 from ..errors import QueryError
 from ..model import Resource
 
-# fixed value: names and sizes that a facet may be asked for by
-SPEC = re.compile(r"^([A-Za-z.]+)(:(\d{1,10}))?$")
+#: How facets are asked for; column names may have underscores.
+SPEC = re.compile(r"^([A-Za-z._]+)(:(\d{1,10}))?$")
 MOST = 2**31 - 1
 
 
