@@ -1,5 +1,8 @@
 """Parser, binder, search, facets and browsing."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +158,35 @@ def test_call_number_browse_through_the_engine(spark):
     engine.configs.put("instance-call-number", "lc", "LC", ("lc",))
     found = engine.browse("call-numbers", 'fullCallNumber >= "QA12 .B4 1994"', 3, option="lc").collect()
     assert [r.fullCallNumber.split()[0] for r in found] == ["QA12", "QA76", "QA300"] and found[0].is_anchor
+
+
+def test_patterns_find_what_tokens_have(spark):
+    """Text conditions without stored tokens against those on token arrays, on texts full of signs."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aabb  é1-_.'/ß\n日\u00a0") for _ in range(rng.randint(0, 25))) for _ in range(150)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, title string")
+    one = Resource("t", (Field("id", "long"), Field("title", "standard")))
+    stored = index.prepared(df, one)
+    asked = sorted({w for t in texts if t for w in analysis.text_tokens(t)})[::3] + ["ab", "a"]
+    asked = [w for w in asked if "*" not in w]
+    for op, words in [("all", [w]) for w in asked[:25]] + [("all", [a, b]) for a, b in zip(asked[:8], asked[5:13], strict=True)] + [("any", asked[3:9])] + [("==", [a, b]) for a in ("a", "b", "1") for b in ("b", "e", "a1")]:
+        cql = f'title {op} "{" ".join(words)}"'
+        want = {r.id for r in search.matched(stored, cql, one).collect()}
+        assert {r.id for r in search.matched(df, cql, one).collect()} == want, cql
+
+
+def test_relevance_orders_a_search(spark, tmp_path):
+    rows = [("1", "t1", True, "web web web"), ("2", "t1", True, "a web of many other words that are long"), ("3", "t1", True, "primer"), ("4", "x", False, "web")]
+    df = spark.createDataFrame(rows, "id string, tenantId string, shared boolean, title string")
+    parts = Resource("instance", (Field("id", uses=("sort",)), Field("tenantId"), Field("shared", "bool"), Field("title", "standard")))
+    engine = Engine(spark, {"instance": df}, consortium.Tenant("t1", "c"), {"instance": parts})
+    assert [r.id for r in engine.search("instance", "title = web").collect()] == ["1", "2"]
+    engine.store_inverted("instance", f"{tmp_path}/inverted", 2)
+    assert [r.id for r in engine.search("instance", "title = web", consolidated=True).collect()] == ["1", "4", "2"]
+    assert [r.id for r in engine.search("instance", "title = web sortBy id/sort.descending").collect()] == ["2", "1"]
+    assert engine.search("instance", "title = web").columns == ["id", "tenantId", "shared", "title"]
+    top = index.Inverted.open(spark, f"{tmp_path}/inverted").top("web", ["title"]).collect()
+    n, mean = 4, (3 + 9 + 1 + 1) / 4
+    idf = math.log(1 + (n - 3 + 0.5) / 3.5)
+    want = {k: idf * tf / (tf + 1.2 * (0.25 + 0.75 * length / mean)) for k, tf, length in (("1", 3, 3), ("2", 1, 9), ("4", 1, 1))}
+    assert {r.key: r.score for r in top} == pytest.approx(want) and [r.key for r in top] == sorted(want, key=lambda k: -want[k])
