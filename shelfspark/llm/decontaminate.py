@@ -12,7 +12,8 @@ any other document and item, if all shingles they share weigh enough, every wind
 
 A window without any of the benchmark's shingles has similarity 0, so such windows are passed over before
 fingerprinting; this loses nothing.  Benchmarks beyond ``items`` items are searched in blocks, one pass each; what
-a pass sends to the executors is bounded by ``items`` and ``item_words``.
+a pass sends to the executors is bounded by ``items`` and ``item_words``.  Running sums take 256 bytes for each word of the
+documents that are worked on together, about 100,000 words or one longer text with a shingle of the benchmark.
 
 Null or empty texts match nothing, nor do items with a null id, or null, empty or blank text.  Items of fewer
 words than a shingle have their whole sequence as one.  Rows that repeat a ``doc_id`` are searched each; equal items

@@ -1,8 +1,8 @@
 """Vectorised text kernels: words, hashes and shingles of whole Arrow string columns.
 
-Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``.  Everything works on slices of a few
-megabytes, cut between documents or, inside a very long document, between words, so memory does not
-depend on how long a text is.  Null texts count as empty.
+Words are maximal runs of bytes outside ``\\x20 \\x09-\\x0D``.  Everything works on slices of a few megabytes, cut between
+documents; a text longer than that is a slice of its own, so memory is bounded by a slice or one text, not by a batch.
+Null texts count as empty.
 """
 
 from __future__ import annotations

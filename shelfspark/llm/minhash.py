@@ -7,14 +7,16 @@ Pairs found are counted on whole signatures and confirmed on whole shingle sets.
 
 Large groups do not become all pairs.  Equal sets are collapsed first.  Then each set is compared with two
 pivots of every list it is posted in (the set whose pairs are most common, and the smallest id), confirmed
-links are merged to components, and lists within one component are done.  Sets of different components that
-still share a list are paired, at the rarest coordinate they share.  Three filters keep the many sets that are
-near a large group, but not in it, from being paired up.  Two are exact: a set's shingles that no other set has
-cannot be shared, which bounds the similarity of a set, and of a pair.  The third is a much longer signature of one
-bit a coordinate, whose differing bits stay below the bound that a similar pair passes with the same chance.
+links are merged to components, and lists within one component are done.  In lists that hold several, each set is compared
+with the best linked set of the component that has most of the list, which joins the edges of a group to its middle.
+Sets of different components that still share a list are paired, at the rarest coordinate they share.  Three filters keep the many sets that are
+near a large group, but not in it, from being paired up.  A set's shingles that no other set has cannot be shared, which
+bounds the similarity of a set, and of a pair.  And a sketch of ``bits`` cells holds whether a cell has an odd number of the
+set's shingles: two sketches differ in no more cells than the sets do in shingles, and no pair is lost to that.  Where many
+shingles meet in few cells, the cells in which a pair at the threshold differs stay below Hoeffding's bound for chance ``missed``.
 Posting lists are joined in parts of ``part_rows`` sets, so one very common pair is no task of its own.
 
-``missed`` is the chance at which a pair exactly at the threshold may be lost, for coordinates and for bits.  With 0
+``missed`` is the chance at which a pair exactly at the threshold may be lost, for coordinates and for cells.  With 0
 nothing is: shingles themselves are posted, each set under the rarest of its own that any similar set has to share.
 
 Nulls and empties: a null or empty text, or one without words, has no shingles and links with nothing.  A
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, lgamma, log
+from math import exp, lgamma, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +49,10 @@ class NearDup:
     percent: int = 80
     coordinates: int = 32
     missed: float = 1e-9
-    bits: int = 2048
+    bits: int = 1024
     part_rows: int = 1000
     seed: int = 11
 
-    @property
-    def most_differing(self) -> int:
-        """Bits in which a pair exactly at the threshold differs at most, but for the chance ``missed``: each does with (1 - similarity) / 2."""
-        p, above, t = (1 - self.percent / 100) / 2, 0.0, self.bits
-        while t > 0 and (above := above + chance(self.bits, t, p)) <= self.missed:
-            t -= 1
-        return t
-
     @property
     def matches(self) -> int:
         p, below, t = self.percent / 100, 0.0, 0
@@ -124,21 +118,18 @@ def _sets(how: NearDup):
     return run
 
 
-def _bits(how: NearDup):
-    n, seed = how.bits, how.seed
+def _cells(how: NearDup):
+    n = how.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factor = kernels.seeded(n, seed + 2)
         for batch in batches:
             out = np.empty((batch.num_rows, n // 64), np.int64)
             for i, x in enumerate(batch.column("shingles")):
-                found, bits = x.values.to_numpy().view(np.uint64), np.empty(n, np.uint8)
-                for j in range(0, n, 64):
-                    low = np.min((found[:, None] ^ (found[:, None] >> np.uint64(29))) * factor[j : j + 64], axis=0)
-                    bits[j : j + 64] = kernels.mix(low) & np.uint64(1)
-                out[i] = np.packbits(bits, bitorder="little").view(np.int64)
+                cell = kernels.mix(x.values.to_numpy().view(np.uint64) + np.uint64(how.seed)) % np.uint64(n)
+                odd = np.bincount(cell.astype(np.int64), minlength=n) & 1
+                out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
             bound = np.arange(batch.num_rows + 1, dtype=np.int32) * (n // 64)
-            yield pa.record_batch({"cid": batch.column("cid"), "bits": pa.ListArray.from_arrays(pa.array(bound), pa.array(out.ravel()))})
+            yield pa.record_batch({"cid": batch.column("cid"), "cells": pa.ListArray.from_arrays(pa.array(bound), pa.array(out.ravel()))})
 
     return run
 
@@ -208,15 +199,15 @@ def placed(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
         return store.stored(found.dropDuplicates(["cid"]) if repeated else found, "sets")
 
     if how.missed:
-        least, posted = F.lit(how.matches), same.select("cid", "n", F.explode("pairs").alias("pair"))
+        least, posted = F.lit(how.matches), same.select("cid", "rep", "n", F.explode("pairs").alias("pair"))
     else:
         sets = whole(same)
-        least, posted = F.ceil(F.col("n") * how.percent / 100).cast("int"), sets.join(same.select("cid", "n"), "cid").select("cid", "n", F.explode("shingles").alias("pair"))
+        least, posted = F.ceil(F.col("n") * how.percent / 100).cast("int"), sets.join(same.select("cid", "rep", "n"), "cid").select("cid", "rep", "n", F.explode("shingles").alias("pair"))
     shared = posted.groupBy("pair").count().filter("count > 1")
     # pairs that no other set has cannot match; what is left is ordered from the rarest on
     ordered = (
         posted.join(shared, "pair")
-        .groupBy("cid", "n")
+        .groupBy("cid", "rep", "n")
         .agg(F.sort_array(F.collect_list(F.struct("count", "pair"))).alias("found"), F.sum(F.log2("count")).alias("common"))
         .filter(F.size("found") >= least)
     )
@@ -228,49 +219,64 @@ def placed(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     single = each.filter("many = 1").groupBy("cid").agg(F.count("shingle").alias("single"))
     live = ordered.join(single, "cid", "left").withColumn("common_n", F.col("n") - F.coalesce("single", F.lit(0))).drop("single").filter(F.col("common_n") * 100 >= F.col("n") * how.percent)
     first_pairs = F.explode(F.slice("found", 1, F.size("found") - (least - 1))).alias("p")
-    prefix = live.select("cid", "n", "common", "common_n", F.col("found.pair").alias("pairs"), first_pairs)
+    prefix = live.select("cid", "rep", "n", "common", "common_n", F.col("found.pair").alias("pairs"), first_pairs)
     # a list is dealt into parts of about part_rows sets
     parts = F.ceil(F.col("p.count") / how.part_rows).cast("int")
-    prefix = prefix.select("cid", "n", "common", "common_n", "pairs", "p.pair", parts.alias("parts"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"))
+    prefix = prefix.select("cid", "rep", "n", "common", "common_n", "pairs", "p.pair", parts.alias("parts"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("part"))
     prefix = store.stored(prefix, "prefix")
     each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    pivots = prefix.groupBy("pair").agg(F.count("cid").alias("many"), F.min("cid").alias("low"), F.max_by("cid", F.struct("common", "cid")).alias("hub"), F.first("parts").alias("parts"))
-    pivots = pivots.filter("many > 1").select("pair", each_part, "low", "hub")
-    starred = prefix.join(pivots, ["pair", "part"]).select("cid", F.explode(F.array("low", "hub")).alias("pivot")).filter("cid <> pivot")
-    stars = store.stored(starred.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct(), "stars")
-    links = store.stored(confirmed(stars, sets, how), "links")
-
+    pivots = prefix.groupBy("pair").agg(F.count("cid").alias("many"), F.min_by("cid", "rep").alias("low"), F.max_by("cid", F.struct("common", "cid")).alias("hub"), F.first("parts").alias("parts"))
+    pivots = pivots.filter("many > 1").select("pair", each_part, F.array("low", "hub").alias("pivots"))
+
+    def compared(rows: DataFrame, pivots: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(pairs of the rows' sets with the pivots of their lists, those of them that are links)."""
+        starred = rows.join(pivots, ["pair", "part"]).select("cid", F.explode("pivots").alias("pivot")).filter("cid <> pivot")
+        pairs = starred.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+        pairs = store.stored(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), "stars")
+        return pairs, store.stored(confirmed(pairs, sets, how), "links")
+
+    def spread(components: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows with their component, number of rows of each component in each list that holds several)."""
+        rows = prefix.join(components, prefix.cid == components.node, "left").select("cid", "n", "common_n", "pairs", "pair", "parts", "part", F.coalesce("component", "cid").alias("comp"))
+        several = rows.groupBy("pair").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("parts").alias("parts")).filter("x <> y").select("pair", each_part)
+        return rows, several
+
+    stars, links = compared(prefix, pivots)
     first = graph.components(links)
-    at = prefix.join(first, prefix.cid == first.node, "left").select("cid", "n", "common_n", "pairs", "pair", "parts", "part", F.coalesce("component", "cid").alias("comp"))
-    several = at.groupBy("pair").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.first("parts").alias("parts")).filter("x <> y").select("pair", each_part)
-    open_ = store.stored(at.join(several, ["pair", "part"], "left_semi").drop("parts", "part"), "open")
-    if how.missed:
-        bits = store.stored(sets.join(open_.select("cid").distinct(), "cid", "left_semi").repartition("cid").mapInArrow(_bits(how), "cid long, bits array<long>"), "bits")
-        left = store.stored(open_.join(bits, "cid"), "left")
-        store.dropped(open_, bits)
-    else:
-        left = open_
+    rows_, several = spread(first)
+    best = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count().join(first, "node").groupBy("component").agg(F.max_by("node", F.struct("count", "node")).alias("middle"))
+    most = rows_.join(several, ["pair", "part"], "left_semi").groupBy("pair", "parts", "comp").count().groupBy("pair").agg(F.max_by("comp", F.struct("count", "comp")).alias("comp"), F.first("parts").alias("parts"))
+    middles = most.join(best, most.comp == best.component).select("pair", each_part, F.array("middle").alias("pivots"))
+    more_stars, more_links = compared(prefix, middles, stars)
+    second = graph.components(links.unionAll(more_links))
+    rows_, several = spread(second)
+    open_ = store.stored(rows_.join(several, ["pair", "part"], "left_semi").drop("parts", "part"), "open")
+    cells = store.stored(sets.join(open_.select("cid").distinct(), "cid", "left_semi").mapInArrow(_cells(how), "cid long, cells array<long>"), "cells")
+    left = store.stored(open_.join(cells, "cid"), "left")
+    store.dropped(open_, cells)
     a, b = left.alias("a"), left.alias("b")
-    both_n = (F.col("a.n") + F.col("b.n")) * how.percent
+    both_n = F.col("a.n") + F.col("b.n")
+    differ = sum((F.bit_count(F.get("a.cells", F.lit(i)).bitwiseXOR(F.get("b.cells", F.lit(i)))) for i in range(how.bits // 64)), F.lit(0))
+    most = both_n * (100 - how.percent) / (100 + how.percent)  # shingles in which a similar pair differs
     common = F.array_intersect("a.pairs", "b.pairs")
     if how.missed:
-        differ = sum((F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(how.bits // 64)), F.lit(0))
-        enough = (differ <= how.most_differing) & (F.size(common) >= how.matches)
+        expected = how.bits / 2 * (1 - F.pow(F.lit(1 - 2 / how.bits), most))
+        enough = (differ <= F.least(most, expected + sqrt(how.bits * log(1 / how.missed) / 2))) & (F.size(common) >= how.matches)
     else:
-        enough = F.size(common) * (100 + how.percent) >= both_n
+        enough = (differ <= most) & (F.size(common) * (100 + how.percent) >= both_n * how.percent)
     open_pairs = a.join(
         b,
         (F.col("a.pair") == F.col("b.pair"))
         & (F.col("a.cid") < F.col("b.cid"))
         & (F.col("a.comp") != F.col("b.comp"))
-        & (F.least("a.common_n", "b.common_n") * (100 + how.percent) >= both_n)
+        & (F.least("a.common_n", "b.common_n") * (100 + how.percent) >= both_n * how.percent)
         & enough
         & (F.get(common, F.lit(0)) == F.col("a.pair")),  # each pair once, at the rarest coordinate that it shares
     ).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
-    open_pairs = store.stored(open_pairs.join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    open_pairs = store.stored(open_pairs.join(stars.unionAll(more_stars), ["a", "b"], "left_anti"), "open-pairs")
     more = store.stored(confirmed(open_pairs, sets, how), "more")
-    final = graph.components(links.unionAll(more))
-    store.dropped(ordered, sets, prefix, stars, left, open_pairs, links, more, first)
+    final = graph.components(links.unionAll(more_links).unionAll(more))
+    store.dropped(ordered, sets, prefix, stars, more_stars, left, open_pairs, links, more_links, more, first, second)
 
     numbered = same.join(final, same.cid == final.node, "left").select("f1", "f2", "n", "rep", F.coalesce("component", "cid").alias("component"))
     least_id = numbered.groupBy("component").agg(F.min("rep").alias("component_id"))
