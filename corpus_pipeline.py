@@ -2,7 +2,10 @@
 
 Each stage takes what its predecessor kept, all of it, and its decisions take effect: toxic documents go, one
 document of each near-duplicate group stays, documents with benchmark items go, sources are mixed to their target
-weights, and the mix is encoded.  All but the last return the columns of ``documents``.
+weights, and the mix is encoded.  All but the last return the columns of ``documents``, and further ones that the input has.
+
+Every stage takes null and empty texts, null ids and sources, texts of any length, ties, repeated rows and an empty
+table; what each does with them is said there.
 """
 
 from __future__ import annotations
@@ -14,7 +17,9 @@ from shelfspark.llm import decontaminate, minhash, mixing, store, tokens, toxici
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the toxicity threshold; labels are learnt from those documents."""
+    """Documents scored below the toxicity threshold; labels are learnt from those documents.
+
+    Null and empty texts score the bias, rows without an id are scored by their text, repeated rows alike; without labels nothing is rejected."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -26,17 +31,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item; null and empty texts contain none, repeated rows are judged each."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: what is taken of each document, once for each time it is taken."""
+    """The mix: what is taken of each document, once for each time it is taken.
+
+    Documents without words take no part; a null source is one of its own; repeated rows have places of their own."""
     return mixing.mixed(docs, mixing.Mix(weights=(5, 2, 1), most=3))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each row, read back from the files written."""
+    """doc_id, start, n_tokens, ids_crc32 of each row, read back from the files written; null ids come first, rows of one id one after another."""
     return tokens.digests(tokens.write(docs, tokens.TokenFiles(public_tokenizers.path("byte_bpe_50k.json"))))
 
 
