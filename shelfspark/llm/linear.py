@@ -92,8 +92,10 @@ def sigmoid(x):
 def fit(rows: list[tuple], how: Ftrl) -> np.ndarray:
     """Weights from rows (index, value, others, label); ``others``: the same for each counterfactual text, the last of them the one
     that names no group.  In each epoch a row meets one of the former, drawn anew, and the latter: the squared change of the
-    score is penalised, and both are learnt with the row's own label."""
+    score is penalised, and both are learnt with the row's own label.  Without rows every score is that of a bias of -1."""
     z, n, w = np.zeros(1 << how.bits), np.zeros(1 << how.bits), np.zeros(1 << how.bits)
+    if not rows:
+        w[0] = -1
     l1 = np.full(1 << how.bits, how.l1)
     l1[0] = 0
     rng = np.random.default_rng(how.seed)

@@ -3,8 +3,8 @@
 Tokens are runs of letters and digits, or of signs.  Features are one- and two-token n-grams of the tokens
 themselves and one- to three-token n-grams of their shapes (case and kind of sign), and a mark for each
 three-token n-gram that the text had before.  A feature weighs the root of its share of the text, so long and
-short texts compare.  Empty and null texts have the bias alone.  Without labelled rows of both kinds every
-score is 0.5 or the bias.  Rows that repeat a ``doc_id`` are scored each; a null ``doc_id`` is never learnt from.
+short texts compare.  Empty and null texts have the bias alone.  Without labelled rows every
+score is 0.27.  Rows that repeat a ``doc_id`` are scored each; a null ``doc_id`` is never learnt from.
 """
 
 from __future__ import annotations
