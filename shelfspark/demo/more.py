@@ -239,6 +239,19 @@ def _(spark, sf):
     return documents.expanded(parts(spark, sf).withColumn("p_name", F.concat(F.lit(" "), F.upper("p_name"))), PARTS).select("p_partkey", "plain_p_name")
 
 
+@add("document_json", """SELECT p_partkey AS key, '{"id":' || p_partkey || ',"name":"' || p_name || '"' || CASE WHEN p_size > 10 THEN ',"size":' || p_size ELSE '' END || '}' AS body FROM part""")
+def _(spark, sf):
+    return documents.serialised(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("size")))
+
+
+@add("sharing_complete", "SELECT s_suppkey AS id, s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7) AS moved FROM supplier")
+def _(spark, sf):
+    numbers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("old").alias("last_updated_date"))
+    relations = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("instance_id"), F.col("l_suppkey").alias("call_number_id"))
+    shared = table(spark, sf, "part").where("p_size = 7").select(F.col("p_partkey").alias("instance_id"))
+    return events.sharing_completed(shared, relations, numbers, F.lit("new")).select("id", (F.col("last_updated_date") == "new").alias("moved"))
+
+
 @add("heading_changes", "SELECT DISTINCT l_partkey AS document_id, 'CREATE' AS action FROM lineitem WHERE l_returnflag = 'N' UNION ALL SELECT DISTINCT l_partkey, 'DELETE' FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N')")
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("document_id"), "l_returnflag")

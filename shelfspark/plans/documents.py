@@ -87,3 +87,8 @@ def expanded(df: DataFrame, resource: Resource) -> DataFrame:
 
     more = {f"plain_{f.path}": analysis.normalised(f.type, F.col(f.path)) for f in resource.fields if f.text and f.plain and not f.many and f.path in df.columns}
     return df.withColumns(more)
+
+
+def serialised(df: DataFrame, key: str = "id") -> DataFrame:
+    """key, body: each document as JSON without its null fields."""
+    return df.select(F.col(key).alias("key"), F.to_json(F.struct(*df.columns)).alias("body"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import tables
+
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "type", "deleteEventSubType", "tenant", "resourceName", "new", "old")])
 TYPES = ("UPDATE", "CREATE", "DELETE", "REINDEX", "DELETE_ALL")
 
@@ -89,3 +91,9 @@ def accepted(events: DataFrame) -> DataFrame:
 def parents(events: DataFrame, old: Column, new: Column) -> DataFrame:
     """One row for each parent an event touches: the old and the new one, if it moved."""
     return events.withColumn("parent_id", F.explode(F.array_distinct(F.array_compact(F.array(old, new)))))
+
+
+def sharing_completed(shared: DataFrame, relations: DataFrame, call_numbers: DataFrame, stamp: Column) -> DataFrame:
+    """Call numbers after instances (``instance_id``) became shared: those of the instances get the time stamp, so they are indexed again."""
+    ids = relations.join(shared.select("instance_id"), "instance_id", "left_semi").select(F.col("call_number_id").alias("id"))
+    return tables.touched(call_numbers, ids, "id", stamp)
