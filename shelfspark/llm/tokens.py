@@ -94,7 +94,8 @@ class Encoder:
         cut[1:-1] = (blank[1:] & visible[:-1]) | (letter[:-1] & odd[1:])
         first = offsets[:-1][offsets[1:] > offsets[:-1]]
         cut[first] = True
-        cut[2:-1] |= cut[1:-2] & blank[1:-1] & (data[1:-1] != 32) & ~blank[2:] & (data[2:] > 32)
+        # behind a single blank, but not before one beyond ASCII, which would make them one run
+        cut[2:-1] |= cut[1:-2] & blank[1:-1] & (data[1:-1] != 32) & ((data[2:] > 32) & (data[2:] < 127) | (data[2:] == 0xC3))
         cut[first] = True
         return np.flatnonzero(cut[:-1])
 

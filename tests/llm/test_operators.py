@@ -143,7 +143,7 @@ def test_containers_round_trip(values, block, percentile):
 
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["don't  we'll 's <|endoftext|> x", "a  b c　 d", "tabs\tand\n\nlines \n x", "it's 5km,3x  (ok)...", "日本語 テキスト", " lead", "trail  ", "÷,× é,è", "\x1c \x85 z"]
+TEXTS = ["don't  we'll 's <|endoftext|> x", "a  b c　 d", "tabs\tand\n\nlines \n x", "it's 5km,3x  (ok)...", "日本語 テキスト", " lead", "trail  ", "÷,× é,è", "\x1c \x85 z", "9\n\xa0x", "a\t\u3000b"]
 
 
 @given(st.lists(st.text(alphabet=st.sampled_from(list(" \t\n'’abZ9.,é×ß  日😀<|>")), max_size=40), max_size=5))
