@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE = 4 << 20
-PIECE = 1 << 20
+SLICE = 2 << 20
+PIECE = 1 << 18
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
