@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm, langid, minhash, mixing, ordermin, quality, secrets, tokens, toxicity
+from . import decontaminate, hmm, langid, minhash, mixing, ordermin, quality, secrets, tokens, toxicity, trie
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.write(documents(spark, sf_dir), tokens.TokenFiles(public_tokenizers.path("byte_bpe_50k.json"))))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet"), group=5, most=9)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -63,6 +67,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_language_model": op9_language_model,
     "op10_token_files": op10_token_files,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Brute force: every pair that shares a shingle is counted in full; components by transitive closure.
@@ -91,6 +96,52 @@ FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.x = d.doc_id
 GROUP BY d.doc_id
 """
 
+#: Every prefix of every rebuilt conversation as a row; subtrees by membership of each node's smallest member.  CRC-32 by its table.
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+), own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, count(*) AS n,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(any_value(t)[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 9 AS h
+  FROM own, crc GROUP BY conv_id
+), k AS (
+  SELECT c.conv_id, c.n, c.h, c.conv_id - c.conv_id % 5 AS base, least(c.h, coalesce(b.n, 0)) AS taken
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5
+), turns AS (
+  SELECT k.conv_id, pos, role, text FROM k JOIN own ON own.conv_id = k.base AND pos <= h
+  UNION ALL
+  SELECT k.conv_id, pos - h + taken, role, text FROM k JOIN own ON own.conv_id = k.conv_id AND pos > h
+), m AS (
+  SELECT conv_id, pos AS d, string_agg(sha256(sha256(text) || role), '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix, strlen(text)::BIGINT AS bytes FROM turns
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM k
+), node AS (
+  SELECT d, prefix, min(conv_id) AS id, count(*) AS n, max(bytes) AS bytes FROM m GROUP BY d, prefix
+), way AS (
+  SELECT m.conv_id, m.d, node.id FROM m JOIN node USING (d, prefix)
+), last AS (
+  SELECT conv_id, max(d) AS d FROM way GROUP BY conv_id
+), ended AS (
+  SELECT way.d, way.id, sha256(string_agg(way.conv_id::VARCHAR, ',' ORDER BY way.conv_id)) AS ends FROM way JOIN last USING (conv_id, d) GROUP BY way.d, way.id
+), up AS (
+  SELECT node.d, node.id, node.n, node.bytes, way.id AS parent FROM node LEFT JOIN way ON way.conv_id = node.id AND way.d = node.d - 1
+), kids AS (
+  SELECT d - 1 AS d, parent AS id, count(*) AS kids FROM up WHERE d > 0 GROUP BY d, parent
+), full_node AS (
+  SELECT up.*, coalesce(kids, 0) AS kids FROM up LEFT JOIN kids USING (d, id)
+), below AS (
+  SELECT way.d, way.id, count(*) FILTER (u.kids = 0) AS leaves, sum((u.n - 1) * u.bytes) AS saved
+  FROM full_node u JOIN way ON way.conv_id = u.id AND way.d <= u.d GROUP BY way.d, way.id
+)
+SELECT f.id::BIGINT AS conv_id, f.d::BIGINT AS depth, f.parent::BIGINT AS parent_conv_id, f.n::BIGINT AS n_convs, f.kids::BIGINT AS n_children,
+  b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM full_node f JOIN below b USING (d, id) LEFT JOIN ended e USING (d, id)
+"""
+
 ORACLE_SQL = {
+    "op13_prefix_trie": OP13_SQL,
     "op4_minhash_near_dedup": OP4_SQL,
 }
