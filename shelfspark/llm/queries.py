@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm, langid, minhash, mixing, ordermin, quality, secrets, tokens, toxicity, trie
+from . import decontaminate, divergence, hmm, langid, minhash, mixing, ordermin, quality, secrets, tokens, toxicity, trie
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.write(documents(spark, sf_dir), tokens.TokenFiles(public_tokenizers.path("byte_bpe_50k.json"))))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir), divergence.Audit(least=10, top=10))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet"), group=5, most=9)
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_language_model": op9_language_model,
     "op10_token_files": op10_token_files,
+    "op12_source_divergence": op12_source_divergence,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -141,7 +146,46 @@ SELECT f.id::BIGINT AS conv_id, f.d::BIGINT AS depth, f.parent::BIGINT AS parent
 FROM full_node f JOIN below b USING (d, id) LEFT JOIN ended e USING (d, id)
 """
 
+#: Every kept term for every group and pair of groups, whether counted or not.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), w AS (
+  SELECT row_id, lang, source, unnest(words) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row_id) >= 10
+), lang_p AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM kept
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), counted AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0)::HUGEINT AS n
+  FROM g JOIN kept ON kept.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term) c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), p AS (
+  SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM counted
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(s.value), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+  GROUP BY ALL
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p.p - q) * (p.p - q) // (p.p + q))::BIGINT AS value
+  FROM p JOIN lang_p ON lang_p.lang = p.lang AND lang_p.term = p.term WHERE p.n > 0 AND p.p > q
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 ORACLE_SQL = {
+    "op12_source_divergence": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
     "op4_minhash_near_dedup": OP4_SQL,
 }
