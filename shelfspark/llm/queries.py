@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, hmm, langid, minhash, mixing, ordermin, quality, secrets, tokens, toxicity, trie
+from . import decontaminate, divergence, hmm, langid, minhash, mixing, ordermin, pii, quality, secrets, tokens, toxicity, trie
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(tokens.write(documents(spark, sf_dir), tokens.TokenFiles(public_tokenizers.path("byte_bpe_50k.json"))))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir), divergence.Audit(least=10, top=10))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_language_model": op9_language_model,
     "op10_token_files": op10_token_files,
+    "op11_pii": op11_pii,
     "op12_source_divergence": op12_source_divergence,
     "op13_prefix_trie": op13_prefix_trie,
 }
