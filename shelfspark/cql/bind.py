@@ -25,11 +25,12 @@ RANGES: dict[str, Callable[[Column, Column], Column]] = {"<": Column.__lt__, "<=
 
 @dataclass(frozen=True)
 class Match:
-    """``op`` of true, exists, absent, eq, in, all, any, phrase, plain, wild, or a range comparator."""
+    """``op`` of true, exists, absent, eq, in, all, any, phrase, plain, wild, or a range comparator; ``raw``: a range's term as it was typed."""
 
     fields: tuple[Field, ...]
     op: str
     value: object = None
+    raw: str | None = None
 
     @property
     def filter(self) -> bool:
@@ -99,7 +100,7 @@ def _clause(c: Clause, resource: Resource):
     if relation in RANGES:
         if len(fields) > 1 or one.text:
             raise UnsupportedError(f"Query is not supported yet [operator(s): {relation}, field(s): {[f.path for f in fields]}]")
-        return Match((one,), relation, _literal(one, term))
+        return Match((one,), relation, _literal(one, term), term)
     if "*" in term:
         return _negated(relation, Match(tuple(fields), "wild", term))
     text = aliased or one.text

@@ -45,6 +45,25 @@ ORDERS = Resource(
 )
 
 
+HEADINGS = Resource(
+    "headings",
+    (
+        Field("doc_id", "long", uses=("sort",)),
+        Field("heading", "keyword_icu", uses=("sort",)),
+        Field("first", "keyword_icu", uses=FF),
+        Field("words", "keyword_icu", many=True, uses=(*FF, "sort")),
+        Field("lang", "keyword", uses=FF),
+    ),
+    key="doc_id",
+)
+
+
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their first two words, which have capitals and accents."""
+    words = F.slice(F.split("text", " "), 1, 2)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("heading"), words[0].alias("first"), words.alias("words"), "lang")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

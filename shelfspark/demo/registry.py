@@ -17,6 +17,14 @@ DOC_SQL = rf"""(SELECT *, regexp_split_to_array(f, '[^\p{{L}}\p{{N}}]+') AS base
  list_transform(regexp_split_to_array(f, '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS whole FROM (SELECT *, {FOLD_SQL} AS f FROM documents))"""
 
 
+def fold_sql(column: str) -> str:
+    return FOLD_SQL.replace("text", column)
+
+
+HEADING_SQL = f"""(SELECT doc_id, lang, array_to_string(w, ' ') AS heading, trim({fold_sql("array_to_string(w, ' ')")}) AS k, trim({fold_sql("w[1]")}) AS first,
+ list_distinct(list_transform(w, lambda x: trim({fold_sql("x")}))) AS words FROM (SELECT *, string_split(text, ' ')[1:2] AS w FROM documents))"""
+
+
 def has(token: str) -> str:
     return f"(list_contains(base, '{token}') OR list_contains(whole, '{token}'))"
 

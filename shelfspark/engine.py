@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cql.bind import filter_field, terms_of
+from .cql.bind import And, filter_field, terms_of, to_column
+from .cql.parser import Boolean, parse
 from .errors import NotFoundError, QueryError, ValidationError
 from .model import Resource
 from .operators import browse as browsing
 from .operators import consortium, facets, search
 from .operators.ids import extracted
 from .plans import index
+from .plans.ordered import Ordered
 from .plans.library import RESOURCES
 
 MOST_LANGUAGES = 5
@@ -42,6 +44,7 @@ class Engine:
     configs: browsing.Configs = field(default_factory=browsing.Configs)
     languages: tuple[str, ...] = ("eng",)
     inverted: dict[str, index.Inverted] = field(default_factory=dict)
+    ordered: dict[tuple[str, str | None], Ordered] = field(default_factory=dict)
     features: dict[str, bool] = field(default_factory=lambda: {"search.all.fields": False})
 
     def resource(self, name: str) -> Resource:
@@ -57,14 +60,21 @@ class Engine:
 
     def visible(self, name: str, consolidated: bool = False) -> DataFrame:
         """Documents of a resource that the tenant may see."""
-        df = self.table(name)
-        if consolidated or not {"tenantId", "shared"} <= set(df.columns):
+        return self.table(name) if consolidated else self._seen(name, self.table(name))
+
+    def _seen(self, name: str, df: DataFrame) -> DataFrame:
+        if not {"tenantId", "shared"} <= set(df.columns):
             return df
         condition = consortium.visible(self.tenant, F.col("tenantId"), F.col("shared"), name.startswith("linked-data"))
         return df if condition is None else df.where(condition)
 
     def _allowed(self, cql: str) -> str:
-        if "cql.all" in cql.replace("cql.allRecords", "") and not self.features.get("search.all.fields"):
+        """A query over ``cql.all`` needs the feature; the string may stand in a term."""
+
+        def names(node) -> set[str]:
+            return names(node.left) | names(node.right) if isinstance(node, Boolean) else {node.index}
+
+        if "cql.all" in cql and not self.features.get("search.all.fields") and any(n == "cql.all" or n.startswith("cql.all.") for n in names(parse(cql).root)):
             raise QueryError("Invalid search field provided in the CQL query")
         return cql
 
@@ -99,46 +109,67 @@ class Engine:
         """A page of a browse; call numbers and classifications take an option, whose configuration names the order and the types."""
         if kind not in BROWSES:
             raise NotFoundError(f"Browse {kind} does not exist")
-        name, target, rest, shown = BROWSES[kind]
-        resource = self.resource(name)
-        ctx = browsing.context(cql, resource, target, limit, preceding)
-        df, ctx = self._browsed(name, ctx)
-        keys, anchor = (target, *rest), None
-        if option is not None:
-            algorithm, types = self.configs.get("instance-call-number" if kind == "call-numbers" else "instance-classification", option)
-            type_column = "callNumberTypeId" if kind == "call-numbers" else "typeId"
+        resource, order, algorithm, types = self._browse_order(kind, option)
+        ctx = browsing.context(cql, resource, BROWSES[kind][1], limit, preceding)
+        anchor = None
+        if algorithm is not None:
+            key = self.spark.range(1).select(browsing.shelving_key(F.lit(ctx.anchor), algorithm).alias("k")).first()["k"]
+            anchor = (key or ctx.anchor).lower()
+
+        def left(df: DataFrame) -> DataFrame:
+            df, rest = self._browsed(resource.name, df, ctx.filters)
             if types:
-                df = df.where(F.col(type_column).isin(*types))
-            df = browsing.shelved(df, target, algorithm)
-            keys = ("shelving_order", *keys)
-            anchor = self.spark.range(1).select(browsing.shelving_key(F.lit(ctx.anchor), algorithm).alias("k")).first()["k"]
-            anchor = (anchor or ctx.anchor).lower()
-        if kind == "authorities":
-            df = df.where(F.col("authRefType").isin("Authorized", "Reference"))
-        keep = tuple(k for k in dict.fromkeys(keys) if k in df.columns)
-        return browsing.browse(df, ctx, browsing.Order(keep, shown), resource, anchor, highlight)
-
-    def _browsed(self, name: str, ctx: browsing.Context) -> tuple[DataFrame, browsing.Context]:
-        """What the tenant may browse: documents it sees; of child resources those with an element that it sees and the filters ask for."""
-        df = self.table(name)
+                df = df.where(F.col("callNumberTypeId" if kind == "call-numbers" else "typeId").isin(*types))
+            if kind == "authorities":
+                df = df.where(F.col("authRefType").isin("Authorized", "Reference"))
+            return df.where(to_column(And(tuple(rest)), resource, df.columns)) if rest else df
+
+        stored = self.ordered.get((kind, option))
+        if stored is None:
+            df = self.table(resource.name)
+            df = browsing.shelved(df, BROWSES[kind][1], algorithm) if algorithm is not None else df
+        else:
+            narrowed = ctx.filters or types or kind == "authorities" or self.tenant.central is not None
+            df = stored.near(ctx, browsing.anchor_key_of(ctx, order, resource) if anchor is None else anchor, resource, left if narrowed else None)
+        df = left(df)
+        keep = tuple(k for k in order.keys if k in df.columns)
+        return browsing.browse(df, replace(ctx, filters=()), browsing.Order(keep, order.name), resource, anchor, highlight)
+
+    def _browse_order(self, kind: str, option: str | None) -> tuple[Resource, browsing.Order, str | None, tuple[str, ...]]:
+        """(resource, order, algorithm of the shelving key, type ids) of a browse."""
+        name, target, rest, shown = BROWSES[kind]
+        if option is None:
+            return self.resource(name), browsing.Order((target, *rest), shown), None, ()
+        algorithm, types = self.configs.get("instance-call-number" if kind == "call-numbers" else "instance-classification", option)
+        return self.resource(name), browsing.Order(("shelving_order", target, *rest), shown), algorithm, tuple(types)
+
+    def store_ordered(self, kind: str, path: str, option: str | None = None, parts: int | None = None) -> None:
+        """Write what a browse goes through in its order, shelving keys included; pages read the files around their anchors from there on."""
+        resource, order, algorithm, _ = self._browse_order(kind, option)
+        df = self.table(resource.name)
+        df = browsing.shelved(df, BROWSES[kind][1], algorithm) if algorithm is not None else df
+        order = browsing.Order(tuple(k for k in order.keys if k in df.columns), order.name)
+        self.ordered[kind, option] = Ordered.write(df, resource, path, order, parts)
+
+    def _browsed(self, name: str, df: DataFrame, filters: tuple) -> tuple[DataFrame, list]:
+        """(what the tenant may browse, filters still to apply): documents it sees; of child resources those with an element that it sees and the filters ask for."""
         if "instances" not in df.columns:
-            return self.visible(name), ctx
+            return self._seen(name, df), list(filters)
         wanted, rest = {}, []
-        for f in ctx.filters:
+        for f in filters:
             path = filter_field(f)
             values = terms_of(f) if path in ELEMENT_FILTERS else []
             wanted.update({ELEMENT_FILTERS[path]: values}) if values else rest.append(f)
         shared, tenants, places = (wanted.get(k) for k in ("shared", "tenants", "location"))
         if self.tenant.central is None and not wanted:
-            return df, ctx
+            return df, list(filters)
         fields = df.schema["instances"].dataType.elementType.fieldNames()
         names = tuple(a if a in fields else b for a, b in (("tenant_id", "tenantId"), ("location_id", "locationId")))
         one = lambda v: v[0] if v and len(set(v)) == 1 else None
         elements = consortium.visible_elements(self.tenant, F.col("instances"), one(shared), tenants, one(places), names)
         if places and len(set(places)) > 1:
             elements = F.filter(elements, lambda x: x[names[1]].isin(*places))
-        df = df.withColumn("instances", elements).where(F.size("instances") > 0)
-        return df, browsing.Context(ctx.anchor, ctx.backward, ctx.forward, ctx.included, tuple(rest))
+        return df.withColumn("instances", elements).where(F.size("instances") > 0), rest
 
     def store(self, name: str, documents: DataFrame, path: str, parts: int | None = None) -> None:
         """Write a resource's prepared documents and read searches from there on."""
@@ -156,6 +187,8 @@ class Engine:
         if self.tables.pop(name, None) is None:
             raise NotFoundError(f"Index {name} does not exist")
         self.inverted.pop(name, None)
+        for key in [k for k in self.ordered if BROWSES[k[0]][0] == name]:
+            del self.ordered[key]
 
     def configure_languages(self, languages: list[str]) -> None:
         if len(languages) > MOST_LANGUAGES:

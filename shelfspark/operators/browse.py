@@ -1,7 +1,8 @@
 """Browsing: a page of an ordered list around, before or behind an anchor.
 
-The order is that of one or more key columns, nulls last.  A page is two limited scans on either side of the anchor;
-the first key's bound is repeated as a plain comparison, which Parquet statistics can use.
+The order is that of one or more key columns, nulls last; the first is taken as its field normalises it, and so is the anchor.
+A page is two limited scans on either side of the anchor.  Over a table stored in order (``plans.ordered``) they read the files
+around it only.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cql.bind import RANGES, And, Match, Or, bind, filter_field, to_column
+from .. import analysis
+from ..cql.bind import RANGES, And, Match, Or, Reader, bind, filter_field, to_column
 from ..errors import NotFoundError, QueryError, ValidationError
 from ..functions.shelving import shelving_key
 from ..model import Resource
@@ -21,7 +23,7 @@ INVALID = "Invalid CQL query for browsing."
 
 @dataclass(frozen=True)
 class Context:
-    """``backward``/``forward``: how many rows on each side; ``included``: whether rows equal to the anchor are wanted."""
+    """``anchor``: as it was typed; ``backward``/``forward``: how many rows on each side; ``included``: whether rows equal to it are wanted."""
 
     anchor: str
     backward: int
@@ -47,7 +49,7 @@ def context(cql: str, resource: Resource, target: str, limit: int = 100, precedi
     if isinstance(ranges[0], Match):
         m = ranges[0]
         down = m.op in ("<", "<=")
-        return Context(str(m.value), limit if down else 0, 0 if down else limit, m.op.endswith("="), filters)
+        return Context(_anchor(m), limit if down else 0, 0 if down else limit, m.op.endswith("="), filters)
     two = ranges[0].parts
     if len(two) != 2 or {p.op[0] for p in two} != {"<", ">"}:
         raise QueryError(INVALID)
@@ -56,7 +58,11 @@ def context(cql: str, resource: Resource, target: str, limit: int = 100, precedi
     before = limit // 2 if preceding is None else preceding
     if before >= limit:
         raise ValidationError("Preceding records count must be less than request limit")
-    return Context(str(two[0].value), before, limit - before, any(p.op.endswith("=") for p in two), filters)
+    return Context(_anchor(two[0]), before, limit - before, any(p.op.endswith("=") for p in two), filters)
+
+
+def _anchor(m: Match) -> str:
+    return str(m.value) if m.raw is None else m.raw
 
 
 def _is_range(p, target: str) -> bool:
@@ -70,21 +76,32 @@ def key_struct(keys: list[Column]) -> Column:
 
 @dataclass(frozen=True)
 class Order:
-    """``keys``: columns in order; the first is compared with the anchor.  ``name``: what a row is called in cursors."""
+    """``keys``: columns in order; the first is compared with the anchor, both normalised as its field is.  ``name``: what a row is called in cursors."""
 
     keys: tuple[str, ...]
     name: str
 
 
+def first_key(order: Order, resource: Resource, columns: list[str]) -> Column:
+    f = resource.get(order.keys[0])
+    return F.col(order.keys[0]) if f is None else Reader(columns).norm(f)
+
+
+def anchor_key_of(ctx: Context, order: Order, resource: Resource) -> str:
+    f = resource.get(order.keys[0])
+    return ctx.anchor if f is None else analysis.normalised_text(f.type, ctx.anchor)
+
+
 def browse(df: DataFrame, ctx: Context, order: Order, resource: Resource, anchor_key: str | None = None, highlight: bool = True) -> DataFrame:
     """The page, with ``is_anchor``, ``position`` (0 from the first row on), ``prev`` and ``next`` cursors.
 
     An anchor that no row has, or that the query leaves out, is shown as a placeholder row if ``highlight`` holds and
     the page has both sides.  An empty anchor gives an empty page."""
-    key = ctx.anchor if anchor_key is None else anchor_key
-    first, keys = F.col(order.keys[0]), [F.col(k) for k in order.keys]
+    key, columns = anchor_key_of(ctx, order, resource) if anchor_key is None else anchor_key, [c for c in df.columns if not c.startswith(("norm__", "tok__", "base__"))]
     if ctx.filters:
         df = df.where(to_column(And(ctx.filters), resource, df.columns))
+    df = df.withColumn("__first", first_key(order, resource, df.columns))
+    first, keys = F.col("__first"), [F.col("__first"), *[F.col(k) for k in order.keys[1:]]]
     up = [k.asc_nulls_last() for k in keys]
     down = [k.desc_nulls_first() for k in keys]
     none = F.lit(None).cast("int")
@@ -102,7 +119,7 @@ def browse(df: DataFrame, ctx: Context, order: Order, resource: Resource, anchor
     if ctx.around and highlight and key != "":
         shape = df.limit(0).withColumn("__side", none).withColumn("is_anchor", F.lit(True))
         hole = df.sparkSession.range(1).select(
-            *[(F.lit(key) if c == order.keys[0] else F.lit(ctx.anchor) if c == order.name else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes],
+            *[(F.lit(key) if c == "__first" else F.lit(ctx.anchor) if c == order.name else F.lit(key) if c == order.keys[0] else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes],
             F.lit(0).alias("__side"),
             F.lit(True).alias("is_anchor"),
         )
@@ -140,7 +157,7 @@ def browse(df: DataFrame, ctx: Context, order: Order, resource: Resource, anchor
     else:
         prev = F.when(F.col("__low"), prev)
     out = rows.select(
-        *df.columns,
+        *columns,
         "is_anchor",
         (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__at")) - 1).cast("long").alias("position"),
         prev.alias("prev"),

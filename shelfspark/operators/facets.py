@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cql.bind import bind, filter_field, split_filters, terms_of, to_column
+from .. import analysis
+from ..cql.bind import Reader, bind, filter_field, split_filters, terms_of, to_column
 from ..errors import QueryError
 from ..model import Resource
 
@@ -28,14 +29,14 @@ def parse_spec(spec: str) -> tuple[str, int]:
 
 
 def facets(df: DataFrame, cql: str, specs: list[str], resource: Resource) -> DataFrame:
-    """facet, id, total_records, selected: values by count then value, selected ones first.
+    """facet, id, total_records, selected: normalised values by count then value, selected ones first.
 
     One pass over the table: each document gives one row for each facet and value that its filters leave it, counts
     are combined before the shuffle.  ``size`` limits a facet's values; if no more than the selected fit, only they stay."""
     wanted = [(resource.facet(name), size) for name, size in map(parse_spec, specs)]
     node, _ = bind(cql, resource)
     query, filters = split_filters(node)
-    columns = df.columns
+    columns, reader = df.columns, Reader(df.columns)
     by_field: dict[str, list] = {}
     for f in filters:
         by_field.setdefault(filter_field(f), []).append(f)
@@ -43,11 +44,11 @@ def facets(df: DataFrame, cql: str, specs: list[str], resource: Resource) -> Dat
     rows, sizes, selected = [], [], []
     for f, size in wanted:
         passes = reduce(Column.__and__, [c for path, c in keep.items() if path != f.path], F.lit(True))
-        values = F.array_distinct(F.array_compact(F.col(f.path))) if f.many else F.array_compact(F.array(F.col(f.path)))
+        values = F.array_distinct(F.array_compact(reader.norm(f))) if f.many else F.array_compact(F.array(reader.norm(f)))
         values = F.transform(values, lambda x: x.cast("string"))
         rows.append(F.struct(F.lit(f.path).alias("facet"), F.when(passes, values).otherwise(F.array().cast("array<string>")).alias("ids")))
         sizes.append((f.path, size))
-        selected.append((f.path, [str(v) if not isinstance(v, bool) else str(v).lower() for p in by_field.get(f.path, []) for v in terms_of(p)]))
+        selected.append((f.path, [analysis.normalised_text(f.type, v) if isinstance(v, str) else str(v).lower() for p in by_field.get(f.path, []) for v in terms_of(p)]))
     # a document that fails two filters counts nowhere; drop it before exploding
     any_ = reduce(Column.__or__, [reduce(Column.__and__, [c for path, c in keep.items() if path != f.path], F.lit(True)) for f, _ in wanted])
     each = df.where(to_column(query, resource, columns) & any_).select(F.explode(F.array(*rows)).alias("r")).select("r.facet", F.explode("r.ids").alias("id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cql.bind import And, bind, to_column
+from ..cql.bind import And, Reader, bind, to_column
 from ..cql.parser import Key
 from ..errors import QueryError, ValidationError
 from ..model import Resource
@@ -16,16 +16,17 @@ MOST_PAGE = 500
 DEFAULT_PAGE = 100
 
 
-def order(keys: tuple[Key, ...], resource: Resource) -> list[Column]:
-    """Sort columns: a collection takes its least value ascending, its greatest descending; missing values come last; then the key."""
-    out = []
+def order(keys: tuple[Key, ...], resource: Resource, columns: list[str]) -> list[Column]:
+    """Sort columns, normalised as their fields are: a collection takes its least value ascending, its greatest descending; missing
+    values come last; then the key."""
+    out, reader = [], Reader(columns)
     for key in keys:
         f = next((x for x in (resource.get(key.index), resource.get(f"sort_{key.index}")) if x is not None and "sort" in x.uses), None)
         if f is None:
             raise QueryError("Sort field not found or cannot be used.")
         for path in (f.path, *f.sort):
             g = resource.get(path) or f
-            c = F.col(path)
+            c = reader.norm(resource.get(path)) if resource.get(path) is not None else F.col(path)
             if g.many:
                 c = F.array_max(c) if key.descending else F.array_min(c)
             out.append(c.desc_nulls_last() if key.descending else c.asc_nulls_last())
@@ -72,7 +73,7 @@ def search(
     if affiliation is not None:
         found = found.where(affiliation)
     names = shown(resource, include, expand_all)
-    by = order(keys, resource)
+    by = order(keys, resource, df.columns)
     if inverted is not None and not keys and (scored := index.scoring(node)):
         found, by = index.ranked(found, scored, inverted, resource.key), [F.desc("score"), *by]
     paged = page(found.orderBy(*by), limit, offset)
