@@ -7,6 +7,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -17,7 +18,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE = 2 << 20
-PIECE = 1 << 18
+#: Spans hashed together, and the most bytes of one that is hashed in blocks.
+PIECE, LONG = 1 << 16, 64
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -78,16 +80,7 @@ def _tables() -> dict:
     space[[9, 10, 11, 12, 13, 32]] = True
     lower = np.arange(256)
     lower[65:91] += 32
-    code = seeded(256, 1)
-    r = int(seeded(1, 2)[0])
-    return {
-        "space": space,
-        "raw": code,
-        "low": code[lower],
-        "pow": np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(PIECE * 2, r, U64)])),
-        "inv": np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(PIECE * 2, pow(r, -1, 1 << 64), U64)])),
-        "r": r,
-    }
+    return {"space": space, "raw": np.arange(256).astype(np.uint8), "low": lower.astype(np.uint8), "tail": np.array([(1 << 8 * n) - 1 for n in range(9)], U64)}
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -138,35 +131,28 @@ class Words:
         return np.repeat(np.arange(self.rows), self.counts)
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each span (ascending, not overlapping), with its length mixed in."""
-    t, out, at = tables(), np.empty(len(start), U64), 0
-    while at < len(start):
-        base = int(start[at])
-        to = max(at + 1, int(np.searchsorted(end, base + PIECE, "right")))
-        if int(end[to - 1]) - base > 2 * PIECE:
-            out[at] = _hash_long(data[base : int(end[at])], code)
-            at += 1
-            continue
-        s, e = start[at:to] - base, end[at:to] - base
-        n = int(e[-1])
-        total = np.zeros(n + 1, U64)
-        np.cumsum(code[data[base : base + n]] * t["pow"][:n], out=total[1:])
-        out[at:to] = mix((total[e] - total[s]) * t["inv"][s] + (e - s).astype(U64) * U64(_GOLD))
-        at = to
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Hash of each span, its bytes replaced as ``letters`` says: eight bytes at a time are mixed into it, so spans that differ in a
+    regular way do not meet; spans of more than ``LONG`` bytes are digested as a whole."""
+    t, size = tables(), end - start
+    out = mix(size.astype(U64) * U64(_GOLD) + U64(1))
+    for i in np.flatnonzero(size > LONG):
+        whole = letters[data[start[i] : end[i]]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little")
+    short = np.flatnonzero(size <= LONG)
+    for at in range(0, len(short), PIECE):
+        row = short[at : at + PIECE]
+        for block in range(0, LONG, 8):
+            row = row[size[row] > block]
+            if not len(row):
+                break
+            first = start[row] + block
+            inside = np.minimum(first[:, None] + np.arange(8), len(data) - 1)  # what lies behind a span is masked
+            eight = letters[data[inside]].view("<u8").ravel() & t["tail"][np.minimum(size[row] - block, 8)]
+            out[row] = mix((out[row] ^ eight) * U64(_GOLD) + U64(block + 1))
     return out
 
 
-def _hash_long(data: np.ndarray, code: np.ndarray) -> np.uint64:
-    """The same hash of one span of any length."""
-    t, total, scale = tables(), 0, 1
-    for i in range(0, len(data), PIECE):
-        part = data[i : i + PIECE]
-        total += scale * int(np.sum(code[part] * t["pow"][: len(part)], dtype=U64))
-        scale = scale * pow(t["r"], len(part), 1 << 64) & _MASK
-    return U64(mix_int(total + len(data) * _GOLD))
-
-
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bound): hashes of all runs of ``k`` words, row by row; a row of fewer words has its whole sequence as one."""
     h, bound = words.hash, words.bound

@@ -8,8 +8,8 @@ of the attempt that Spark commits counts, so lost executors and repeated tasks l
 and ``read`` read the files back.  Files are opened by Arrow's file systems from the URI in ``spark.checkpoint.dir``.
 
 Encoding is exact and fast because a byte-level pre-tokenizer never joins text across a blank that follows a
-printable character: texts are cut there, equal pieces are encoded once by the library, and a worker
-remembers pieces it has met (a bounded number; forgetting costs time only).
+printable character: texts are cut there, pieces of equal bytes are encoded once by the library, and a worker
+remembers pieces it has met, at most ``remember`` and those of one slice (forgetting costs time only).
 
 Null or empty texts have the end id alone.  A null ``doc_id`` comes first.  Rows that repeat a ``doc_id`` are
 written one after another, by a hash of the text, by which they are dealt too.  Extra columns are ignored.
@@ -47,7 +47,7 @@ class TokenFiles:
     block: int = 256
     percentile: float = 95.0
     segment: int = 1 << 20
-    remember: int = 3_000_000
+    remember: int = 400_000
 
 
 class Encoder:
@@ -67,9 +67,9 @@ class Encoder:
         self.special = [s.encode() for s in special]
 
     def _forget(self):
-        # pieces met: their hashes in sorted order, and where each one's ids are
-        self.known, self.first, self.many = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        # pieces met, by their bytes, and where each one's ids are
+        self.known: dict[bytes, int] = {}
+        self.first, self.many, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @classmethod
     def of(cls, path: str, remember: int) -> Encoder:
@@ -103,46 +103,40 @@ class Encoder:
         """(ids, bound): ids of row i are ``ids[bound[i]:bound[i + 1]]``."""
         data, offsets = kernels.utf8(column)
         start = self.cuts(data, offsets)
-        end = np.append(start[1:], len(data))[: len(start)]
         if self.special and any(s in data.tobytes() for s in self.special):
             # a special token's own string is one id for the library, so such texts are not cut
             whole = np.array([any(s in data[a:b].tobytes() for s in self.special) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
             row = np.searchsorted(offsets, start, "right") - 1
             keep = ~whole[row] | (start == offsets[row])
             start = start[keep]
-            end = np.append(start[1:], len(data))[: len(start)]
-        h = kernels.hash_spans(data, start, end, kernels.tables()["raw"])
-        one, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        self._learn(one, data, start[index], end[index])
-        at = np.searchsorted(self.known, one)[inverse]
-        first, many = self.first[at], self.many[at].astype(np.int64)
+        # pieces lie one behind the other and cover all bytes
+        bound = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, bound, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        at = self._learn(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+        first, many = self.first[at], self.many[at]
         ends = np.cumsum(many)
         ids = self.ids[np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
 
-    def _learn(self, one: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Places of the pieces among those known."""
         if len(self.known) > self.remember:
             self._forget()
-        at = np.searchsorted(self.known, one)
-        at[at == len(self.known)] = 0
-        new = np.flatnonzero(self.known[at] != one) if len(self.known) else np.arange(len(one))
-        if not len(new):
-            return
-        raw, ids, many = data.tobytes(), [], np.empty(len(new), np.int32)
+        known, ids, many = self.known, [], []
         model, encode = self.library.model.tokenize, self.library.encode
-        for j, (a, b) in enumerate(zip(start[new].tolist(), end[new].tolist(), strict=True)):
-            piece = raw[a:b]
+        for piece in pieces:
+            if piece in known:
+                continue
             if ONE_WORD.fullmatch(piece):  # one pre-token: the model's own call, in its byte alphabet
                 got = [x.id for x in model(piece.decode("latin-1").translate(self.letters))]
             else:
                 got = encode(piece.decode(), add_special_tokens=False).ids
-            many[j] = len(got)
+            known[piece] = len(self.many) + len(many)
+            many.append(len(got))
             ids += got
-        first = len(self.ids) + np.concatenate([[0], np.cumsum(many[:-1], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
-        known = np.concatenate([self.known, one[new]])
-        order = np.argsort(known, kind="stable")
-        self.known, self.first, self.many = known[order], np.concatenate([self.first, first])[order], np.concatenate([self.many, many])[order]
+        first = len(self.ids) + np.concatenate([[0], np.cumsum(many, dtype=np.int64)])[:-1]
+        self.ids, self.first, self.many = np.concatenate([self.ids, np.array(ids, np.uint32)]), np.concatenate([self.first, first]), np.concatenate([self.many, np.array(many, np.int64)])
+        return np.array([known[piece] for piece in pieces], np.int64)
 
 
 def file_bytes(ids: np.ndarray, sizes: np.ndarray, doc_ids: pa.Array, how: TokenFiles) -> bytes:
