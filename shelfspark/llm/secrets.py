@@ -26,11 +26,14 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "entropy")
 TOKEN = "A-Za-z0-9+/_="
+#: Matches of one list while positions are summed up.
+RUN = 500
 
 
 @dataclass(frozen=True)
 class Scan:
-    """``window`` characters; entropies in bits a character; ``allow``: patterns of harmless strings, matched as a whole."""
+    """``window`` characters; entropies in bits a character; ``allow``: patterns of harmless strings, matched as a whole; ``odd``: a
+    candidate in which this is not found is harmless too.  No pattern repeats a group, on which Java's matcher would recurse."""
 
     window: int = 20
     hex_bits: float = 3.0
@@ -38,9 +41,10 @@ class Scan:
     allow: tuple[str, ...] = (
         r"[A-Za-z+/_=]+",  # words and paths without a digit
         r"[0-9+/_=]+",  # numbers, dates and rules
-        r"(?:[A-Za-z]+[0-9]{0,4}[/_=+]+)*[A-Za-z]*[0-9]{0,4}",  # numbered words
         r"(?i:.*(?:example|sample|dummy|placeholder|abcdefghij|0123456789|xxxx).*)",
     )
+    # all but numbered words between signs: a start without a letter, a long number, a letter behind a digit, a number without a word inside
+    odd: str = r"^[0-9+/_=]|[0-9]{5}|[0-9][A-Za-z]|[+/_=][0-9]{1,4}[^0-9]"
 
 
 def located(text: Column, pattern: str, kind: int, value: int | None = None, least: int = 0) -> Column:
@@ -60,7 +64,16 @@ def located(text: Column, pattern: str, kind: int, value: int | None = None, lea
         one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["hit"]).alias("end")))
         return F.struct((start + x["hit"]).alias("at"), F.when(enough, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(F.arrays_zip(*parts), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def run(acc, part):
+        """A run of matches has a list of its own, so no list is extended more than RUN times, however many there are."""
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.element_at(F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out"))), 1)
+
+    found = F.arrays_zip(*parts)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda i: F.slice(found, i * RUN + 1, RUN))
+    nothing = F.array().cast("array<array<struct<start:int,kind:int,end:int>>>")
+    whole_list = F.flatten(F.aggregate(runs, F.struct(F.lit(0).alias("at"), nothing.alias("out")), run, lambda acc: acc["out"]))
+    return F.when(F.size(hit) > 0, whole_list).otherwise(none)
 
 
 def high_entropy(candidate: Column, how: Scan) -> Column:
@@ -107,7 +120,7 @@ def entropies(text: Column, base: Column, how: Scan) -> Column:
     open_ = F.flatten(F.transform(found, rest))
     named = F.transform(open_, lambda s: F.struct(s["start"].alias("start"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("c")))
     allowed = "^(?:" + "|".join(how.allow) + ")$" if how.allow else "^$"
-    named = F.filter(named, lambda s: ~s["c"].rlike(allowed))
+    named = F.filter(named, lambda s: s["c"].rlike(how.odd) & ~s["c"].rlike(allowed))
     judged = F.transform(named, lambda s: F.struct(s["start"].alias("start"), high_entropy(s["c"], how).alias("w")))
     judged = F.filter(judged, lambda s: s["w"]["first"].isNotNull())
     return F.transform(judged, lambda s: F.struct((s["start"] + s["w"]["first"]).alias("start"), F.lit(3).alias("kind"), (s["start"] + s["w"]["last"]).alias("end")))
