@@ -51,7 +51,24 @@ def test_long_words_hash_alike_wherever_they_stand():
     long = "x" * (3 * kernels.PIECE)
     a, b = kernels.Words(pa.array([long])), kernels.Words(pa.array(["some words before " + long.upper()]))
     assert a.hash[0] == b.hash[-1]
-    assert kernels._hash_long(np.frombuffer(b"short", np.uint8), kernels.tables()["low"]) == kernels.Words(pa.array(["short"])).hash[0]
+    for n in (1, 7, 8, 9, 63, 64, 65, 200):
+        a, b = kernels.Words(pa.array(["q" * n])), kernels.Words(pa.array(["é before", "Q" * n + " and behind"]))
+        assert a.hash[0] == b.hash[2]
+
+
+def morse(n, a="a", b="b"):
+    """A word that polynomials modulo a power of two cannot tell from the one with its letters exchanged."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [32, 64, 1024, 4096])
+def test_regular_words_are_told_apart(n):
+    w = kernels.Words(pa.array([morse(n), morse(n, "b", "a")]))
+    assert w.hash[0] != w.hash[1]
+    texts = [morse(n), morse(n, "b", "a")]
+    encoder = tokens.Encoder.of(public_tokenizers.path("byte_bpe_50k.json"), 1000)
+    ids, bound = encoder.encode(pa.array(texts))
+    assert [ids[bound[i] : bound[i + 1]].tolist() for i in range(2)] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_words_across_pieces():
@@ -502,6 +519,9 @@ def test_texts_without_a_letter_are_und(spark):
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
+NUMBERED_WORDS = r"(?:[A-Za-z]+[0-9]{0,4}[/_=+]+)*[A-Za-z]*[0-9]{0,4}"
+
+
 def base_spans(t):
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 12]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
@@ -529,7 +549,7 @@ def test_secrets_equal_brute_force(spark, odd, none):
         b = base_spans(t)
         more = []
         for m in re.finditer(f"(?<![{secrets.TOKEN}])[{secrets.TOKEN}]{{20,}}", t):
-            if any(s < m.end() and m.start() < e for s, _, e in b) or re.fullmatch("|".join(how.allow), m[0]):
+            if any(s < m.end() and m.start() < e for s, _, e in b) or re.fullmatch("|".join((*how.allow, NUMBERED_WORDS)), m[0]):
                 continue
             s = entropy_span(m[0], how.window, how.hex_bits if re.fullmatch("[0-9a-fA-F]+", m[0]) else how.base64_bits)
             if s:
@@ -550,6 +570,21 @@ def test_keys_beside_base_spans_are_found(spark):
     assert all(any(x.startswith("hex:") for x in s) for s in found.values())
 
 
+def test_long_texts_are_scanned_to_their_end(spark):
+    """A million repetitions of what an allow-list pattern accepts, of a candidate, and many matches."""
+    texts = ["ab1/" * 1_000_000 + "Q9", "a1/" * 300_000 + " password=abcdefgh1234", "deadbeefdeadbeef " * 20_000, "AKIA" * 5 + "/" * 200_000]
+    found = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found[0].spans == "" and found[1].spans == f"assign:900001:{len(texts[1])}"
+    assert found[2].n_hex == 20_000 and found[2].spans.split(",")[-1] == f"hex:{17 * 19_999}:{17 * 20_000 - 1}"
+    assert found[3].spans == "access:0:20"
+
+
+@given(st.text("aB3/_+=", min_size=5, max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_odd_strings_are_all_but_numbered_words(c):
+    assert bool(re.search(secrets.Scan().odd, c)) != bool(re.fullmatch(NUMBERED_WORDS, c))
+
+
 # 8: fingerprints
 
 

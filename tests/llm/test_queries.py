@@ -14,6 +14,7 @@ COLUMNS = {
     "op8_order_minhash": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op9_language_model": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op10_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"},
+    "op11_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
 }
 
 
