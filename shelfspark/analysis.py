@@ -2,7 +2,8 @@
 
 ``fold`` removes accents from Latin letters and spells ligatures out; the table follows from Unicode's
 compatibility decompositions.  ``tokens`` is the analyser of full-text fields: folded, lower-cased runs of letters and
-digits, and for a word that signs split into parts also all its parts joined.
+digits, and for a word that signs split into parts also all its parts joined; a sign & by itself is read as "and".  A language's own
+analyser stems those tokens (``functions.stemming``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .functions import stemming
+
 #: Letters that fold to two, as fixed values.
 SPELLED = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ﬁ": "fi", "ﬂ": "fl"}
 #: Letters with a stroke, which have no decomposition, as fixed values.
@@ -50,24 +53,51 @@ def fold_text(s: str) -> str:
     return s
 
 
+#: What the analyser of full-text fields reads in place of what, as fixed values.
+READ_AS = (" & ", " and ")
+
+
+def read(c: Column) -> Column:
+    """Folded text as the analyser reads it."""
+    return fold(F.replace(c, *map(F.lit, READ_AS)))
+
+
+def read_text(s: str) -> str:
+    return fold_text(s.replace(*READ_AS))
+
+
 def _parts(word: Column) -> Column:
     return F.filter(F.split(word, SPLIT), lambda x: x != "")
 
 
 def base_tokens(c: Column) -> Column:
     """Tokens in text order, without joined parts; phrases are matched on these."""
-    return _parts(fold(c))
+    return _parts(read(c))
 
 
 def tokens(c: Column) -> Column:
     """All tokens a full-text search can meet."""
-    words = F.transform(F.filter(F.split(fold(c), r"\s+"), lambda w: w != ""), _parts)
+    words = F.transform(F.filter(F.split(read(c), r"\s+"), lambda w: w != ""), _parts)
     return F.flatten(F.transform(words, lambda p: F.when(F.size(p) > 1, F.array_append(p, F.array_join(p, ""))).otherwise(p)))
 
 
 def text_tokens(s: str) -> list[str]:
     """Tokens of a query term."""
-    return [t for t in re.split(r"[^\w]+|_+", fold_text(s)) if t]
+    return [t for t in re.split(r"[^\w]+|_+", read_text(s)) if t]
+
+
+def language_tokens(language: str, c: Column, every: bool = True) -> Column:
+    """Tokens of a text in a language, with the joined ones if ``every``."""
+    if language in stemming.PAIRED:
+        return stemming.pairs(c)
+    return stemming.STEMMERS[language].column(tokens(c) if every else base_tokens(c))
+
+
+def language_words(language: str, s: str) -> list[str]:
+    """The same of a query term."""
+    if language in stemming.PAIRED:
+        return stemming.text_pairs(s)
+    return [stemming.STEMMERS[language].word(w) for w in text_tokens(s)]
 
 
 def _literal(word: str) -> str:

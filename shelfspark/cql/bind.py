@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import analysis
 from ..errors import QueryError, UnsupportedError
+from ..functions import stemming
 from ..model import Field, Resource
 from .parser import Boolean, Clause, Query, parse
 
@@ -143,8 +144,10 @@ def _literal(f: Field, term: str):
 class Reader:
     """Columns of a table's fields, taken from normalised copies where the table has them (see ``plans.index``)."""
 
-    def __init__(self, columns: list[str], element: Column | None = None, nested: str | None = None):
+    def __init__(self, columns: list[str], element: Column | None = None, nested: str | None = None, resource: Resource | None = None):
         self.columns, self.element, self.nested = set(columns), element, nested
+        self.languages = tuple(x for x in resource.languages if x in stemming.LANGUAGES) if resource is not None and element is None else ()
+        self.language_path = resource.language_path if resource is not None else None
 
     def stored(self, prefix: str, path: str) -> Column | None:
         name = f"{prefix}__{path.replace('.', '__')}"
@@ -186,7 +189,7 @@ class Reader:
         """Whether a value of a text field that has no stored tokens finds the pattern once folded; nothing is split for it."""
         if not f.text or self.stored("tok", f.path) is not None:
             return None
-        test = lambda c: F.rlike(analysis.fold(c), F.lit(pattern))
+        test = lambda c: F.rlike(analysis.read(c), F.lit(pattern))
         return F.exists(self.raw(f), test) if self.many(f) else test(self.raw(f))
 
     def has(self, f: Field, word: str) -> Column:
@@ -196,6 +199,16 @@ class Reader:
     def phrases(self, f: Field) -> Column:
         return self.each(f, analysis.base_tokens, "base")
 
+    def spoken(self, f: Field, language: str, every: bool = True) -> Column:
+        """Array of token arrays, one for each value, of a record in the language; null for another record."""
+        return F.when(F.array_contains(self.language_path, language), self.each(f, lambda x: analysis.language_tokens(language, x, every), f"{'tok' if every else 'base'}_{language}"))
+
+    def in_language(self, m: Match, test: Callable[[str, list[str], list[Field]], Column]) -> list[Column]:
+        """``test`` of (language, the term's words in it, fields) for each language that fields are analysed in."""
+        fields = [f for f in m.fields if f.type == "multilang"]
+        found = [(x, list(dict.fromkeys(analysis.language_words(x, m.value)))) for x in self.languages] if fields else []
+        return [nz(test(language, words, fields)) for language, words in found if words]
+
 
 def nz(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
@@ -274,11 +287,16 @@ def leaf(m: Match, reader: Reader) -> Column:
                 return found
             return F.exists(reader.phrases(x), lambda t: F.contains(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), F.lit(wanted)))
 
-        return _any([nz(phrase(x)) for x in m.fields])
+        def spoken(language: str, _: list[str], fields: list[Field]) -> Column:
+            wanted = f" {' '.join(analysis.language_words(language, m.value))} "
+            return _any([nz(F.exists(reader.spoken(x, language, False), lambda t: F.contains(F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" ")), F.lit(wanted)))) for x in fields])
+
+        return _any([*[nz(phrase(x)) for x in m.fields], *reader.in_language(m, spoken)])
     words = list(dict.fromkeys(analysis.text_tokens(m.value)))
     if m.op == "any":
         parts = [_overlap(reader, x, words) for x in m.fields if x.text and words]
         parts += [nz(_value(reader, x, reader.norm(x), _equals(x, m.value))) for x in m.fields if not x.text]
+        parts += reader.in_language(m, lambda language, own, fields: _any([nz(F.arrays_overlap(F.flatten(reader.spoken(x, language)), F.array(*map(F.lit, own)))) for x in fields]))
         return _any(parts)
     # all: every token in at least one of the fields that share an analyser; a keyword field has the whole term or not
     texts = [x for x in m.fields if x.text]
@@ -288,12 +306,13 @@ def leaf(m: Match, reader: Reader) -> Column:
     else:
         parts = [_all([_any([reader.has(x, w) for x in texts]) for w in words])] if texts and words else []
     parts += [nz(_value(reader, x, reader.norm(x), _equals(x, m.value))) for x in m.fields if not x.text]
+    parts += reader.in_language(m, lambda language, own, fields: _all([_any([nz(F.array_contains(F.flatten(reader.spoken(x, language)), w)) for x in fields]) for w in own]))
     return _any(parts)
 
 
 def to_column(node, resource: Resource, columns: list[str], reader: Reader | None = None) -> Column:
     """The condition as one column without nulls."""
-    reader = reader or Reader(columns)
+    reader = reader or Reader(columns, resource=resource)
     if isinstance(node, Match):
         return nz(leaf(node, reader))
     if isinstance(node, Not):

@@ -45,6 +45,22 @@ ORDERS = Resource(
 )
 
 
+SPOKEN = Resource(
+    "spoken",
+    (Field("doc_id", "long", uses=("sort",)), Field("text", "multilang"), Field("languages", "keyword", True)),
+    key="doc_id",
+    languages=("eng", "ger", "fre", "spa"),
+)
+#: Codes of languages as the tables have them, and as records do.
+CODES = {"en": "eng", "de": "ger", "fr": "fre", "es": "spa"}
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their language as a record names it."""
+    code = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])[F.col("lang")]
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.array_compact(F.array(code)).alias("languages"))
+
+
 HEADINGS = Resource(
     "headings",
     (

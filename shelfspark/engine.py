@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .cql.bind import And, filter_field, terms_of, to_column
 from .cql.parser import Boolean, parse
 from .errors import NotFoundError, QueryError, ValidationError
+from .functions import stemming
 from .model import Resource
 from .operators import browse as browsing
 from .operators import consortium, facets, search
@@ -50,7 +51,12 @@ class Engine:
     def resource(self, name: str) -> Resource:
         if name not in self.resources or name not in self.tables:
             raise NotFoundError(f"Resource {name} does not exist")
-        return self.resources[name]
+        found = self.resources[name]
+        return replace(found, languages=self.spoken()) if found.language_path in self.table(name).columns else found
+
+    def spoken(self) -> tuple[str, ...]:
+        """Configured languages that have an analyser of their own here."""
+        return tuple(x for x in self.languages if x in stemming.LANGUAGES)
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -173,7 +179,9 @@ class Engine:
 
     def store(self, name: str, documents: DataFrame, path: str, parts: int | None = None) -> None:
         """Write a resource's prepared documents and read searches from there on."""
-        index.write(documents, self.resources[name], path, parts)
+        found = self.resources[name]
+        found = replace(found, languages=self.spoken()) if found.language_path in documents.columns else found
+        index.write(documents, found, path, parts)
         self.tables[name] = lambda: self.spark.read.parquet(path)
 
     def store_inverted(self, name: str, path: str, parts: int | None = None) -> None:

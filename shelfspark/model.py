@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -11,6 +12,12 @@ from .analysis import TEXT
 from .errors import QueryError
 
 LONGS = ("long", "short")
+_STORED = re.compile(r"norm__|(?:tok|base)(?:_[a-z]{3})?__")
+
+
+def is_stored(column: str) -> bool:
+    """Whether a column is a stored copy of a field (``plans.index``)."""
+    return _STORED.match(column) is not None
 
 
 @dataclass(frozen=True)
@@ -38,12 +45,17 @@ class Field:
 
 @dataclass(frozen=True)
 class Resource:
+    """``languages``: those whose analysers full-text fields of type ``multilang`` have beside the common one; a record is read by those
+    that its ``language_path`` names."""
+
     name: str
     fields: tuple[Field, ...]
     aliases: dict[str, tuple[str, ...]] = field(default_factory=dict)
     nested: str | None = None
     rename: tuple[tuple[str, str], ...] = ()
     key: str = "id"
+    languages: tuple[str, ...] = ()
+    language_path: str = "languages"
 
     def get(self, path: str) -> Field | None:
         return next((f for f in self.fields if f.path == path), None)

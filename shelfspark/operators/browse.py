@@ -16,7 +16,7 @@ from .. import analysis
 from ..cql.bind import RANGES, And, Match, Or, Reader, bind, filter_field, to_column
 from ..errors import NotFoundError, QueryError, ValidationError
 from ..functions.shelving import shelving_key
-from ..model import Resource
+from ..model import Resource, is_stored
 
 INVALID = "Invalid CQL query for browsing."
 
@@ -97,7 +97,7 @@ def browse(df: DataFrame, ctx: Context, order: Order, resource: Resource, anchor
 
     An anchor that no row has, or that the query leaves out, is shown as a placeholder row if ``highlight`` holds and
     the page has both sides.  An empty anchor gives an empty page."""
-    key, columns = anchor_key_of(ctx, order, resource) if anchor_key is None else anchor_key, [c for c in df.columns if not c.startswith(("norm__", "tok__", "base__"))]
+    key, columns = anchor_key_of(ctx, order, resource) if anchor_key is None else anchor_key, [c for c in df.columns if not is_stored(c)]
     if ctx.filters:
         df = df.where(to_column(And(ctx.filters), resource, df.columns))
     df = df.withColumn("__first", first_key(order, resource, df.columns))

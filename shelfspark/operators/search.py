@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..cql.bind import And, Reader, bind, to_column
 from ..cql.parser import Key
 from ..errors import QueryError, ValidationError
-from ..model import Resource
+from ..model import Resource, is_stored
 from ..plans import index
 
 MOST_RESULTS = 10_000
@@ -79,7 +79,7 @@ def search(
     paged = page(found.orderBy(*by), limit, offset)
     if "score" in found.columns and "score" not in df.columns:
         paged = paged.drop("score")
-    return paged.select(*[c for c in names if c in df.columns]) if names is not None else paged.drop(*[c for c in df.columns if c.startswith(("norm__", "tok__", "base__"))])
+    return paged.select(*[c for c in names if c in df.columns]) if names is not None else paged.drop(*[c for c in df.columns if is_stored(c)])
 
 
 def total(df: DataFrame, cql: str, resource: Resource) -> int:

@@ -1,6 +1,6 @@
 """The stored form of a resource: documents with normalised copies of their search fields.
 
-``norm__x`` holds keyword forms, ``tok__x`` and ``base__x`` token arrays.  Conditions on stored copies reach the
+``norm__x`` holds keyword forms, ``tok__x`` and ``base__x`` token arrays, ``tok_eng__x`` and the like those of records in a language.  Conditions on stored copies reach the
 Parquet scan, where ``lower(x) = ...`` would not; searches take them without being told.  ``Inverted`` is the other
 stored form, for relevance: postings sorted by term.
 """
@@ -29,11 +29,19 @@ def prepared(df: DataFrame, resource: Resource) -> DataFrame:
             values = c if f.many else F.array(c)
             out[f"tok__{f.path}"] = F.transform(values, analysis.tokens)
             out[f"base__{f.path}"] = F.transform(values, analysis.base_tokens)
+            for language in resource.languages if f.type == "multilang" else ():
+                mine = F.array_contains(resource.language_path, language)
+                for name, every in (("tok", True), ("base", False)):
+                    out[f"{name}_{language}__{f.path}"] = F.when(mine, F.transform(values, _speaker(language, every)))
         if f.text and f.plain or f.type.startswith("keyword_"):
             out[f"norm__{f.path}"] = F.transform(c, partial(analysis.normalised, f.type)) if f.many else analysis.normalised(f.type, c)
     return df.withColumns(out)
 
 
+def _speaker(language: str, every: bool):
+    return lambda x: analysis.language_tokens(language, x, every)
+
+
 def write(df: DataFrame, resource: Resource, path: str, parts: int | None = None) -> None:
     """Store ``df`` prepared, dealt by key range and sorted, so that keys and prefixes prune files by their statistics."""
     rows = prepared(df, resource)
