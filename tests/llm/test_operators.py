@@ -357,16 +357,17 @@ def test_cut_passages_beside_repeated_words_equal_brute_force():
         assert size == min(len(words(items[key[1]])), len(words(docs[key[0]])))
 
 
-def test_every_fingerprint_within_the_radius_is_found():
+@pytest.mark.parametrize("radius,blocks", [(15, 4), (23, 8)])
+def test_every_fingerprint_within_the_radius_is_found(radius, blocks):
     rng = np.random.default_rng(1)
-    index = decontaminate.Index(list(range(30)), [" ".join(f"q{rng.integers(500)}" for _ in range(20)) for _ in range(30)], decontaminate.Search())
+    index = decontaminate.Index(list(range(30)), [" ".join(f"q{rng.integers(500)}" for _ in range(20)) for _ in range(30)], decontaminate.Search(radius=radius, blocks=blocks))
     prints = index.print.copy()
-    flips = rng.integers(0, 20, 30)
+    flips = rng.integers(0, 30, 30)
     for i, n in enumerate(flips):
         for bit in rng.choice(64, n, replace=False):
             prints[i] ^= np.uint64(1) << np.uint64(bit)
     window, item, far = index.near(prints, 20)
-    brute = {(w, i) for w in range(30) for i in range(30) if int(prints[w] ^ index.print[i]).bit_count() <= 15}
+    brute = {(w, i) for w in range(30) for i in range(30) if int(prints[w] ^ index.print[i]).bit_count() <= radius}
     assert set(zip(window.tolist(), item.tolist(), strict=True)) == brute
     assert all(int(prints[w] ^ index.print[i]).bit_count() == d for w, i, d in zip(window, item, far, strict=True))
 
