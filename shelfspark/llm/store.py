@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Bytes of one Arrow batch while a table is stored: rows are as long as texts, and thousands of them would be hundreds of megabytes.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 #: Folders of the tables stored and not dropped.
 MADE: set[str] = set()
 
@@ -31,7 +33,12 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither recompute nor depend on one executor."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    usual = spark.conf.get(BATCH_KEY)
+    spark.conf.set(BATCH_KEY, str(BATCH))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(BATCH_KEY, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     MADE.add(path)
