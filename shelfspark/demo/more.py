@@ -17,6 +17,7 @@ from ..plans import children, documents, index, reindex
 from ..sources import events
 from .catalog import DOCUMENTS, PARTS, instances, parts, table
 from .registry import DOC_SQL, FOUND, INSTANCE_SQL, PART_SQL, add, has
+from .stored import inverted
 
 
 
@@ -174,19 +175,19 @@ def relevance_sql(words: list[str], every: bool, limit: int) -> str:
 
 @add("search_relevance", relevance_sql(["the", "with"], True, 25))
 def _(spark, sf):
-    return index.Inverted.of(table(spark, sf, "documents"), DOCUMENTS).top("the with", ["text"], 25).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return inverted(spark, sf).top("the with", ["text"], 25).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @add("search_relevance_any", relevance_sql(["nicht", "pour", "value"], False, 40))
 def _(spark, sf):
-    return index.Inverted.of(table(spark, sf, "documents"), DOCUMENTS).top("nicht pour value", ["text"], 40, every=False).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return inverted(spark, sf).top("nicht pour value", ["text"], 40, every=False).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @add("search_ranked", f"SELECT r.doc_id, lang FROM ({relevance_sql(['the', 'with'], True, 1000000)}) r JOIN {DOC_SQL} d ON r.doc_id = d.doc_id WHERE n_chars > 500 ORDER BY score DESC, r.doc_id LIMIT 15")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     shown = Resource("documents", tuple(f.__class__(**{**f.__dict__, "shown": f.path == "lang"}) for f in DOCUMENTS.fields), key="doc_id")
-    return search.search(docs, 'text all "the with" and n_chars > 500', shown, 15, inverted=index.Inverted.of(docs, DOCUMENTS))
+    return search.search(docs, 'text all "the with" and n_chars > 500', shown, 15, inverted=inverted(spark, sf))
 
 
 @add("text_inverted", f"SELECT doc_id FROM {DOC_SQL} WHERE {has('the')} AND {has('with')}")

@@ -13,7 +13,7 @@ from ..operators import consortium, facets, ids, lookups, search, tables
 from ..plans import children, documents, index
 from ..sources import events
 from ..streaming import pipeline
-from . import headings, more, spoken  # noqa: F401  register their queries
+from . import headings, more, spoken, stored  # noqa: F401  register their queries
 from .catalog import DOCUMENTS, ORDERS, PARTS, instances, items, parts, table
 from .registry import DOC_SQL, FOLD_SQL, FOUND, INSTANCE_SQL, ITEM_SQL, PART_SQL, add, has
 

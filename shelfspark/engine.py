@@ -45,6 +45,7 @@ class Engine:
     configs: browsing.Configs = field(default_factory=browsing.Configs)
     languages: tuple[str, ...] = ("eng",)
     inverted: dict[str, index.Inverted] = field(default_factory=dict)
+    grams: dict[str, index.Grams] = field(default_factory=dict)
     ordered: dict[tuple[str, str | None], Ordered] = field(default_factory=dict)
     features: dict[str, bool] = field(default_factory=lambda: {"search.all.fields": False})
 
@@ -85,7 +86,7 @@ class Engine:
         return cql
 
     def search(self, name: str, cql: str, limit: int = 100, offset: int = 0, include: list[str] | None = None, expand_all: bool = False, consolidated: bool = False) -> DataFrame:
-        return search.search(self.visible(name, consolidated), self._allowed(cql), self.resource(name), limit, offset, include, expand_all, inverted=self.inverted.get(name))
+        return search.search(self.visible(name, consolidated), self._allowed(cql), self.resource(name), limit, offset, include, expand_all, inverted=self.inverted.get(name), grams=self.grams.get(name))
 
     def total(self, name: str, cql: str) -> int:
         return search.total(self.visible(name), self._allowed(cql), self.resource(name))
@@ -191,10 +192,16 @@ class Engine:
         index.Inverted.of(self.table(name), self.resources[name]).write(path, parts)
         self.inverted[name] = index.Inverted.open(self.spark, path)
 
+    def store_grams(self, name: str, path: str, fields: tuple[str, ...], parts: int | None = None) -> None:
+        """Write three-letter postings of fields; from there on conditions with wildcards on them test few rows."""
+        index.Grams.of(self.table(name), self.resources[name], fields).write(path, parts)
+        self.grams[name] = index.Grams.open(self.spark, path)
+
     def drop(self, name: str) -> None:
         if self.tables.pop(name, None) is None:
             raise NotFoundError(f"Index {name} does not exist")
         self.inverted.pop(name, None)
+        self.grams.pop(name, None)
         for key in [k for k in self.ordered if BROWSES[k[0]][0] == name]:
             del self.ordered[key]
 

@@ -65,11 +65,12 @@ def search(
     expand_all: bool = False,
     affiliation: Column | None = None,
     inverted: index.Inverted | None = None,
+    grams: index.Grams | None = None,
 ) -> DataFrame:
     """A page of the matching rows.  Without sortBy the order is that of relevance, best first, if ``inverted`` is there to score
-    full-text conditions with, and then that of the key."""
+    full-text conditions with, and then that of the key; such conditions, and with ``grams`` those with wildcards, are looked up there."""
     node, keys = bind(cql, resource)
-    found = df.where(to_column(node, resource, df.columns))
+    found = index.filtered(df, node, resource, inverted, grams)
     if affiliation is not None:
         found = found.where(affiliation)
     names = shown(resource, include, expand_all)

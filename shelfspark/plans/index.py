@@ -2,11 +2,13 @@
 
 ``norm__x`` holds keyword forms, ``tok__x`` and ``base__x`` token arrays, ``tok_eng__x`` and the like those of records in a language.  Conditions on stored copies reach the
 Parquet scan, where ``lower(x) = ...`` would not; searches take them without being told.  ``Inverted`` is the other
-stored form, for relevance: postings sorted by term.
+stored form: postings sorted by term, with positions, for words, phrases and relevance.  ``Grams`` has postings of three letters for
+patterns with wildcards.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import partial, reduce
 
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import analysis
-from ..cql.bind import Match, Not, Reader
+from ..cql.bind import And, Match, Not, Reader, to_column
 from ..model import Resource
 
 
@@ -49,18 +51,29 @@ def write(df: DataFrame, resource: Resource, path: str, parts: int | None = None
     rows.sortWithinPartitions(resource.key).write.mode("overwrite").parquet(path)
 
 
-# the inverted index: term, field, key, tf, length (tokens of the field in the document)
+# the inverted index: term, field, key, tf, length (tokens of the field in the document), positions
 
 K1, B = 1.2, 0.75  # fixed values: the usual parameters of BM25
 
 
 def postings(df: DataFrame, resource: Resource) -> DataFrame:
-    """One row for each term, text field and document that has it; counts are combined before the shuffle."""
+    """One row for each term, text field and document that has it, with its positions among the field's tokens in text order; each value
+    of a field has positions of its own.  Joined parts of words count, but have no position.
+
+    Documents are dealt by key once; what is grouped after that stays in its task."""
     fields = [f for f in resource.fields if f.text and f.path in df.columns]
-    reader = Reader(df.columns)
-    each = F.array(*[F.struct(F.lit(f.path).alias("field"), F.coalesce(reader.tokens(f), F.array().cast("array<string>")).alias("tokens")) for f in fields])
-    rows = df.select(F.col(resource.key).alias("key"), F.explode(each).alias("f")).select("key", "f.field", F.size("f.tokens").cast("long").alias("length"), F.explode("f.tokens").alias("term"))
-    return rows.groupBy("term", "field", "key", "length").agg(F.count(F.lit(1)).alias("tf")).select("term", "field", "key", "tf", "length")
+    reader, none = Reader(df.columns), F.array().cast("array<struct<term:string,n:int,at:bigint>>")
+
+    def occurrences(f):
+        every = F.transform(reader.tokens(f), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("at")))
+        placed = F.flatten(F.transform(reader.phrases(f), lambda words, v: F.transform(words, lambda t, i: F.struct(t.alias("term"), F.lit(0).alias("n"), (F.shiftleft(v.cast("long"), 32) + i).alias("at")))))
+        return F.concat(F.coalesce(every, none), F.coalesce(placed, none))
+
+    each = F.array(*[F.struct(F.lit(f.path).alias("field"), F.size(F.coalesce(reader.tokens(f), F.array().cast("array<string>"))).cast("long").alias("length"), occurrences(f).alias("tokens")) for f in fields])
+    dealt = df.repartition(F.col(resource.key)).select(F.col(resource.key).alias("key"), F.explode(each).alias("f"))
+    rows = dealt.select("key", "f.field", "f.length", F.explode("f.tokens").alias("t"))
+    grouped = rows.groupBy("key", "field", "length", "t.term").agg(F.sum("t.n").alias("tf"), F.sort_array(F.collect_list("t.at")).alias("positions"))
+    return grouped.select("term", "field", "key", "tf", "length", "positions")
 
 
 def lengths(df: DataFrame, resource: Resource) -> DataFrame:
@@ -105,11 +118,117 @@ class Inverted:
         found = rows.join(F.broadcast(known), ["term", "field"]).groupBy("key").agg(F.sum(idf * tf / (tf + norm)).alias("score"), F.count_distinct("term").alias("words"))
         return found.where(F.col("words") == len(words)).drop("words") if every else found.drop("words")
 
+    def having(self, words: list[str], fields: list[str], every: bool = True) -> DataFrame:
+        """key: documents with every word (or any) in one of the fields or another."""
+        rows = self.postings.where(F.col("term").isin(*words) & F.col("field").isin(*fields))
+        if not every or len(words) == 1:
+            return rows.select("key").distinct()
+        return rows.groupBy("key").agg(F.count_distinct("term").alias("words")).where(F.col("words") == len(words)).select("key")
+
+    def phrase(self, text: str, fields: list[str]) -> DataFrame:
+        """key: documents in which the words of ``text`` stand one behind the other in a value of a field: the words' positions, moved back
+        by their place in the phrase, have one in common."""
+        words = analysis.text_tokens(text)
+        one = list(dict.fromkeys(words))
+        rows = self.postings.where(F.col("term").isin(*one) & F.col("field").isin(*fields) & (F.size("positions") > 0))
+        if len(words) == 1:
+            return rows.select("key").distinct()
+        both = rows.groupBy("field", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).where(F.size("at") == len(one))
+        starts = F.col("at")[words[0]]
+        for i, word in enumerate(words[1:], 1):
+            starts = F.array_intersect(starts, _moved(F.col("at")[word], i))
+        return both.where(F.size(starts) > 0).select("key").distinct()
+
     def top(self, text: str, fields: list[str], limit: int = 100, every: bool = True) -> DataFrame:
         """The best hits, equal scores by key."""
         return self.hits(text, fields, every).orderBy(F.desc("score"), "key").limit(limit)
 
 
+def _moved(positions, by: int):
+    return F.transform(positions, lambda p: p - by)
+
+
+# three-letter postings: gram, field, key
+
+EDGES = ("\x02", "\x03")
+
+
+@dataclass(frozen=True)
+class Grams:
+    """Postings of the runs of three characters of normalised values, a mark at each end: what a pattern with wildcards has to contain."""
+
+    postings: DataFrame
+    fields: tuple[str, ...]
+
+    @classmethod
+    def of(cls, df: DataFrame, resource: Resource, fields: tuple[str, ...]) -> Grams:
+        reader, each = Reader(df.columns), []
+        for path in fields:
+            f = resource.get(path)
+            values = reader.norm(f) if f.many else F.array(reader.norm(f))
+            marked = F.transform(F.array_compact(values), lambda v: F.concat(F.lit(EDGES[0]), v, F.lit(EDGES[1])))
+            cut = F.transform(F.filter(marked, lambda v: F.length(v) > 2), lambda v: F.transform(F.sequence(F.lit(1), F.length(v) - 2), lambda i: F.substring(v, i, F.lit(3))))
+            each.append(F.struct(F.lit(path).alias("field"), F.coalesce(F.array_distinct(F.flatten(cut)), F.array().cast("array<string>")).alias("grams")))
+        rows = df.select(F.col(resource.key).alias("key"), F.explode(F.array(*each)).alias("f"))
+        return cls(rows.select(F.explode("f.grams").alias("gram"), "f.field", "key"), fields)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Grams:
+        rows = spark.read.parquet(path)
+        return cls(rows, tuple(sorted(r[0] for r in rows.select("field").distinct().collect())))
+
+    def write(self, path: str, parts: int | None = None) -> None:
+        rows = self.postings.repartitionByRange(parts, "gram", "key") if parts else self.postings.repartitionByRange("gram", "key")
+        rows.sortWithinPartitions("gram", "field", "key").write.mode("overwrite").parquet(path)
+
+    def candidates(self, match: Match) -> DataFrame | None:
+        """key: documents that may match a wildcard condition; None if its pattern has too little text, or a field no postings."""
+        found = []
+        for f in {f.path: f for f in match.fields}.values():
+            grams = pattern_grams(analysis.normalised_text(f.type, match.value))
+            if not grams or f.path not in self.fields:
+                return None
+            rows = self.postings.where(F.col("gram").isin(*grams) & (F.col("field") == f.path))
+            found.append(rows.groupBy("key").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("key"))
+        return reduce(DataFrame.unionAll, found).distinct() if found else None
+
+
+def pattern_grams(pattern: str) -> list[str]:
+    """Runs of three characters that every value of a wildcard pattern contains."""
+    pieces = re.split(r"[*?]", f"{EDGES[0]}{pattern}{EDGES[1]}")
+    return sorted({p[i : i + 3] for p in pieces for i in range(len(p) - 2)})
+
+
+def filtered(df: DataFrame, node, resource: Resource, inverted: Inverted | None = None, grams: Grams | None = None) -> DataFrame:
+    """Rows that match.  Conjuncts on words and phrases, and their negations, are found in the inverted index, those with wildcards are
+    narrowed by three-letter postings; whatever else there is, is asked of the rows that these leave."""
+    known = {r[0] for r in inverted.lengths.select("field").collect()} if inverted is not None else set()  # a row for each field
+    rest, joins = [], []
+    for part in node.parts if isinstance(node, And) else (node,):
+        inner, how = (part.part, "left_anti") if isinstance(part, Not) else (part, "left_semi")
+        keys = _keys(inner, resource, inverted, known) if isinstance(inner, Match) else None
+        if keys is None:
+            rest.append(part)
+            if how == "left_semi" and grams is not None and isinstance(inner, Match) and inner.op == "wild" and (keys := grams.candidates(inner)) is not None:
+                joins.append((keys, how))
+        else:
+            joins.append((keys, how))
+    for keys, how in joins:
+        df = df.join(keys.withColumnRenamed("key", "__key"), df[resource.key] == F.col("__key"), how)
+    return df.where(to_column(And(tuple(rest)), resource, df.columns)) if rest else df
+
+
+def _keys(m: Match, resource: Resource, inverted: Inverted | None, known: set[str]) -> DataFrame | None:
+    """Keys of the documents that match a condition on full-text fields alone; None if the index cannot tell."""
+    fields = [f.path for f in m.fields]
+    if inverted is None or m.op not in ("all", "any", "phrase") or not fields or not all(f.text and f.path in known for f in m.fields):
+        return None
+    words = list(dict.fromkeys(analysis.text_tokens(m.value)))
+    if not words or resource.languages and any(f.type == "multilang" for f in m.fields):
+        return None
+    return inverted.phrase(m.value, fields) if m.op == "phrase" else inverted.having(words, fields, m.op == "all")
+
+
 def ranked(found: DataFrame, query: list[tuple[str, list[str], bool]], inverted: Inverted, key: str) -> DataFrame:
     """``found`` with ``score``: the sum over the full-text conditions (text, fields, every) of a query; 0 where none adds to it."""
     scores = [inverted.hits(text, fields, every) for text, fields, every in query]
