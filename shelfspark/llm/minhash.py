@@ -13,8 +13,9 @@ Sets of different components that still share a list are paired, at the rarest c
 near a large group, but not in it, from being paired up.  A set's shingles that no other set has cannot be shared, which
 bounds the similarity of a set, and of a pair.  And a sketch of ``bits`` cells holds whether a cell has an odd number of the
 set's shingles: two sketches differ in no more cells than the sets do in shingles, and no pair is lost to that.  Where many
-shingles meet in few cells, the cells in which a pair at the threshold differs stay below Hoeffding's bound for chance ``missed``.
-Posting lists are joined in parts of ``part_rows`` sets, so one very common pair is no task of its own.
+shingles meet in few cells, the cells in which a pair at the threshold differs stay below McDiarmid's bound for chance ``missed``: each
+of d shingles by itself changes two cells at most, so sqrt(2 d ln(1/missed)) above their expected number.
+Posting lists are joined in parts of ``part_rows`` sets, in the end each part with each, so one very common pair is no task of its own.
 
 ``missed`` is the chance at which a pair exactly at the threshold may be lost, for coordinates and for cells.  With 0
 nothing is: shingles themselves are posted, each set under the rarest of its own that any similar set has to share.
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, lgamma, log, sqrt
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -250,29 +251,33 @@ def placed(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     more_stars, more_links = compared(prefix, middles, stars)
     second = graph.components(links.unionAll(more_links))
     rows_, several = spread(second)
-    open_ = store.stored(rows_.join(several, ["pair", "part"], "left_semi").drop("parts", "part"), "open")
+    open_ = store.stored(rows_.join(several, ["pair", "part"], "left_semi"), "open")
     cells = store.stored(sets.join(open_.select("cid").distinct(), "cid", "left_semi").mapInArrow(_cells(how), "cid long, cells array<long>"), "cells")
     left = store.stored(open_.join(cells, "cid"), "left")
     store.dropped(open_, cells)
-    a, b = left.alias("a"), left.alias("b")
+    # a list of several parts is a triangle of blocks, each part with itself and with those behind it
+    a = left.withColumn("other", F.explode(F.sequence("part", F.col("parts") - 1))).alias("a")
+    b = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("part")))).alias("b")
     both_n = F.col("a.n") + F.col("b.n")
     differ = sum((F.bit_count(F.get("a.cells", F.lit(i)).bitwiseXOR(F.get("b.cells", F.lit(i)))) for i in range(how.bits // 64)), F.lit(0))
     most = both_n * (100 - how.percent) / (100 + how.percent)  # shingles in which a similar pair differs
     common = F.array_intersect("a.pairs", "b.pairs")
     if how.missed:
         expected = how.bits / 2 * (1 - F.pow(F.lit(1 - 2 / how.bits), most))
-        enough = (differ <= F.least(most, expected + sqrt(how.bits * log(1 / how.missed) / 2))) & (F.size(common) >= how.matches)
+        enough = (differ <= F.least(most, expected + F.sqrt(most * (2 * log(1 / how.missed))))) & (F.size(common) >= how.matches)
     else:
         enough = (differ <= most) & (F.size(common) * (100 + how.percent) >= both_n * how.percent)
     open_pairs = a.join(
         b,
         (F.col("a.pair") == F.col("b.pair"))
-        & (F.col("a.cid") < F.col("b.cid"))
+        & (F.col("a.part") == F.col("b.other"))
+        & (F.col("a.other") == F.col("b.part"))
+        & ((F.col("a.part") < F.col("b.part")) | (F.col("a.cid") < F.col("b.cid")))
         & (F.col("a.comp") != F.col("b.comp"))
         & (F.least("a.common_n", "b.common_n") * (100 + how.percent) >= both_n * how.percent)
         & enough
         & (F.get(common, F.lit(0)) == F.col("a.pair")),  # each pair once, at the rarest coordinate that it shares
-    ).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+    ).select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b"))
     open_pairs = store.stored(open_pairs.join(stars.unionAll(more_stars), ["a", "b"], "left_anti"), "open-pairs")
     more = store.stored(confirmed(open_pairs, sets, how), "more")
     final = graph.components(links.unionAll(more_links).unionAll(more))

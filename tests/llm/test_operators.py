@@ -121,6 +121,24 @@ def test_near_duplicates_equal_brute_force(spark, odd, k, percent, missed):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in found)
 
 
+def test_lists_of_many_parts_lose_no_link(spark):
+    """Sets that share most of their coordinates without being similar, and pairs of near copies among them, in parts of three."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(40):
+        own = [f"o{i}_{j}" for j in range(14 + i % 9)]
+        texts.append(" ".join(common[: 30 + i % 5] + own + common[30 + i % 5 :]))
+        if i % 4 == 0:
+            texts.append(texts[-1] + " behind")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    truth = brute_components(list(enumerate(texts)), 3, 80)
+    for missed in (1e-9, 0):
+        how = minhash.NearDup(words=3, percent=80, part_rows=3, missed=missed)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in minhash.near_duplicates(docs, how).collect()) == truth
+    assert 10 <= sum(d != c for d, _, c in truth) < len(texts) - 10
+
+
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).collect() == []
     assert minhash.unique(none).collect() == []
