@@ -19,13 +19,15 @@ def last_events(events: DataFrame, key: str = "key", order: tuple[str, ...] = ("
 
     Two exceptions keep both of exactly two events of different tenants: a creation with a deletion (the record
     changes its owner), and a creation with an update (the record becomes shared)."""
-    row = F.struct(*[F.col(c) for c in order], F.struct(*events.columns).alias("row"))
-    aggs = [F.max(row).alias("last")]
+    whole = F.struct(*events.columns)
+    # maps have no order; they are compared as text
+    place = F.struct(*[F.col(c) for c in order], *[F.to_json(c) if "map<" in t else F.col(c) for c, t in events.dtypes])
+    aggs = [F.max_by(whole, place).alias("last")]
     if tenant is None:
-        return events.groupBy(F.col(key).alias("__k")).agg(*aggs).select("last.row.*")
+        return events.groupBy(F.col(key).alias("__k")).agg(*aggs).select("last.*")
     # the rows of a pair are its greatest and its least
-    aggs += [F.min(row).alias("first"), F.count(F.lit(1)).alias("n")]
-    last, first = F.col("last.row"), F.col("first.row")
+    aggs += [F.min_by(whole, place).alias("first"), F.count(F.lit(1)).alias("n")]
+    last, first = F.col("last"), F.col("first")
     kinds = F.sort_array(F.array(last[kind], first[kind]))
     pair = (F.col("n") == 2) & (last[tenant] != first[tenant]) & kinds.isin(F.array(F.lit("CREATE"), F.lit("DELETE")), F.array(F.lit("CREATE"), F.lit("UPDATE")))
     kept = F.when(pair, F.array(last, first)).otherwise(F.array(last))
@@ -155,6 +157,8 @@ class Versions:
             made = [0]
         entry = {"version": n, "parts": kept | {str(b): name for b in made}, "batches": log["batches"] | (dict([batch]) if batch else {})}
         self.spark.createDataFrame([(f"{name} {json.dumps(entry)}",)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/_versions")
+        if n % 16 == 15:
+            self._forget(8)
         return f"{self.path}/{name}"
 
     def replace(self, df: DataFrame, keys: list[str] | None = None, batch: tuple[str, int] | None = None) -> str:
@@ -168,8 +172,16 @@ class Versions:
         rows = how(old, new) if how else upsert(old, new, keys) if old is not None else new.dropDuplicates(keys)
         return self._write(rows, keys, {k: v for k, v in log["parts"].items() if int(k) not in touched}, log, batch)
 
+    def _forget(self, kept: int) -> None:
+        """Delete all but the last entries of the log, so that reading it costs the same however many versions there were."""
+        entries = self.spark.read.text(f"{self.path}/_versions").select("value", F.col("_metadata.file_path").alias("file")).orderBy(F.desc("value")).collect()
+        for row in entries[kept:]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(row.file)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
+
     def prune(self) -> int:
-        """Delete folders that the last version does not name; for when no reader is left on an older one."""
+        """Delete folders and entries of the log that the last version does not name; for when no reader is left on an older one."""
+        self._forget(1)
         files = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         system, named, gone = files.getFileSystem(self.spark._jsc.hadoopConfiguration()), set(self.log()["parts"].values()), 0
         for status in system.listStatus(files):

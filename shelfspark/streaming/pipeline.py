@@ -7,6 +7,7 @@ tombstone, so an older event that comes late does not bring the record back; ``l
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -34,10 +35,11 @@ def live(state: DataFrame) -> DataFrame:
     return state.where("type <> 'DELETE'")
 
 
-def one_by_one(df: DataFrame, process: Callable[[DataFrame], object], dead: Callable[[DataFrame, str], object], tries: int = 2) -> None:
+def one_by_one(df: DataFrame, process: Callable[[DataFrame], object], dead: Callable[[DataFrame, str], object], tries: int = 2, wait: float = 1.0) -> None:
     """``process`` a batch; if it keeps failing, its halves, down to single rows; a row that fails alone goes to ``dead`` with the error.
 
-    A few bad rows cost a few runs over ever smaller parts; all other rows are processed."""
+    A few bad rows cost a few runs over ever smaller parts; all other rows are processed.  Between tries of the whole batch the wait
+    doubles.  Where a batch without rows fails too, it is the target that fails and not a row: the error is raised and no row is dead."""
 
     def run(part: DataFrame, level: int) -> None:
         for left in range(tries - 1, -1, -1):
@@ -45,9 +47,14 @@ def one_by_one(df: DataFrame, process: Callable[[DataFrame], object], dead: Call
                 process(part)
                 return
             except Exception as e:  # noqa: BLE001  whatever a record does to its batch
-                error = str(e)[:2000]
+                failed, error = e, str(e)[:2000]
                 if left:
-                    continue
+                    time.sleep(wait * 2 ** (tries - 1 - left) if level == 0 else 0)
+        if level == 0 or level >= 64 or len(part.limit(2).collect()) < 2:
+            try:
+                process(part.limit(0))
+            except Exception as e:  # noqa: BLE001
+                raise RuntimeError("the target fails without rows too") from (failed or e)
         if level >= 64 or len(part.limit(2).collect()) < 2:
             dead(part, error)
             return
