@@ -293,9 +293,16 @@ def _(spark, sf):
 
 
 # bookkeeping
-@add("uuid_ranges", "SELECT i AS number, format('{:x}', i) || '0000000-0000-0000-0000-000000000000' AS low, format('{:x}', i) || 'fffffff-ffff-ffff-ffff-ffffffffffff' AS high FROM range(16) t(i)")
+@add("uuid_ranges", """SELECT md5(text)[1:1] || '0000000-0000-0000-0000-000000000000' AS low, md5(text)[1:1] || 'fffffff-ffff-ffff-ffff-ffffffffffff' AS high, count(*) AS documents
+ FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
 def _(spark, sf):
-    return spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(tables.uuid_ranges(16))], "number long, low string, high string")
+    """How many documents lie in each of sixteen ranges of identifiers that follow from their texts."""
+    digest = F.md5(F.col("text").cast("binary"))
+    key = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    rows = table(spark, sf, "documents").where("text is not null").select(key.alias("id"))
+    bounds = F.array(*[F.struct(F.lit(str(a)).alias("low"), F.lit(str(b)).alias("high")) for a, b in tables.uuid_ranges(16)])
+    mine = F.filter(bounds, lambda r: F.col("id").between(r["low"], r["high"]))[0]
+    return rows.select(mine.alias("r")).groupBy("r.low", "r.high").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @add("staged_rows", """SELECT o_orderkey AS id, o_orderstatus AS status, false AS moved FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)

@@ -13,7 +13,7 @@ from ..operators import consortium, facets, ids, lookups, search, tables
 from ..plans import children, documents, index
 from ..sources import events
 from ..streaming import pipeline
-from . import headings, more, spoken, stored  # noqa: F401  register their queries
+from . import headings, more, nested, spoken, stored  # noqa: F401  register their queries
 from .catalog import DOCUMENTS, ORDERS, PARTS, instances, items, parts, table
 from .registry import DOC_SQL, FOLD_SQL, FOUND, INSTANCE_SQL, ITEM_SQL, PART_SQL, add, has
 
@@ -383,7 +383,7 @@ def _(spark, sf):
 
 @add("fn_json_extract", "SELECT event_id, props->>'$.k' AS k FROM events")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, sf, "events").select("event_id", documents.json_text(F.col("props"), "k").alias("k"))
 
 
 @add("fn_folding", f"SELECT doc_id, sha1({FOLD_SQL}) AS folded FROM documents")
@@ -398,9 +398,10 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", records.sort_title(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.lit("  ")), F.col("p_brand")).alias("sort_title"))
 
 
-@add("page_numbers", "SELECT o_orderkey, ceil(o_orderkey / 7.0)::BIGINT AS page FROM orders")
+@add("page_numbers", "SELECT o_orderkey, ceil(o_orderkey / 7.0)::BIGINT AS page, ceil(o_custkey / 7.0)::BIGINT AS total_pages FROM orders")
 def _(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.ceil(F.col("o_orderkey") / 7.0).cast("long").alias("page"))
+    rows = table(spark, sf, "orders").withColumn("instances", F.array("o_orderstatus"))
+    return documents.page_of(rows, F.col("o_orderkey"), 7, F.col("o_custkey")).select("o_orderkey", F.col("page_number").alias("page"), "total_pages")
 
 
 # sets and upserts

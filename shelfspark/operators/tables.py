@@ -124,19 +124,24 @@ class Versions:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 1):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def log(self) -> dict:
-        """The last version: ``version``, ``parts`` (folder of each bucket that has rows), ``batches`` (last batch of each stream)."""
+    def log(self, version: int | None = None) -> dict:
+        """The last version, or one that is kept: ``version``, ``parts`` (folder of each bucket that has rows), ``batches`` (last batch of each stream)."""
         try:
-            last = self.spark.read.text(f"{self.path}/_versions").orderBy(F.desc("value")).limit(1).collect()
+            entries = self.spark.read.text(f"{self.path}/_versions")
+            if version is not None:
+                entries = entries.where(F.col("value").startswith(f"v{version:012d} "))
+            last = entries.orderBy(F.desc("value")).limit(1).collect()
+            if version is not None and not last:
+                raise ValueError(f"version {version} is no longer kept")
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             last = []
         return json.loads(last[0][0].split(" ", 1)[1]) if last else {"version": -1, "parts": {}, "batches": {}}
 
-    def read(self, buckets: set[int] | None = None) -> DataFrame | None:
-        """The table, or some buckets of it; None if nothing was ever written there."""
-        parts = {int(k): v for k, v in self.log()["parts"].items() if buckets is None or int(k) in buckets}
+    def read(self, buckets: set[int] | None = None, version: int | None = None) -> DataFrame | None:
+        """The table, or some buckets of it, as it is or as a version was; None if nothing was ever written there."""
+        parts = {int(k): v for k, v in self.log(version)["parts"].items() if buckets is None or int(k) in buckets}
         return self.spark.read.parquet(*[f"{self.path}/{v}/__bucket={k}" for k, v in sorted(parts.items())]) if parts else None
 
     def bucket(self, keys: list[str]) -> Column:
@@ -179,11 +184,12 @@ class Versions:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(row.file)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, False)
 
-    def prune(self) -> int:
-        """Delete folders and entries of the log that the last version does not name; for when no reader is left on an older one."""
-        self._forget(1)
+    def prune(self, keep: int = 1) -> int:
+        """Delete folders and entries of the log that the last ``keep`` versions do not name; for when no reader is left on an older one."""
+        self._forget(keep)
         files = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        system, named, gone = files.getFileSystem(self.spark._jsc.hadoopConfiguration()), set(self.log()["parts"].values()), 0
+        system, gone = files.getFileSystem(self.spark._jsc.hadoopConfiguration()), 0
+        named = {v for r in self.spark.read.text(f"{self.path}/_versions").collect() for v in json.loads(r[0].split(" ", 1)[1])["parts"].values()}
         for status in system.listStatus(files):
             name = status.getPath().getName()
             if name.startswith("v") and name not in named:

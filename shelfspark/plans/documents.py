@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Resource
+from ..model import Field, Resource
 
 #: Heading fields of an authority: (field, heading type, form).  The forms are the heading, see-from and see-also.
 HEADINGS = ("personalName", "personalNameTitle", "corporateName", "corporateNameTitle", "meetingName", "meetingNameTitle", "uniformTitle", "topicalTerm", "geographicName", "genreTerm", "chronTerm", "chronSubdivision", "generalSubdivision", "geographicSubdivision", "formSubdivision", "mediumPerfTerm", "namedEvent")
@@ -63,22 +65,88 @@ def actions(ids: DataFrame, documents: DataFrame) -> DataFrame:
     return ids.distinct().join(there, "id", "left").select("id", F.when(F.col("__there"), "INDEX").otherwise("DELETE").alias("action"))
 
 
+def _tree(resource: Resource) -> dict:
+    """Field names by level: a field, or what lies under it."""
+    tree: dict = {}
+    for f in sorted((f for f in resource.fields if f.type != "none"), key=lambda f: f.path.count(".")):
+        *above, name = f.path.split(".")
+        node = tree
+        for step in above:
+            node = node.setdefault(step, {})
+            if not isinstance(node, dict):  # a field is taken whole
+                break
+        else:
+            node.setdefault(name, f)
+    return tree
+
+
+def rebuilt(c: Column, kind: T.DataType, names: Callable[[list[str]], list[tuple[str, str, object]]], node: object = None, leaf: Callable[[Column, object], Column] = lambda c, _: c) -> Column:
+    """``c`` with its objects made anew, inside lists and at every level.  ``names``: for the fields of an object and what stands for it,
+    which field becomes which, and what stands for that."""
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.ArrayType, T.StructType)):
+        return F.transform(c, lambda x: rebuilt(x, kind.elementType, names, node, leaf))
+    if isinstance(kind, T.StructType):
+        fields = names(kind.fieldNames(), node)
+        made = [rebuilt(c.getField(old), kind[old].dataType, names, sub, leaf).alias(new) for old, new, sub in fields]
+        return F.when(c.isNotNull(), F.struct(*made)) if made else F.lit(None).cast("struct<>")
+    return leaf(c, node)
+
+
 def projected(df: DataFrame, resource: Resource) -> DataFrame:
-    """The fields a descriptor has, with defaults for nulls; others are dropped."""
-    out: list[Column] = []
-    for name in dict.fromkeys(f.path.split(".")[0] for f in resource.fields if f.type != "none"):
-        if name not in df.columns:
-            continue
-        f = resource.get(name)
-        out.append(F.coalesce(F.col(name), F.lit(f.default)).alias(name) if f is not None and f.default is not None else F.col(name))
-    return df.select(*out)
+    """The fields a descriptor has, inside objects and lists of them too, with defaults for nulls; others are dropped."""
+
+    def names(fields: list[str], node) -> list[tuple[str, str, object]]:
+        return [(x, x, node[x]) for x in node if x in fields] if isinstance(node, dict) else [(x, x, None) for x in fields]
+
+    def leaf(c: Column, f) -> Column:
+        return F.coalesce(c, F.lit(f.default)) if isinstance(f, Field) and f.default is not None else c
+
+    return df.select(*[rebuilt(F.col(x), df.schema[x].dataType, names, sub, leaf).alias(x) for x, _, sub in names(df.columns, _tree(resource))])
 
 
 def unplained(df: DataFrame) -> DataFrame:
-    """``plain_x`` as ``x``; it wins over an analysed ``x``."""
-    plain = {c.removeprefix("plain_"): c for c in df.columns if c.startswith("plain_")}
-    names = list(dict.fromkeys(c.removeprefix("plain_") for c in df.columns))
-    return df.select(*[F.col(plain.get(n, n)).alias(n) for n in names])
+    """``plain_x`` as ``x``, inside objects and lists of them too; it wins over an analysed ``x``."""
+
+    def names(fields: list[str], _=None) -> list[tuple[str, str, object]]:
+        plain = {x.removeprefix("plain_"): x for x in fields if x.startswith("plain_")}
+        return [(plain.get(x, x), x, None) for x in dict.fromkeys(x.removeprefix("plain_") for x in fields)]
+
+    return df.select(*[rebuilt(F.col(old), df.schema[old].dataType, names).alias(new) for old, new, _ in names(df.columns)])
+
+
+def at_path(df: DataFrame, path: str) -> Column:
+    """The value at a dotted path; where the path goes through lists, all its values as one list, nulls left out."""
+
+    def step(c: Column, kind: T.DataType, steps: list[str]) -> tuple[Column, bool]:
+        if isinstance(kind, T.ArrayType):
+            if not steps:
+                return c, True
+            many = _through_list(kind.elementType, steps)
+            inner = F.transform(c, lambda x: step(x, kind.elementType, steps)[0])
+            return (F.flatten(F.filter(inner, lambda x: x.isNotNull())) if many else F.array_compact(inner)), True
+        if not steps:
+            return c, False
+        return step(c.getField(steps[0]), kind[steps[0]].dataType, steps[1:])
+
+    first, *rest = path.split(".")
+    return step(F.col(first), df.schema[first].dataType, rest)[0]
+
+
+def _through_list(kind: T.DataType, steps: list[str]) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return True
+    return bool(steps) and _through_list(kind[steps[0]].dataType, steps[1:])
+
+
+def page_of(df: DataFrame, offset: Column, limit: Column | int, total: Column | int) -> DataFrame:
+    """A page of linked data as it is returned: without ``instances``, with its number and how many pages there are."""
+    count = lambda n: F.ceil((n if isinstance(n, Column) else F.lit(n)) / limit).cast("long")
+    return df.drop("instances").withColumns({"page_number": count(offset), "total_pages": count(total)})
+
+
+def json_text(body: Column, *path: str) -> Column:
+    """Text at a path of names in a JSON document, whatever signs the names have; null where there is none."""
+    return F.get_json_object(body, "$" + "".join(f"['{p}']" for p in path))
 
 
 def expanded(df: DataFrame, resource: Resource) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..operators import tables
+from . import documents
 
 MERGE_TYPES = ("instance", "holdings", "item")
 FIXED_STAMP = "2000-01-01 00:00:00"
@@ -53,6 +54,15 @@ def member_documents(local: DataFrame, central: DataFrame, holdings: DataFrame,
     return local.where(F.col("tenant_id") == tenant).unionByName(tables.exists_in(central.where("shared"), held, ["id"]))
 
 
+def member_assembled(local: DataFrame, central: DataFrame, holdings: DataFrame, items: DataFrame, tenant: str) -> DataFrame:
+    """What a member uploads, with its own holdings (id, instance_id, tenant_id, ...) and the items (holding_id, tenant_id, ...) of those.
+
+    Each is made one row an instance before it is joined, so holdings are not repeated for their items, nor items for holdings."""
+    mine = holdings.where(F.col("tenant_id") == tenant).dropDuplicates(["id"])
+    below = items.where(F.col("tenant_id") == tenant).join(mine.select(F.col("id").alias("holding_id"), "instance_id"), "holding_id")
+    return documents.assembled(member_documents(local, central, holdings, tenant), mine, below)
+
+
 def ranges(df: DataFrame, key: str = "id", level: int = 3) -> DataFrame:
     """Rows of each hexadecimal range of the key."""
     return df.groupBy(tables.hex_prefix(F.col(key), level).alias("range")).agg(F.count(F.lit(1)).alias("rows"))
