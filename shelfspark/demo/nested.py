@@ -27,13 +27,13 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.struct(F.when(F.col("l_quantity") > 25, F.lit("big")).alias("plain_text"), F.lit("analysed").alias("text"), F.lit(1).alias("junk"))
     supplier = F.struct(F.col("l_suppkey").alias("key"), F.array(note, note).alias("notes"), F.lit("x").alias("junk"))
     line = F.struct(F.col("l_linenumber").alias("number"), F.when(F.col("l_returnflag") != "R", F.col("l_linestatus")).alias("mode"), supplier.alias("supplier"), F.lit("y").alias("internal"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_quantity", line.alias("line")))).alias("lines")).withColumn("lines", F.col("lines.line"))
     head = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("junk"))
     return head.join(lines, "id", "left")
 
 
-@add("document_nested", """SELECT o_orderkey AS id, o_orderstatus AS status, coalesce(string_agg(l_linenumber || CASE WHEN l_returnflag <> 'R' THEN l_linestatus ELSE 'none' END || l_suppkey, ',' ORDER BY l_linenumber, l_suppkey), '') AS lines,
- coalesce(string_agg(CASE WHEN l_quantity > 25 THEN 'big,big' ELSE '?,?' END, ',' ORDER BY l_linenumber, l_suppkey), '') AS notes,
+@add("document_nested", """SELECT o_orderkey AS id, o_orderstatus AS status, coalesce(string_agg(l_linenumber || CASE WHEN l_returnflag <> 'R' THEN l_linestatus ELSE 'none' END || l_suppkey, ',' ORDER BY l_linenumber, l_suppkey, l_quantity), '') AS lines,
+ coalesce(string_agg(CASE WHEN l_quantity > 25 THEN 'big,big' ELSE '?,?' END, ',' ORDER BY l_linenumber, l_suppkey, l_quantity), '') AS notes,
  'id,status,lines,number,mode,supplier,key,notes,text' AS fields FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def _(spark, sf):
     df = documents.projected(documents.unplained(orders(spark, sf)), ORDER)
@@ -45,7 +45,7 @@ def _(spark, sf):
     return df.select("id", "status", F.coalesce(shown, F.lit("")).alias("lines"), F.coalesce(notes, F.lit("")).alias("notes"), F.lit(",".join(fields)).alias("fields"))
 
 
-@add("document_at_path", "SELECT o_orderkey AS id, coalesce(string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_linenumber, l_suppkey), '') AS suppliers FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+@add("document_at_path", "SELECT o_orderkey AS id, coalesce(string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_linenumber, l_suppkey, l_quantity), '') AS suppliers FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
 def _(spark, sf):
     df = orders(spark, sf)
     return df.select("id", F.coalesce(F.array_join(documents.at_path(df, "lines.supplier.key").cast("array<string>"), ","), F.lit("")).alias("suppliers"))
