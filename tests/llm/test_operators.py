@@ -410,6 +410,78 @@ def accuracy(found, truth):
     return sum(r.predicted == truth[r.doc_id] for r in held) / len(held)
 
 
+def plain_ftrl(rows, how):
+    """Weights by dictionaries and loops, one feature at a time, in the same order of rows and draws."""
+    z, n, rng = Counter(), Counter(), np.random.default_rng(how.seed)
+
+    def weight(i):
+        l1 = 0 if i == 0 else how.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((how.beta + math.sqrt(n[i])) / how.alpha + how.l2)
+
+    dot = lambda x: sum(weight(i) * v for i, v in x.items())
+    pull = lambda score, label: (1 / (1 + math.exp(-score)) - label) * (how.positive if label else 1)
+    for _ in range(how.epochs):
+        for r in rng.permutation(len(rows)):
+            x, others, label = rows[r]
+            score, gradient = dot(x), Counter()
+            own = pull(score, label)
+            if others and how.swap_penalty:
+                met = [others[-1]] + ([others[rng.integers(len(others) - 1)]] if len(others) > 1 else [])
+                for other in met:
+                    s = dot(other)
+                    gap = 2 * how.swap_penalty * (score - s)
+                    own += gap
+                    for i, v in other.items():
+                        gradient[i] += (pull(s, label) - gap) * v
+            for i, v in x.items():
+                gradient[i] += own * v
+            old = {i: weight(i) for i in gradient}
+            for i, g in gradient.items():
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / how.alpha
+                z[i] += g - sigma * old[i]
+                n[i] += g * g
+    return {i: weight(i) for i in n}
+
+
+@pytest.mark.parametrize("penalty", [0.0, 2.0])
+def test_weights_equal_plain_loops(penalty):
+    rng = random.Random(5)
+    view = lambda: {0: 1.0} | {rng.randrange(1, 60): float(rng.randint(1, 3)) for _ in range(rng.randint(0, 8))}
+    rows = [(view(), [view() for _ in range(rng.choice([0, 0, 1, 3]))], int(rng.random() < 0.4)) for _ in range(60)]
+    arrays = lambda x: (np.array(sorted(x), np.int32), np.array([x[i] for i in sorted(x)], np.float32))
+    how = linear.Ftrl(bits=6, alpha=0.7, beta=0.3, l1=0.05, l2=0.01, epochs=4, positive=2.0, swap_penalty=penalty)
+    found = linear.fit([(*arrays(x), [arrays(o) for o in others], label) for x, others, label in rows], how)
+    want = plain_ftrl(rows, how)
+    assert np.allclose([found[i] for i in sorted(want)], [want[i] for i in sorted(want)], atol=1e-5) and np.abs(found).max() > 0.1
+    assert not found[[i for i in range(64) if i not in want]].any()
+
+
+def test_scores_are_dot_products_of_whole_texts(spark, odd):
+    """Every text's score from weights and its own counted words, a long one's too."""
+    texts = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(7001, "long words here. " * 100_000), (7002, "x" * 300_000)], "doc_id long, text string"))
+    weights = np.random.default_rng(2).normal(scale=0.01, size=1 << 20).astype(np.float32)
+    extract = toxicity.extractor(20)
+    found = {(r.doc_id, r.text): r.score for r in linear.scored(texts, weights, extract).collect()}
+    for d, t in rows_of(texts):
+        runs = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())
+        kept = set()
+        for w in {r.translate(LOW) for r in runs}:
+            for i, n in enumerate((None, 4, 5, 6)):
+                part = np.frombuffer(w[:n], np.uint8)
+                h = kernels.hash_spans(part, np.array([0]), np.array([len(part)]), kernels.tables()["low"])
+                kept.add(int(np.maximum(linear.ngrams(h, np.array([0]), 1, 20 + i)[0] >> np.uint64(44), np.uint64(1))[0]))
+        want = 1 / (1 + math.exp(-(sum(float(weights[i]) for i in kept) + float(weights[0]))))
+        assert found[d, t] == pytest.approx(want, abs=1e-5)
+
+
+def test_long_texts_have_languages_and_fingerprints(spark):
+    rows = [(i, "en" if i % 2 else "fr", ("the thing and with " if i % 2 else "le chose et avec ") * (200_000 if i < 2 else 20)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "fr") for r in langid.predict(docs).collect())
+    found = {r.doc_id: r for r in ordermin.compared(docs.where("doc_id < 4")).collect()}
+    assert found[0].n_chars == len(rows[0][2]) and all(0 <= r.near_edited <= 1 for r in found.values())
+
+
 def test_quality_is_learnt(spark, odd, none):
     docs, labels, truth = labelled(spark, lambda r, y: " ".join(f"w{r.randrange(300)}" + ("" if y else "$$$") for _ in range(r.randint(5, 60))), label="quality")
     assert accuracy(quality.scores(docs, labels).collect(), truth) > 0.97
