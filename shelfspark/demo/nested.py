@@ -33,7 +33,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("document_nested", """SELECT o_orderkey AS id, o_orderstatus AS status, coalesce(string_agg(l_linenumber || CASE WHEN l_returnflag <> 'R' THEN l_linestatus ELSE 'none' END || l_suppkey, ',' ORDER BY l_linenumber, l_suppkey, l_quantity), '') AS lines,
- coalesce(string_agg(CASE WHEN l_quantity > 25 THEN 'big,big' ELSE '?,?' END, ',' ORDER BY l_linenumber, l_suppkey, l_quantity), '') AS notes,
+ coalesce(string_agg(CASE WHEN l_quantity > 25 THEN 'big,big' ELSE '?,?' END, ',' ORDER BY l_linenumber, l_suppkey, l_quantity) FILTER (l_orderkey IS NOT NULL), '') AS notes,
  'id,status,lines,number,mode,supplier,key,notes,text' AS fields FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def _(spark, sf):
     df = documents.projected(documents.unplained(orders(spark, sf)), ORDER)
