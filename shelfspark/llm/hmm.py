@@ -329,6 +329,7 @@ def scores(docs: DataFrame, how: Model = Model()) -> DataFrame:
     top_h, top_n = np.array([t[0] for t in top], np.uint64), np.array([t[1] for t in top], np.float64)
     cells = int(max(16, distinct // 60_000, tokens // 4_000_000))
     path = store.fresh_path(spark, "symbols")
+    store.MADE.add(path)
     encoded = marked.mapInArrow(
         _postings(how, cells, top_h, np.log10(top_n + 1), np.log10(rest.sum(axis=1) + 1), float(np.log10(ends + 1))),
         f"kind int, cell int, chunk long, at int, doc_id {kind}, held_out boolean, train boolean, n_tokens long, n_known long, base double, classed double, symbols binary, words binary, docs binary, times binary",

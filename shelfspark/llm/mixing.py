@@ -160,7 +160,11 @@ def plan(docs: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame, DataF
     words = F.col("size") * F.col("copies")
     inside = F.sum(words).over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1))
     sums = groups.groupBy("sid", "bucket").agg(F.sum(words).alias("all"))
-    sums = sums.select("sid", "bucket", (F.sum("all").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("all")).alias("earlier"))
+    # in two levels: a source may have very many buckets
+    shelf = F.shiftright("bucket", 12).alias("shelf")
+    within = F.sum("all").over(Window.partitionBy("sid", "shelf").orderBy("bucket")) - F.col("all")
+    shelves = sums.groupBy("sid", shelf).agg(F.sum("all").alias("whole")).select("sid", "shelf", (F.sum("whole").over(Window.partitionBy("sid").orderBy("shelf")) - F.col("whole")).alias("before"))
+    sums = sums.withColumn("shelf", shelf).withColumn("within", within).join(shelves, ["sid", "shelf"]).select("sid", "bucket", (F.col("before") + F.col("within")).alias("earlier"))
     placed = groups.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, ["sid", "bucket"])
     # copies in two steps, so that no row becomes one very long array
     placed = placed.withColumn("thousand", F.explode(F.expr("sequence(0, (copies - 1) div 1000)")))
