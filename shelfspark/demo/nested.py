@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..model import Field, Resource
 from ..operators.ids import Scroll
 from ..operators.tables import Versions
@@ -69,6 +70,14 @@ def _(spark, sf):
     return found.select("id", "tenant_id", "shared", F.size("holdings").cast("long").alias("holdings"), F.size("items").cast("long").alias("items"))
 
 
+@add("consortium_units", "SELECT n_nationkey::VARCHAR AS id, n_name AS name, 't' || n_regionkey AS tenant_id FROM nation WHERE n_regionkey = 2 ORDER BY n_name DESC, id LIMIT 4 OFFSET 1")
+def _(spark, sf):
+    """Campuses of one tenant, by name from the end."""
+    campuses = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("t"), F.col("n_regionkey").cast("string")).alias("tenantId"))
+    engine = Engine(spark, {"campus": campuses})
+    return engine.units("campus", tenant="t2", sort_by="name", descending=True, limit=4, offset=1).withColumnRenamed("tenantId", "tenant_id")
+
+
 @add("child_incremental", f"""SELECT value, type_id, tenant_id, shared, count(*) AS n FROM (SELECT unnest(string_split(CASE WHEN id::BIGINT % 3 = 0 THEN 'new ' || p_name ELSE p_name END, ' ')) AS value, p_type AS type_id, tenant_id, shared FROM {INSTANCE_SQL} WHERE id::BIGINT % 7 <> 0) GROUP BY ALL""")
 def _(spark, sf):
     """Subjects after two batches: all instances, then a third of them with another subject and a seventh deleted."""

@@ -104,7 +104,13 @@ class Engine:
         return consortium.items(self.table("item"), **filters)
 
     def locations(self, **filters) -> DataFrame:
-        return consortium.locations(self.visible("location"), **filters)
+        return self.units("location", **filters)
+
+    def units(self, kind: str, **filters) -> DataFrame:
+        """A page of the consortium's institutions, campuses, libraries or locations."""
+        if kind not in ("institution", "campus", "library", "location"):
+            raise NotFoundError(f"Location unit {kind} does not exist")
+        return consortium.locations(self.visible(kind), **filters)
 
     def batch(self, kind: str, identifier: str, values: list[str]) -> DataFrame:
         return consortium.batch(self.table(kind), identifier, values)

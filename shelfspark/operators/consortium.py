@@ -87,12 +87,14 @@ def items(df: DataFrame, instance_id: str | None, holding_id: str | None = None,
 
 
 def locations(df: DataFrame, id_: str | None = None, tenant: str | None = None, sort_by: str = "name", descending: bool = False, limit: int = 1000, offset: int = 0) -> DataFrame:
-    """Location units; shadow units never are among them."""
-    if sort_by not in ("name", "id", "tenant_id"):
+    """Location units of any kind: institutions, campuses, libraries or locations; shadow units never are among them."""
+    own = "tenantId" if "tenantId" in df.columns else "tenant_id"
+    if sort_by not in ("name", "id", "tenantId", "tenant_id"):
         raise ValidationError("Invalid sortBy value is being used")
+    sort_by = own if sort_by in ("tenantId", "tenant_id") else sort_by
     if offset + limit > 10_000:
         raise ValidationError("The sum of limit and offset should not exceed 10000.")
-    for c, v in (("id", id_), ("tenant_id", tenant)):
+    for c, v in (("id", id_), (own, tenant)):
         if v is not None:
             df = df.where(F.col(c) == v)
     key = F.col(sort_by)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfspark import analysis
 from shelfspark.engine import Engine
-from shelfspark.errors import NotFoundError
+from shelfspark.errors import NotFoundError, ValidationError
 from shelfspark.functions import stemming
 from shelfspark.model import Field, Resource
 from shelfspark.operators import ids, search
@@ -153,3 +153,16 @@ def test_a_stored_pattern_tests_few_rows(spark, tmp_path):
     few = engine.grams["b"].candidates(index_bind("code = *c123?"))
     assert few.count() < 50 and engine.search("b", "code = *c123?").count() == 10
     assert analysis.normalised_text("keyword_icu", "C1*") == "c1*" and index.pattern_grams("c1*") == ["\x02c1"]
+
+
+def test_location_units_of_every_kind(spark):
+    df = spark.createDataFrame([("1", "North", "t1"), ("2", "East", "t2"), ("3", "West", "t1")], "id string, name string, tenantId string")
+    engine = Engine(spark, dict.fromkeys(("institution", "campus", "library", "location"), df))
+    for kind in ("institution", "campus", "library", "location"):
+        assert [r.id for r in engine.units(kind).collect()] == ["2", "1", "3"]
+        assert [r.id for r in engine.units(kind, tenant="t1", sort_by="id", descending=True).collect()] == ["3", "1"]
+        assert [r.id for r in engine.units(kind, sort_by="tenantId", limit=1, offset=2).collect()] == ["2"]
+    with pytest.raises(ValidationError):
+        engine.units("campus", sort_by="code")
+    with pytest.raises(NotFoundError):
+        engine.units("shelf")
