@@ -47,7 +47,7 @@ class TokenFiles:
     block: int = 256
     percentile: float = 95.0
     segment: int = 1 << 20
-    remember: int = 400_000
+    remember: int = 800_000
 
 
 class Encoder:
@@ -122,21 +122,25 @@ class Encoder:
         """Places of the pieces among those known."""
         if len(self.known) > self.remember:
             self._forget()
-        known, ids, many = self.known, [], []
-        model, encode = self.library.model.tokenize, self.library.encode
-        for piece in pieces:
-            if piece in known:
-                continue
-            if ONE_WORD.fullmatch(piece):  # one pre-token: the model's own call, in its byte alphabet
-                got = [x.id for x in model(piece.decode("latin-1").translate(self.letters))]
+        get, base = self.known.get, len(self.many)
+        at = np.fromiter((get(piece, -1) for piece in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at
+        ids, many, added = [], [], [pieces[j] for j in new.tolist()]
+        model, encode, letters, one = self.library.model.tokenize, self.library.encode, self.letters, ONE_WORD.fullmatch
+        for piece in added:
+            if one(piece):  # one pre-token: the model's own call, in its byte alphabet
+                got = [x.id for x in model(piece.decode("latin-1").translate(letters))]
             else:
                 got = encode(piece.decode(), add_special_tokens=False).ids
-            known[piece] = len(self.many) + len(many)
             many.append(len(got))
             ids += got
+        at[new] = base + np.arange(len(new))
+        self.known.update(zip(added, range(base, base + len(added)), strict=True))
         first = len(self.ids) + np.concatenate([[0], np.cumsum(many, dtype=np.int64)])[:-1]
         self.ids, self.first, self.many = np.concatenate([self.ids, np.array(ids, np.uint32)]), np.concatenate([self.first, first]), np.concatenate([self.many, np.array(many, np.int64)])
-        return np.array([known[piece] for piece in pieces], np.int64)
+        return at
 
 
 def file_bytes(ids: np.ndarray, sizes: np.ndarray, doc_ids: pa.Array, how: TokenFiles) -> bytes:
