@@ -106,12 +106,13 @@ def _(spark, sf):
     return rebuild.read().groupBy(F.substring("id", 1, 1).alias("range")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"))
 
 
-@add("scroll_version", f"SELECT p_partkey, p_size FROM {PART_SQL} WHERE p_type = 'SMALL' ORDER BY p_partkey LIMIT 40 OFFSET 40")
+@add("scroll_version", f"SELECT p_partkey, p_size FROM {PART_SQL} WHERE p_type = 'SMALL' ORDER BY p_partkey LIMIT 12 OFFSET 12")
 def _(spark, sf):
     """The second page of a scroll, from the version of its first, though all rows have changed between them."""
     versions, rows = Versions(spark, scratch(spark, "scroll"), 4), parts(spark, sf).select("p_partkey", "p_type", "p_size")
     versions.replace(rows, ["p_partkey"])
     scroll = Scroll(versions, PARTS)
-    _, cursor = scroll.page("p_type == SMALL", 40)
+    first, cursor = scroll.page("p_type == SMALL", 12)
     versions.replace(rows.withColumn("p_size", F.lit(-1)).where("p_partkey % 2 = 0"), ["p_partkey"])
-    return scroll.page("p_type == SMALL", 40, cursor)[0].select("p_partkey", "p_size")
+    page = scroll.page("p_type == SMALL", 12, cursor)[0] if cursor else first.limit(0)
+    return page.select("p_partkey", "p_size")
