@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..model import Field, Resource
+from ..operators import lookups
 from ..operators.ids import Scroll
 from ..operators.tables import Versions
 from ..plans import documents, incremental, reindex
@@ -70,6 +71,18 @@ def _(spark, sf):
     return found.select("id", "tenant_id", "shared", F.size("holdings").cast("long").alias("holdings"), F.size("items").cast("long").alias("items"))
 
 
+@add("fn_authority_lccns", """SELECT s_suppkey, array_to_string(list_sort(list_distinct(list_transform(list_filter([s_nationkey, (s_nationkey + 1) % 25], lambda k: k % 3 = 1), lambda k: lower(replace(s_name, ' ', '')) || k))), ',') AS lccn,
+ array_to_string(list_sort(list_distinct(list_transform(list_filter([s_nationkey, (s_nationkey + 1) % 25], lambda k: k % 3 = 2), lambda k: lower(replace(s_name, ' ', '')) || k))), ',') AS canceled FROM supplier""")
+def _(spark, sf):
+    """Suppliers' identifiers by types that are nations, whose code follows from their number."""
+    code = F.when(F.col("n_nationkey") % 3 == 1, "lccn").when(F.col("n_nationkey") % 3 == 2, "canceled-lccn").otherwise("other")
+    reference = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), code.alias("code"))
+    one = lambda k: F.struct(F.concat(F.col("s_name"), F.lit(" "), k.cast("string")).alias("value"), k.cast("string").alias("identifierTypeId"))
+    rows = table(spark, sf, "supplier").withColumn("identifiers", F.array(one(F.col("s_nationkey")), one((F.col("s_nationkey") + 1) % 25)))
+    both = lookups.lccns_by_code(lookups.lccns_by_code(rows, reference), reference, canceled=True)
+    return both.select("s_suppkey", F.array_join(F.array_sort("lccn"), ",").alias("lccn"), F.array_join(F.array_sort("canceledLccn"), ",").alias("canceled"))
+
+
 @add("consortium_units", "SELECT n_nationkey::VARCHAR AS id, n_name AS name, 't' || n_regionkey AS tenant_id FROM nation WHERE n_regionkey = 2 ORDER BY n_name DESC, id LIMIT 4 OFFSET 1")
 def _(spark, sf):
     """Campuses of one tenant, by name from the end."""

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import identifiers as numbers
+
+#: Most identifier types of one code.
+MOST_TYPES = 1000
+
 
 def number_of_titles(authorities: DataFrame, instances: DataFrame, ids: Column) -> DataFrame:
     """``authorities`` with ``number_of_titles``: how many instances name the authority in any field, once each.
@@ -44,3 +49,16 @@ def subject_counts(instances: DataFrame, subjects: Column, wanted: list[str]) ->
 def reference_ids(reference: DataFrame, names: list[str], by: str = "name") -> DataFrame:
     """Ids of reference records by name or code."""
     return reference.where(F.col(by).isin(*names)).select("id").distinct()
+
+
+#: Codes of the identifier types that authorities have LCCNs under, as fixed values.
+LCCN_CODE, CANCELED_LCCN_CODE = "lccn", "canceled-lccn"
+
+
+def lccns_by_code(authorities: DataFrame, reference: DataFrame, canceled: bool = False, identifiers: str = "identifiers") -> DataFrame:
+    """``authorities`` with ``lccn`` or ``canceledLccn``: normalised values of the identifiers whose type has the code in the reference table
+    (id, code).  The types of one code are a few rows, which become a condition."""
+    found = reference_ids(reference, [CANCELED_LCCN_CODE if canceled else LCCN_CODE], "code").limit(MOST_TYPES).collect()
+    types = tuple(str(r.id) for r in found)
+    values = numbers.of_types(F.col(identifiers), types, kind="identifierTypeId") if types else F.array().cast("array<string>")
+    return authorities.withColumn("canceledLccn" if canceled else "lccn", F.array_distinct(F.transform(values, numbers.no_space)))
