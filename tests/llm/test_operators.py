@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -167,6 +170,34 @@ def test_components_of_chains_and_stars(spark):
 # 10: token files
 
 
+HELD = """
+import re
+import numpy as np
+import pyarrow as pa
+from shelfspark.llm import kernels
+
+def held():
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Anonymous:\\s+(\\d+)", f.read())[1]) >> 10
+
+batch = pa.record_batch({"text": ["some text " * 100] * 5000})
+list(kernels.slices(batch, "text"))
+before = held()
+for part in kernels.slices(batch, "text"):
+    made = [pa.array(np.arange(20_000) + i).cast(pa.string()) for i in range(400)]
+del made, part
+list(kernels.slices(batch, "text"))
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory is read from /proc")
+def test_workers_give_back_what_arrow_has_free():
+    """A process that has worked on its slices keeps none of the 100 MB that they took."""
+    run = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert int(run.stdout) < 40
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=700), st.integers(1, 300), st.integers(0, 100))
 @settings(max_examples=80, deadline=None)
 def test_containers_round_trip(values, block, percentile):
