@@ -131,6 +131,7 @@ def _cells(how: NearDup):
                 out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
             bound = np.arange(batch.num_rows + 1, dtype=np.int32) * (n // 64)
             yield pa.record_batch({"cid": batch.column("cid"), "cells": pa.ListArray.from_arrays(pa.array(bound), pa.array(out.ravel()))})
+            kernels.freed()
 
     return run
 
@@ -145,6 +146,7 @@ def _confirm(how: NearDup):
                 both = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            kernels.freed()
 
     return run
 
