@@ -25,11 +25,14 @@ ORDER = Resource(
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as documents of three levels, with fields that the descriptor lacks, missing values, and values in a plain form beside."""
+    """Orders as documents of three levels, with fields that the descriptor lacks, missing values, and values in a plain form beside.
+
+    Lines that number, supplier and quantity leave equal stay in the order of the table."""
     note = F.struct(F.when(F.col("l_quantity") > 25, F.lit("big")).alias("plain_text"), F.lit("analysed").alias("text"), F.lit(1).alias("junk"))
     supplier = F.struct(F.col("l_suppkey").alias("key"), F.array(note, note).alias("notes"), F.lit("x").alias("junk"))
     line = F.struct(F.col("l_linenumber").alias("number"), F.when(F.col("l_returnflag") != "R", F.col("l_linestatus")).alias("mode"), supplier.alias("supplier"), F.lit("y").alias("internal"))
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_quantity", line.alias("line")))).alias("lines")).withColumn("lines", F.col("lines.line"))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    lines = table(spark, sf_dir, "lineitem").select("*", *place).groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_quantity", "file", "row", line.alias("line")))).alias("lines")).withColumn("lines", F.col("lines.line"))
     head = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("junk"))
     return head.join(lines, "id", "left")
 
