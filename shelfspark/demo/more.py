@@ -220,7 +220,7 @@ on_subjects("browse_affiliation_tenant", consortium.Tenant("t1", "central"), 'va
 def _(spark, sf):
     p = table(spark, sf, "part").withColumn("tenantId", F.concat(F.lit("t"), (F.col("p_partkey") % 4).cast("string"))).withColumn("shared", F.lit(False))
     engine = Engine(spark, {"parts": p}, consortium.Tenant("t1", "central"), {"parts": Resource("parts", (Field("p_partkey", "long", uses=("sort",)), Field("p_size", "long")), key="p_partkey")})
-    return engine.search("parts", "p_size = 7", limit=500, consolidated=True).select("p_partkey")
+    return engine.search("parts", "p_size = 7", limit=None, consolidated=True).select("p_partkey")
 
 
 # documents

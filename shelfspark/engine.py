@@ -85,7 +85,7 @@ class Engine:
             raise QueryError("Invalid search field provided in the CQL query")
         return cql
 
-    def search(self, name: str, cql: str, limit: int = 100, offset: int = 0, include: list[str] | None = None, expand_all: bool = False, consolidated: bool = False) -> DataFrame:
+    def search(self, name: str, cql: str, limit: int | None = 100, offset: int = 0, include: list[str] | None = None, expand_all: bool = False, consolidated: bool = False) -> DataFrame:
         return search.search(self.visible(name, consolidated), self._allowed(cql), self.resource(name), limit, offset, include, expand_all, inverted=self.inverted.get(name), grams=self.grams.get(name))
 
     def total(self, name: str, cql: str) -> int:

@@ -28,3 +28,8 @@ def compared(spark, tmp_path):
 def test_lines_that_no_key_tells_apart_stay_in_the_order_of_the_table(compared):
     lines = "select 0::bigint l_orderkey, 5::bigint l_suppkey, 1 + i // 6 l_linenumber, 7.0::double l_quantity, ['A', 'R', 'N'][1 + i % 3] l_returnflag, ['O', 'O', 'F', 'F'][1 + i % 4] l_linestatus from range(12) t(i)"
     compared("document_nested", orders="select 0::bigint o_orderkey, 'O' o_orderstatus", lineitem=lines)
+
+
+def test_a_consolidated_search_returns_every_match(compared):
+    rows = compared("search_consolidated", part="select i::bigint p_partkey, 7 + i % 2 p_size from range(1300) t(i)")
+    assert len(rows) == 650
