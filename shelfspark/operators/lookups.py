@@ -35,9 +35,14 @@ def single_classifications(children: DataFrame, instances: DataFrame) -> DataFra
 
 
 def holdings_of_items(instances: DataFrame, barcodes: DataFrame) -> DataFrame:
-    """Holdings whose item has one of the barcodes: items inside instances lead to holdings inside the same instance."""
-    items = instances.select("id", "holdings", F.explode("items").alias("i")).join(barcodes, F.col("i.barcode") == barcodes["barcode"], "left_semi")
-    return items.select(F.col("id").alias("instance_id"), F.explode(F.filter("holdings", lambda h: h["id"] == F.col("i.holding_id"))).alias("h")).select("instance_id", "h.*").distinct()
+    """Holdings whose item has one of the barcodes: items inside instances lead to holdings inside the same instance.
+
+    An item is shuffled as its barcode and its holding's id, and once for each holding after that; holdings never go with it."""
+    items = instances.select("id", F.explode("items").alias("i")).select("id", "i.barcode", "i.holding_id")
+    named = items.join(barcodes, items["barcode"] == barcodes["barcode"], "left_semi").select(F.col("id").alias("__instance"), F.col("holding_id").alias("__holding")).distinct()
+    held = instances.select(F.col("id").alias("instance_id"), F.explode("holdings").alias("h"))
+    found = held.join(named, held["instance_id"].eqNullSafe(named["__instance"]) & (held["h.id"] == named["__holding"]), "left_semi")
+    return found.select("instance_id", "h.*").distinct()
 
 
 def subject_counts(instances: DataFrame, subjects: Column, wanted: list[str]) -> DataFrame:

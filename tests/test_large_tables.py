@@ -1,5 +1,7 @@
 """What only shows on larger or odder tables than those of the other tests."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -38,3 +40,10 @@ def test_a_consolidated_search_returns_every_match(compared):
 def test_a_phrase_is_stemmed_in_english_only(compared):
     texts = "select i::bigint doc_id, ['the thing', 'the things', 'a thing'][1 + i // 5] \"text\", ['en', 'de', 'fr', 'es', NULL][1 + i % 5] lang, 's' source, 9::bigint n_chars from range(15) t(i)"
     assert len(compared("search_stemmed_phrase", documents=texts)) == 6
+
+
+def test_items_leave_the_holdings_of_their_instance_behind(compared, spark, tmp_path):
+    """Each line of a part took along all of the part's lines, a square of a part's size on disk."""
+    compared("holdings_of_items", lineitem="select nullif(i % 40, 7) l_partkey, i // 3 l_orderkey, 1 + (i % 3)::int l_linenumber, (i % 50)::double l_quantity from range(3000) t(i)")
+    plan = entry.queries()["holdings_of_items"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "explode(items#" in plan and not re.search(r"Generate explode\(items#\d+\), \[[^\]]*holdings", plan)
