@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from shelfspark import analysis
 from shelfspark.model import Field, Resource
-from shelfspark.plans import index
+from shelfspark.plans import grouping, index
 from test_oracle import plain
 
 
@@ -89,6 +89,20 @@ def test_postings_of_all_documents_without_a_sort_of_their_tokens(spark, tmp_pat
     assert len(ends) == 5 and all(a[1] < b[0] for a, b in zip(ends, ends[1:])) and sum(a[0] <= "the" <= b[0] for a, b in ends) > 1
 
 
+def test_batches_that_are_cut_have_the_same_postings(monkeypatch):
+    base = [[["a", "b", "a"], []], [], [["b"], ["c", "a"]], [["d"] * 9], [[]], [["a", "d"]]]
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([1, 2, 3, 4, 5, 6]), "field": ["x", "y"] * 3, "base": pa.array(base, pa.list_(pa.list_(pa.string()))), "joined": pa.array([["ab"], [], ["ca", "bc"], [], ["q"], []], pa.list_(pa.string()))})
+
+    def rows():
+        return sorted(tuple(r.values()) for b in grouping.grouped([batch], (["a", "a", "d"], [2, 5, 4])) for r in b.to_pylist())
+
+    whole = rows()
+    assert [(r[0], r[2], r[3], r[4], r[5], r[6]) for r in whole if r[0] in "ad"] == [("a", 1, 2, 4, [0, 2], 0), ("a", 3, 1, 5, [(1 << 32) + 1], 1), ("a", 6, 1, 2, [0], 2), ("d", 4, 9, 9, list(range(9)), 2), ("d", 6, 1, 2, [1], 3)]
+    for most in (1, 3, 7):
+        monkeypatch.setattr(grouping, "MOST_TOKENS", most)
+        assert rows() == whole
+
+
 @pytest.mark.parametrize("name", ["search_relevance", "search_relevance_any", "search_ranked", "text_all_inverted", "text_any_inverted", "text_phrase_inverted", "text_phrase_repeated_inverted", "text_ne_inverted"])
 def test_queries_of_the_inverted_index_over_odd_texts(compared, tmp_path, name):
     words, at = "the with of and pour nicht value of-the The w Thé -- x wi-th R&B the".split(), random.Random(4)
